@@ -18,27 +18,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Store, salted_join, table
-from .vectors import flat
 
 #: Entries of a memtable; runs that one merge takes; entries of a bucket, roughly.
 MEMTABLE, FAN_IN, BUCKET = 1 << 18, 16, 100_000
+#: Rows that are handled at once where texts are held.
+PIECE = 500
 _SPACE = b"\t\n\x0b\x0c\r "
 _RUN = "bucket int, run string, digests binary, counts binary, lengths binary, ids binary, filter binary"
 
 
 def _normal(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int]]:
-    data, at = flat(batch.column("text"))
-    starts = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
-    raw = data.tobytes()
-    for a, b, n in zip(at[:-1], at[1:], np.diff(starts), strict=True):
-        yield raw[a:b].translate(None, _SPACE), int(n)
+    for text in batch.column("text"):
+        t = text.as_py() or ""
+        yield t.encode().translate(None, _SPACE), len(t)
 
 
 def digests(docs: DataFrame, size: int = 32, with_bytes: bool = False) -> DataFrame:
     """doc_id, n_cp (code points), sha256 of the normalised text, its first `size` bytes as digest, and on request the bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, PIECE) for b in batches for i in range(0, b.num_rows, PIECE)):
             rows = list(_normal(batch))
             sha = [hashlib.sha256(t).digest() for t, _ in rows]
             cols = [batch.column("doc_id").cast(pa.int64()), pa.array([n for _, n in rows], pa.int64()), pa.array([x.hex() for x in sha], pa.string()), pa.array([x[:size] for x in sha], pa.binary())]
