@@ -7,6 +7,8 @@ from importlib import import_module
 #: Query name and the module that holds query() and, where SQL can express it, SQL.
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_kd_shards": "kd_shards",
+    "op5_warc": "warc",
 }
 
 
