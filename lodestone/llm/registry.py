@@ -9,6 +9,8 @@ MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_kd_shards": "kd_shards",
     "op5_warc": "warc",
+    "op7_ngram_jaccard_join": "jaccard_join",
+    "op8_packing": "packing",
 }
 
 
