@@ -1,8 +1,8 @@
 """WARC archives, compressed record by record with a dictionary that the archive carries.
 
-Pages are dealt over archives by hash. The task that writes an archive trains a Zstandard dictionary from the first
-records it holds, puts it in a leading skippable frame (magic 0x184D2A5D) and compresses each record as a frame of its
-own. Spark's text writer puts the frames down, so that any file system, the commit protocol and retries work as for any
+Each task writes the pages of its partition to archives of at most ARCHIVE frames. It trains a Zstandard dictionary from
+the first records it holds, puts it in a skippable frame (magic 0x184D2A5D) at the head of each archive and compresses each
+record as a frame of its own. Spark's text writer puts the frames down, so that any file system, the commit protocol and retries work as for any
 table; the separator that it needs after each value is an empty skippable frame, which readers pass over.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .shared import Store, table
 
-#: Uncompressed bytes of an archive, roughly; bytes of a dictionary, and of the records that it is trained from.
-ARCHIVE, DICTIONARY, TRAIN = 32 << 20, 32 << 10, 2 << 20
+#: Frames of an archive at most, the dictionary's included; bytes of a dictionary, and of the records that it is trained from.
+ARCHIVE, DICTIONARY, TRAIN = 4096, 32 << 10, 2 << 20
 #: An empty skippable frame; all its bytes are ASCII.
 _BREAK = "P*M\x18\x00\x00\x00\x00"
 _DICTIONARY_MAGIC = 0x184D2A5D
@@ -64,34 +64,42 @@ def _dictionary(records: list[bytes]) -> bytes:
         return b"".join(records)[-DICTIONARY:]
 
 
-def write_archives(pages: DataFrame, path: str, archives: int, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
-    """Writes the rows of roles() to `archives` files under path; an empty table gives no records."""
+def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
+    """Writes the rows of roles() to files under path; an empty table gives no records."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, packer = [], 0, None
+        held, size, packer, lead, written = [], 0, None, b"", 0
+
+        def out(records: list[bytes]) -> pa.RecordBatch:
+            nonlocal written
+            rows = []
+            for record in records:
+                if written % ARCHIVE == 0:  # the writer begins a file here
+                    rows.append(lead)
+                    written += 1
+                rows.append(packer.compress(record))
+                written += 1
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["frame"])
+
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                record = _record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date)
+            for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+                held += [_record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], date) for r in part.to_pylist()]
+                size += sum(map(len, held)) if not packer else 0
+                if not packer and size >= TRAIN:
+                    packer, lead = _open(held)
                 if packer:
-                    out.append(packer.compress(record))
-                    continue
-                held.append(record)
-                size += len(record)
-                if size >= TRAIN:
-                    out, packer = _open(held)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
-        if held and not packer:
-            yield pa.RecordBatch.from_arrays([pa.array(_open(held)[0], pa.binary())], ["frame"])
-
-    def _open(held: list[bytes]) -> tuple[list[bytes], zstandard.ZstdCompressor]:
+                    yield out(held)
+                    held = []
+        if held:
+            packer, lead = _open(held)
+            yield out(held)
+
+    def _open(held: list[bytes]) -> tuple[zstandard.ZstdCompressor, bytes]:
         words = _dictionary(held)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words))
-        return [struct.pack("<II", _DICTIONARY_MAGIC, len(words)) + words, *map(packer.compress, held)], packer
+        return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(words)), struct.pack("<II", _DICTIONARY_MAGIC, len(words)) + words
 
-    dealt = pages.repartition(archives, F.xxhash64("page_id", F.col("html")))
-    dealt.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", _BREAK).text(path)
+    rows = pages.mapInArrow(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    rows.write.option("lineSep", _BREAK).option("maxRecordsPerFile", ARCHIVE).text(path)
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -144,8 +152,7 @@ def warc(pages: DataFrame) -> DataFrame:
     table gives an empty result, and other columns of pages are ignored.
     """
     store = Store(pages.sparkSession, "warc")
-    size = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
-    write_archives(roles(pages), store.path("archives"), max(6, -(-int(size) // ARCHIVE)))
+    write_archives(roles(pages), store.path("archives"))
     return read_archives(pages.sparkSession, store.path("archives"))
 
 
