@@ -167,3 +167,7 @@ def packed(docs: DataFrame, window: int = 2048, with_ids: bool = False, json_pat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packed(docs)

@@ -8,9 +8,14 @@ from importlib import import_module
 MODULES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_kd_shards": "kd_shards",
+    "op3_line_dedup": "line_dedup",
+    "op4_quality_classifier": "quality",
     "op5_warc": "warc",
+    "op6_license_scan": "license_scan",
     "op7_ngram_jaccard_join": "jaccard_join",
     "op8_packing": "packing",
+    "op9_benchmark_decontamination": "decontamination",
+    "op10_pii": "pii",
 }
 
 
