@@ -1,0 +1,6 @@
+"""Registered queries by area."""
+
+from . import graph, relational
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "graph", "relational"]
