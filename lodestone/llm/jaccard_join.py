@@ -5,7 +5,8 @@
    order of all shingles. The order puts frequent shingles last (a bounded list of them, found over all documents), so
    tiles - a shingle and a band of sizes - stay small. Lists of the classes in a tile are all that is kept.
 3. Each class is first compared with one leader of its tiles, which joins groups of near copies into components with a
-   comparison per class. Then every pair in a tile that lies in different components is a candidate.
+   comparison per class. Those that stay apart from the main component of a tile try a few of its other members, in ROUNDS.
+   Then every pair in a tile that still lies in different components is a candidate.
 4. A candidate's bitmaps bound the overlap from above: |A & B| <= (|A| + |B| - popcount(a ^ b)) / 2. Those that may reach
    the similarity have their sorted arrays intersected.
 A pair is left out only if its ends are in one component already; so components are those of all links.
@@ -13,11 +14,13 @@ A pair is left out only if its ends are in one component already; so components
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import Store, components, table
@@ -25,6 +28,8 @@ from .vectors import binary_rows, mix, shingle_sets, texts
 
 #: Frequent shingles that are told apart (8 bytes each), the smallest count of one, those that a task reports.
 FREQUENT, FREQUENT_COUNT, REPORTED = 1 << 18, 16, 1 << 14
+#: Rounds in which classes apart from the main component of a tile try its members, and how many each tries in a round.
+ROUNDS, TRIES = 2, 3
 #: Steps of a band of sizes per factor of 4/3; most members of a list without salt; members that one leader serves; bytes of a bucket.
 STEPS, LIST, BLOCK, BUCKET = 32, 8192, 256, 8 << 20
 _POSTING = np.dtype([("token", "u1", 5), ("cls", "<i8"), ("band", "<u2")])
@@ -271,8 +276,8 @@ class Join:
         buckets = 1 << max(6, (int(total) * _POSTING.itemsize // 4 // BUCKET).bit_length())
         self.classes = store.write(rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "distinct")
         lists = store.write(tile_lists(postings(docs, shingle, percent, frequent, min(buckets, 1 << 16))), "lists")
-        wanted = lists.select("cls").distinct().join(self.classes.select("cls", "doc_id"), "cls")
-        sets = store.write(arrays(docs, wanted, shingle).dropDuplicates(["cls"]), "arrays")
+        wanted = store.write(lists.select("cls").distinct().join(self.classes.select("cls", "doc_id", "n"), "cls"), "wanted")
+        sets = self._bucketed(arrays(docs, wanted.select("cls", "doc_id"), shingle), int(wanted.agg(F.sum("n")).first()[0] or 0) * 6)
 
         def verified(pairs: DataFrame, name: str) -> DataFrame:
             c = self.classes
@@ -280,26 +285,60 @@ class Join:
             both = both.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
             left = store.write(both.mapInArrow(lambda it: _bound(it, percent), "a long, b long"), f"{name}_bounded")
             left = left.join(sets.select(F.col("cls").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("x").alias("xb")), "b")
-            return store.write(left.mapInArrow(lambda it: _exact(it, percent), "a long, b long, similarity double"), name)
+            return store.write(left.select("a", "b", "xa", "xb").mapInArrow(lambda it: _exact(it, percent), "a long, b long, similarity double"), name)
 
+        def merged(parts: DataFrame, links: DataFrame, name: str) -> DataFrame:
+            """parts (cls, component) after the links, which are drawn between components."""
+            ends = links.join(parts.select(F.col("cls").alias("a"), F.col("component").alias("ca")), "a").join(parts.select(F.col("cls").alias("b"), F.col("component").alias("cb")), "b")
+            new = components(ends.where("ca <> cb").select("ca", "cb"), spark, store, f"{name}_edges", "ca", "cb")
+            new = new.select(F.col("id").alias("component"), F.col("component").alias("new"))
+            return store.write(parts.join(new, "component", "left").select("cls", F.coalesce("new", "component").alias("component")), name)
+
+        least = lambda x, y: [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
         led = lists.where("lead <> cls").groupBy("cls", "lead").count().groupBy("cls").agg(F.max_by("lead", F.struct("count", (-F.col("lead")).alias("l"))).alias("lead"))
-        tried = store.write(led.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct(), "tried")
-        links = verified(tried, "links_1")
-        parts = store.write(components(links, spark, store, "parts"), "parts").withColumnRenamed("id", "cls")
-
-        member = store.write(lists.select("list_id", "cls", "band").distinct().join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "members")
-        main = member.groupBy("list_id", "component").count().groupBy("list_id").agg(F.max_by("component", F.struct("count", (-F.col("component")).alias("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        mixed = store.write(member.join(main, "list_id"), "mixed")
-        few = mixed.where("component <> main").select("list_id", F.col("cls").alias("a"), F.col("component").alias("ca"), F.col("band").alias("ba"))
-        pairs = few.join(mixed, "list_id").where(f"component <> ca and abs(band - ba) <= {STEPS + 1} and (component = main or a < cls)").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-        more = verified(pairs.join(tried, ["a", "b"], "left_anti"), "links_2")
+        tried = store.write(led.select(*least("cls", "lead")).distinct(), "tried")
+        found = [verified(tried, "links_0")]
+        parts = merged(wanted.select("cls", F.col("cls").alias("component")), found[0], "parts_0")
+
+        def mixed(members: DataFrame, parts: DataFrame, name: str) -> DataFrame:
+            """Members of the lists that hold several components: list_id, cls, band, component, main (the component with most members)."""
+            member = members.select("list_id", "cls", "band").join(parts, "cls")
+            main = member.groupBy("list_id", "component").count().groupBy("list_id").agg(F.max_by("component", F.struct("count", (-F.col("component")).alias("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+            return store.write(member.join(main, "list_id"), name)
+
+        rest = mixed(lists.select("list_id", "cls", "band").distinct(), parts, "mixed_0")
+        near = f"abs(band - ba) <= {STEPS + 1}"
+        for k in range(1, ROUNDS + 1):
+            few = rest.where("component <> main").select("list_id", F.col("cls").alias("c"), F.col("band").alias("ba"))
+            pick = [F.min_by(F.struct("cls", "band"), F.xxhash64("cls", "list_id", F.lit(k * TRIES + j))).alias(f"m{j}") for j in range(TRIES)]
+            member = rest.where("component = main").groupBy("list_id").agg(*pick).select("list_id", F.explode(F.array(*[f"m{j}" for j in range(TRIES)])).alias("m")).select("list_id", "m.cls", "m.band")
+            shared = few.join(member, "list_id").where(near).groupBy("c", "cls").count()
+            best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("count"), "cls"))
+            pairs = shared.withColumn("no", best).where(F.col("no") <= TRIES).select(*least("c", "cls")).distinct().join(tried, ["a", "b"], "left_anti")
+            pairs = store.write(pairs, f"tried_{k}")
+            found.append(verified(pairs, f"links_{k}"))
+            tried = tried.unionByName(pairs)
+            parts = merged(parts, found[-1], f"parts_{k}")
+            rest = mixed(rest, parts, f"mixed_{k}")
+        few = rest.where("component <> main").select("list_id", F.col("cls").alias("c"), F.col("component").alias("cc"), F.col("band").alias("ba"))
+        pairs = few.join(rest, "list_id").where(f"component <> cc and {near} and (component = main or c < cls)").select(*least("c", "cls")).distinct()
+        found.append(verified(pairs.join(tried, ["a", "b"], "left_anti"), "links"))
+        parts = merged(parts, found[-1], "parts")
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
         #: (a, b, similarity) between classes: enough links for all components.
-        self.links = links.unionByName(more)
-        joined = components(self.links, spark, store, "all").withColumnRenamed("id", "cls")
-        joined = store.write(self.classes.select("cls", "doc_id").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "joined")
-        least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        self.links = reduce(DataFrame.unionByName, found)
+        joined = store.write(self.classes.select("cls", "doc_id").join(parts, "cls", "left").withColumn("component", F.coalesce("component", "cls")), "joined")
+        smallest = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
         #: (cls, component_id)
-        self.components = joined.join(least, "component").select("cls", "component_id")
+        self.components = joined.join(smallest, "component").select("cls", "component_id")
+
+    def _bucketed(self, sets: DataFrame, size: int) -> DataFrame:
+        """sets as a table bucketed by class in the shared folder, so that joins with pairs move the pairs alone."""
+        spark = sets.sparkSession
+        n = min(4096, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20))))
+        self.table = f"lodestone_sets_{uuid.uuid4().hex}"
+        sets.repartition(n, "cls").dropDuplicates(["cls"]).write.option("path", self.store.path("arrays")).bucketBy(n, "cls").sortBy("cls").saveAsTable(self.table)
+        return spark.table(self.table)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75) -> DataFrame:
