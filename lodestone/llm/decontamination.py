@@ -3,8 +3,8 @@
 Windows of a document with as many words as an item get a 64-bit SimHash of their word shingles, each as often as it
 occurs. Item fingerprints are indexed by RADIUS + 1 blocks of bits: within the radius at least one block is equal, so the
 index misses no fingerprint within it. Candidates are verified by exact weighted similarity, the sum of the lesser over the
-sum of the greater counts of all shingles. Windows without any shingle of the benchmark have similarity 0 with every
-item, and are not hashed.
+sum of the greater counts of all shingles. A window without any shingle of the items of its size has similarity 0 with
+each of them, and is not hashed.
 """
 
 from __future__ import annotations
@@ -85,20 +85,30 @@ class Benchmark:
                 by_size.setdefault(len(w), []).append((i, shingles(w, k)))
                 known.append(by_size[len(w)][-1][1])
         self.sizes = {n: Items(x, radius) for n, x in sorted(by_size.items())}
+        #: The item sizes that a shingle occurs in.
+        self.sizes_of: dict[int, set[int]] = {}
+        for n, rows in by_size.items():
+            for _, s in rows:
+                for x in s.tolist():
+                    self.sizes_of.setdefault(x, set()).add(n)
         self.known = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         self.short = sorted(n for n in self.sizes if n < k)
 
     def search(self, w: np.ndarray, s: np.ndarray, hits: np.ndarray, threshold: float) -> list[tuple[int, int, int, float]]:
         """(item_id, first word, words, similarity) of the best window for each item. w: hashes of the document's words; s: of its shingles; hits: which of these the benchmark has."""
         best: dict[int, tuple[float, int, int]] = {}
-        at = np.flatnonzero(hits)
-        for n, items in self.sizes.items():
+        where: dict[int, list[int]] = {}
+        for i in np.flatnonzero(hits).tolist():
+            for n in self.sizes_of[int(s[i])]:
+                where.setdefault(n, []).append(i)
+        for n in sorted({*where, *self.short} if len(w) >= self.k else {*self.sizes}):
+            items = self.sizes[n]
             if n < self.k:
                 own = np.array([whole(w[i : i + n]) for i in range(len(w) - n + 1)], np.uint64)
                 near_hits = np.flatnonzero(np.isin(own, self.known))
                 size = 1
             else:
-                own, near_hits, size = s, at, min(items.size, len(s))
+                own, near_hits, size = s, np.array(where.get(n, []), np.int64), min(items.size, len(s))
             if not len(near_hits) or not len(own):
                 continue
             cover = np.zeros(len(own) + 1, np.int64)
