@@ -1,6 +1,6 @@
 """Registered queries by area."""
 
-from . import graph, relational
+from . import graph, relational, retrieval
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph", "relational"]
+__all__ = ["QUERIES", "SQL", "graph", "relational", "retrieval"]

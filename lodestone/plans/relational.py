@@ -30,15 +30,15 @@ def filter_default_null(s: SparkSession, d: str) -> DataFrame:
     return R.where_default(docs, "version", "en", "en").select("doc_id")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bl') OR contains(lower(p_type), 'brass') ORDER BY p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'bl') OR contains(lower(p_type), 'promo') ORDER BY p_partkey LIMIT 50")
 def filter_ilike_any(s: SparkSession, d: str) -> DataFrame:
     p = T(s, d).part
-    return R.contains_any(p, ["p_name", "p_type"], "BL", None).select("p_partkey", "p_name").unionByName(R.contains_any(p, ["p_type"], "brass").select("p_partkey", "p_name")).distinct().orderBy("p_partkey").limit(50)
+    return R.contains_any(p, ["p_name", "p_type"], "BL", None).select("p_partkey", "p_name").unionByName(R.contains_any(p, ["p_type"], "promo").select("p_partkey", "p_name")).distinct().orderBy("p_partkey").limit(50)
 
 
-@query("SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), string_split(lower(p_name), ' ')[1]) AND list_contains(string_split(p_type, ' '), 'BRASS')")
+@query("SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'bolt')")
 def filter_array_contains(s: SparkSession, d: str) -> DataFrame:
-    return R.has_alias(T(s, d).part.withColumn("aliases", F.split("p_type", " ")), "aliases", "BRASS").select("p_partkey")
+    return R.has_alias(T(s, d).part.withColumn("aliases", F.split("p_name", " ")), "aliases", "bolt").select("p_partkey")
 
 
 @query("SELECT event_id FROM events WHERE ts::date >= date '2023-12-31' AND event_id % 11 <> 0 AND ts::date >= date '2024-01-31' - INTERVAL 1 MONTH")
@@ -429,9 +429,9 @@ def sort_multi_key(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
 
 
-@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'brass') ORDER BY CASE WHEN lower(p_type) = 'brass' THEN 0 WHEN starts_with(lower(p_type), 'brass') THEN 1 ELSE 2 END, p_retailprice DESC, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_type FROM part WHERE contains(lower(p_type), 'm') ORDER BY CASE WHEN lower(p_type) = 'm' THEN 0 WHEN starts_with(lower(p_type), 'm') THEN 1 ELSE 2 END, p_retailprice DESC, p_partkey LIMIT 50")
 def sort_case_rank(s: SparkSession, d: str) -> DataFrame:
-    return R.ranked_lookup(T(s, d).part, "p_type", "BRASS", "p_retailprice", "p_partkey").select("p_partkey", "p_type")
+    return R.ranked_lookup(T(s, d).part, "p_type", "M", "p_retailprice", "p_partkey").select("p_partkey", "p_type")
 
 
 @query(f"WITH {I.TAGS} SELECT ref, theme, confidence FROM tags WHERE theme = 'en' AND confidence >= 0.7 ORDER BY confidence DESC, ref LIMIT 10")
