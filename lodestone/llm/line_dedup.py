@@ -25,11 +25,11 @@ from .vectors import NOT_SPACE, binary_rows, flat, hash_spans, mix, slices, word
 
 #: Words of a run that is cut out at least; lines compared around a run; postings of a chunk that stay together, roughly; bytes of a bucket.
 MIN_WORDS, AROUND, LIST, BUCKET = 40, 12, 8192, 8 << 20
-#: Words of a line that isn't wrapped.
-LONG = 8
+#: Words of a line that isn't wrapped; words that the chunks of runs which touch have at least, without the lines around them.
+LONG, ANCHOR = 8, 16
 #: Frequent chunks that are told apart, and those that a task reports.
 FREQUENT, REPORTED = 1 << 16, 1 << 13
-_POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<u2"), ("pos", "<u4"), ("n", "u1")])
+_POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<u2"), ("pos", "<u4"), ("n", "u1"), ("words", "u1")])
 _NULL = np.iinfo(np.int64).max
 
 
@@ -146,6 +146,8 @@ def postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
                 doc = np.searchsorted(lines.first, first, "right") - 1
                 p = np.empty(len(first), _POSTING)
                 p["doc"], p["th"], p["pos"], p["n"] = ids[i:j][doc], _text_hash(data, at)[doc], first - lines.first[doc], np.minimum(n, 255)
+                total = np.append(0, np.cumsum(lines.words))
+                p["words"] = np.minimum(total[first + n] - total[first], 255)
                 held.append((value, p))
                 size += len(p)
                 if size >= 1 << 20:
@@ -157,7 +159,7 @@ def postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary, salted binary")
 
 
-_MATCH = "doc long, th long, pos long, n long, kdoc long, kth long, kpos long"
+_MATCH = "doc long, th long, pos long, n long, words long, kdoc long, kth long, kpos long"
 
 
 def matches(posted: DataFrame) -> DataFrame:
@@ -180,18 +182,25 @@ def matches(posted: DataFrame) -> DataFrame:
         take = np.flatnonzero(~same | (new & (salt != 0)))
         k = p[head[take]]
         p, salt = p[take], np.where(new[take], salt[take], 0)
-        return pa.table({**{c: p[c].astype(np.int64) for c in ("doc", "th", "pos", "n")}, **{"k" + c: k[c].astype(np.int64) for c in ("doc", "th", "pos")}, "salted": pa.array(salt, mask=salt == 0)})
+        return pa.table({**{c: p[c].astype(np.int64) for c in ("doc", "th", "pos", "n", "words")}, **{"k" + c: k[c].astype(np.int64) for c in ("doc", "th", "pos")}, "salted": pa.array(salt, mask=salt == 0)})
 
     return posted.groupBy("bucket").applyInArrow(bucket, _MATCH + ", salted long")
 
 
 def runs(found: DataFrame) -> DataFrame:
-    """Matches that follow one another in both documents, as one row each: lines [pos, pos + n) of doc are lines [kpos, kpos + n) of kdoc."""
+    """Matches that follow one another in both documents, as one row each: lines [pos, pos + n) of doc are lines [kpos, kpos + n) of kdoc.
+
+    Runs that touch each other and have fewer than ANCHOR words together drop out: a common line or two is no passage.
+    """
     w = Window.partitionBy("doc", "th", "kdoc", "kth", F.col("pos") - F.col("kpos")).orderBy("pos")
     end = F.col("pos") + F.col("n")
     new = F.coalesce(F.col("pos") > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     part = found.withColumn("run", F.sum(new.cast("int")).over(w)).withColumn("shift", F.col("pos") - F.col("kpos"))
-    grouped = part.groupBy("doc", "th", "kdoc", "kth", "shift", "run").agg(F.min("pos").alias("pos"), F.max(end).alias("end"))
+    grouped = part.groupBy("doc", "th", "kdoc", "kth", "shift", "run").agg(F.min("pos").alias("pos"), F.max(end).alias("end"), F.sum("words").alias("words"))
+    w = Window.partitionBy("doc", "th").orderBy("pos", "end")
+    apart = F.coalesce(F.col("pos") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    grouped = grouped.withColumn("island", F.sum(apart.cast("int")).over(w))
+    grouped = grouped.withColumn("all", F.sum("words").over(Window.partitionBy("doc", "th", "island"))).where(F.col("all") >= ANCHOR)
     return grouped.select("doc", "th", "pos", (F.col("end") - F.col("pos")).alias("n"), "kdoc", "kth", (F.col("pos") - F.col("shift")).alias("kpos"))
 
 
@@ -236,8 +245,8 @@ def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
 
     lists = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "n")).alias("ranges"))
-    joined = packed.select("_doc", "_th", "_z").join(lists, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")]).select("_doc", "_th", "_z", "ranges")
-    return joined.mapInArrow(run, "doc long, th long, pos long, n long, z binary, cut array<long>, before long").dropDuplicates(["doc", "th", "pos", "n"])
+    joined = packed.select("_doc", "_th", "_z").join(lists, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")]).select("_doc", "_th", "_z", "ranges").dropDuplicates(["_doc", "_th"])
+    return joined.mapInArrow(run, "doc long, th long, pos long, n long, z binary, cut array<long>, before long")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,17 +282,15 @@ def repeated_spans(docs: DataFrame, store: Store, packed: DataFrame) -> DataFram
     # the firsts of a frequent chunk's parts meet once more: one row a part
     heads = found.where("salted is not null")
     top = heads.groupBy("salted", "n").agg(F.min(F.struct("doc", "pos", "th")).alias("k"))
-    heads = heads.drop("kdoc", "kth", "kpos").join(top, ["salted", "n"]).select("doc", "th", "pos", "n", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.pos").alias("kpos")).where("doc <> kdoc or th <> kth or pos <> kpos")
+    heads = heads.drop("kdoc", "kth", "kpos").join(top, ["salted", "n"]).select("doc", "th", "pos", "n", "words", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.pos").alias("kpos")).where("doc <> kdoc or th <> kth or pos <> kpos")
     run = store.write(runs(found.where("salted is null").drop("salted").unionByName(heads)), "runs")
     wanted = run.select("doc", "th", "pos", "n").unionByName(run.select(F.col("kdoc").alias("doc"), F.col("kth").alias("th"), F.col("kpos").alias("pos"), "n")).distinct()
     piece = store.write(pieces(packed, wanted), "pieces")
-    left = run.join(piece, ["doc", "th", "pos", "n"])
     keys = ["kdoc", "kth", "kpos", "n"]
-    weight = run.groupBy(*keys).count().withColumnRenamed("count", "weight")
-    first = piece.select(*[F.col(c).alias("k" + c) for c in ("doc", "th", "pos", "z", "cut", "before")], "n").join(weight, keys)
-    name = F.xxhash64(*keys).alias("key")
-    left = left.join(weight, keys).withColumn("key", name).withColumn("doc_id", F.col("doc"))
-    both = salted_join(left, first.withColumn("key", name).drop(*keys), "key", "weight")
+    weight = run.groupBy(*keys).agg(F.count("*").alias("weight"))
+    left = run.join(weight, keys).join(piece, ["doc", "th", "pos", "n"]).withColumn("key", F.xxhash64(*keys)).withColumn("doc_id", F.col("doc"))
+    first = piece.select(*[F.col(c).alias("k" + c) for c in ("doc", "th", "pos", "z", "cut", "before")], "n").join(weight, keys).withColumn("key", F.xxhash64(*keys))
+    both = salted_join(left, first.select("key", "weight", *[F.col(c).alias("_" + c) for c in keys], "kz", "kcut", "kbefore"), "key", "weight").where(" and ".join(f"{c} = _{c}" for c in keys))
     spans = both.select("doc", "th", "pos", "n", "z", "cut", "before", "kdoc", "kth", "kz", "kcut", "kbefore").mapInArrow(_verify, "doc long, th long, from long, to long")
     return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
@@ -307,35 +314,37 @@ def _cut(raw: bytes, lines: Lines, spans: list[dict], min_words: int) -> tuple[b
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` cut, and lines (before), removed_lines, removed_bytes.
+    """docs with `text` cut, and removed_lines, removed_bytes.
 
     Of a passage that repeats, the occurrence with the smallest doc_id, then the first in the text, stays; a null doc_id
     comes last. Null and blank texts have no lines and stay as they are. Rows with one doc_id and text are one document
     and are cut alike. What stays of a text is joined as it stands. An empty table gives an empty result. Other columns
     are kept; one whose name is that of an added column is replaced.
     """
-    docs = docs.drop("lines", "removed_lines", "removed_bytes")
+    docs = docs.drop("removed_lines", "removed_bytes")
     store = Store(docs.sparkSession, "line_dedup")
     spans = store.write(repeated_spans(docs, store, _pack_docs(docs.select("doc_id", "text"))), "spans")
     names = [f.name for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unzip = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
                 text, counts = [], []
                 for z, null, found in zip(batch.column("_z").to_pylist(), batch.column("_null").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                    raw, lines = _unpack(z)
-                    kept, gone = _cut(raw, lines, found or [], min_words)
-                    text.append(None if null else kept.decode())
-                    counts.append((len(lines.begin), gone, len(raw) - len(kept)))
+                    raw, gone, kept = unzip.decompress(z), 0, None
+                    if found:
+                        kept, gone = _cut(raw, Lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), found, min_words)
+                    text.append(None if null else (kept if gone else raw).decode())
+                    counts.append((gone, len(raw) - len(kept) if gone else 0))
                 cols = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names]
-                cols += [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "lines", "removed_lines", "removed_bytes"])
+                cols += [pa.array([c[k] for c in counts], pa.int64()) for k in range(2)]
+                yield pa.RecordBatch.from_arrays(cols, [*names, "removed_lines", "removed_bytes"])
 
     packed = _pack_docs(docs.withColumn("_null", F.col("text").isNull()))
     joined = packed.join(spans, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")], "left").drop("doc", "th", "_doc", "_th")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return joined.mapInArrow(run, ", ".join([*fields, "lines long, removed_lines long, removed_bytes long"]))
+    return joined.mapInArrow(run, ", ".join([*fields, "removed_lines long, removed_bytes long"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
