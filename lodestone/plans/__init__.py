@@ -1,6 +1,6 @@
 """Registered queries by area."""
 
-from . import graph, relational, retrieval
+from . import graph, html, ingest, relational, retrieval, text
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "graph", "relational", "retrieval"]
+__all__ = ["QUERIES", "SQL", "graph", "html", "ingest", "relational", "retrieval", "text"]
