@@ -169,8 +169,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
                     total = np.append(0, np.cumsum(hit))
                     for d in range(j - i):
                         a, b = first[d], first[d + 1]
-                        e = max(a, b - bench.k + 1)
-                        if b > a and (total[e] > total[a] or bench.short or b - a < bench.k):
+                        a = int(a)
+                        e = max(a, int(b) - bench.k + 1)
+                        if b > a and (total[min(e, len(s))] > total[min(a, len(s))] or bench.short or b - a < bench.k):
                             for item, p, n, x in bench.search(w[a:b], s[a:e], hit[a:e], threshold):
                                 found.append((ids[i + d], item, p, n, x))
                 kinds = [pa.int64()] * 4 + [pa.float64()]

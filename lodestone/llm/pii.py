@@ -126,7 +126,7 @@ def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
         before = t
         for key in {("c", "".join(c for c in core.lower() if c.isalnum())), *([("d", digits[-7:])] if len(digits) >= 7 else [])}:
             if key[1] and len(key[1]) >= 4:
-                if key in last and last[key] != i - 1:
+                if key in last and (last[key], i) not in out.chain[-1:] + out.skip[-1:]:
                     out.skip.append((last[key], i))
                 last[key] = i
     return out
