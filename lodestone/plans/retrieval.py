@@ -74,7 +74,7 @@ def vec_ivf(s: SparkSession, d: str) -> DataFrame:
     """All vectors are indexed; queries are the ids divisible by 50; recall against exact search is tested."""
     t = T(s, d)
     e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return _round(V.ivf_search(e, V.ivf_fit(e, 16), e.filter("id % 50 = 0"), 10, 8))
+    return _round(V.ivf_search(e, V.ivf_fit(e, 16), e.filter("id % 50 = 0"), 10, 12))
 
 
 @query(f"WITH {_BASE}, e AS (SELECT s.query_id, s.id, s.similarity FROM s WHERE query_id <> id AND similarity > 0.25) SELECT query_id, id, round(similarity, 6) AS similarity FROM {_topk('e', 'similarity', 5)}")
