@@ -51,21 +51,24 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, weight: str, how: str
 def components(links: DataFrame, spark: SparkSession, store: Store, name: str, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected links: (id, component = smallest reachable id), for the linked ids only.
 
-    Alternating large-star and small-star steps: every step joins nothing and groups by one id, with partial minima, and
-    the number of steps is logarithmic. The links stay on the executors; each round is a table in the shared folder.
+    Alternating large-star and small-star steps: each takes minima by id (partial ones before the shuffle) and joins them
+    back, and the number of steps is logarithmic. The links stay on the executors; each round is a table in the shared folder.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = store.write(edges, f"{name}_0")
-    for step in range(1, 60):
+    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = state(edges)
+    for step in range(1, 60 if before[0] else 1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
         new = store.write(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{name}_{step}")
-        s = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if s(new) == s(edges):
+        now = state(new)
+        if now == before:
             break
+        before = now
         edges = new
     out = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return out.unionByName(edges.select(F.col("v").alias("id")).distinct().join(out.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
