@@ -5,8 +5,9 @@ five), so that a paragraph on one line is several lines, and equal passages are
 hash over the hashes of lines chooses chunk boundaries: a chunk begins where it is a local maximum, which depends on the
 neighbouring lines alone, so that boundaries move with the text. Chunks have two lines at least. Postings of all chunks are
 dealt by hash; of equal chunks the first (doc_id, position) stays. Matches that follow one another in both documents become
-one run; its bytes and those of the lines around it are compared with the first occurrence's, line by line, and equal lines
-around it join it. Where runs that touch have MIN_WORDS words together, they are cut out of the later document.
+one run, and all runs of two documents are compared at once: their bytes and those of the lines around them with the first
+occurrence's, line by line, and equal lines around a run join it. Where runs that touch have MIN_WORDS words together, they
+are cut out of the later document.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .vectors import NOT_SPACE, binary_rows, flat, hash_spans, mix, slices, word
 
 #: Words of a run that is cut out at least; lines compared around a run; postings of a chunk that stay together, roughly; bytes of a bucket.
 MIN_WORDS, AROUND, LIST, BUCKET = 40, 12, 8192, 8 << 20
+#: What is fetched of a first occurrence begins and ends at multiples of so many lines, so that its many matches share it.
+SNAP = 64
 #: Words of a line that isn't wrapped; words that the chunks of runs which touch have at least, without the lines around them.
 LONG, ANCHOR = 8, 16
 #: Frequent chunks that are told apart, and those that a task reports.
@@ -226,8 +229,21 @@ def _unpack(z: bytes) -> tuple[bytes, Lines]:
     return raw, Lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
 
 
+def pairs_of(run: DataFrame) -> DataFrame:
+    """All runs of two documents as one row: `ranges` (pos, n, kpos), the lines to fetch of both, [lo, hi) and [klo, khi)."""
+    pair = run.groupBy("doc", "th", "kdoc", "kth").agg(
+        F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("n")).alias("hi"), F.min("kpos").alias("klo"), F.max(F.col("kpos") + F.col("n")).alias("khi"), F.collect_list(F.struct("pos", "n", "kpos")).alias("ranges")
+    )
+    return pair.withColumns({
+        "lo": F.greatest(F.col("lo") - AROUND, F.lit(0)),
+        "hi": F.col("hi") + AROUND,
+        "klo": F.greatest(F.floor((F.col("klo") - AROUND) / SNAP) * SNAP, F.lit(0)).cast("long"),
+        "khi": (F.ceil((F.col("khi") + AROUND) / SNAP) * SNAP).cast("long"),
+    })
+
+
 def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted range of lines (doc, th, pos, n) its lines and AROUND lines on both sides: zstd of the bytes, where lines begin and end in them, and how many stand before pos."""
+    """For each wanted range of lines (doc, th, lo, hi) those lines: zstd of the bytes, and where each line begins and ends in them. Ranges end with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -235,18 +251,15 @@ def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
                 raw, lines = _unpack(r["_z"])
-                for pos, n in {(x["pos"], x["n"]) for x in r["ranges"]}:
-                    a, b = max(0, pos - AROUND), min(len(lines.start), pos + n + AROUND)
-                    if pos + n > len(lines.start):
-                        continue
-                    out.append((r["_doc"], r["_th"], pos, n, packer.compress(b"".join(raw[s:e] for s, e in zip(lines.start[a:b].tolist(), lines.end[a:b].tolist(), strict=True))), np.append(0, np.cumsum(lines.end[a:b] - lines.start[a:b])).tolist(), pos - a))
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64()), pa.int64()]
-            names = ["doc", "th", "pos", "n", "z", "cut", "before"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names)
-
-    lists = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("pos", "n")).alias("ranges"))
+                for lo, hi in {(x["lo"], x["hi"]) for x in r["ranges"]}:
+                    a, b = lines.start[lo:hi], lines.end[lo:hi]
+                    out.append((r["_doc"], r["_th"], lo, hi, packer.compress(b"".join(raw[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True))), np.append(0, np.cumsum(b - a)).tolist()))
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc", "th", "lo", "hi", "z", "cut"])
+
+    lists = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     joined = packed.select("_doc", "_th", "_z").join(lists, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")]).select("_doc", "_th", "_z", "ranges").dropDuplicates(["_doc", "_th"])
-    return joined.mapInArrow(run, "doc long, th long, pos long, n long, z binary, cut array<long>, before long")
+    return joined.mapInArrow(run, "doc long, th long, lo long, hi long, z binary, cut array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,16 +273,18 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
             a, b = lines(r, ""), lines(r, "k")
-            i, j, n = r["before"], r["kbefore"], r["n"]
-            if a[i : i + n] != b[j : j + n]:
-                continue
-            lo, hi = 0, n
-            if (r["doc"], r["th"]) != (r["kdoc"], r["kth"]):
-                while lo < min(i, j) and a[i - lo - 1] == b[j - lo - 1]:
-                    lo += 1
-                while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-                    hi += 1
-            out.append((r["doc"], r["th"], r["pos"] - lo, r["pos"] + hi))
+            own = (r["doc"], r["th"]) == (r["kdoc"], r["kth"])
+            for x in r["ranges"]:
+                i, j, n = x["pos"] - r["lo"], x["kpos"] - r["klo"], x["n"]
+                if a[i : i + n] != b[j : j + n] or i + n > len(a):
+                    continue
+                lo, hi = 0, n
+                if not own:
+                    while lo < min(i, j) and a[i - lo - 1] == b[j - lo - 1]:
+                        lo += 1
+                    while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
+                        hi += 1
+                out.append((r["doc"], r["th"], x["pos"] - lo, x["pos"] + hi))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["doc", "th", "from", "to"])
 
 
@@ -283,15 +298,15 @@ def repeated_spans(docs: DataFrame, store: Store, packed: DataFrame) -> DataFram
     heads = found.where("salted is not null")
     top = heads.groupBy("salted", "n").agg(F.min(F.struct("doc", "pos", "th")).alias("k"))
     heads = heads.drop("kdoc", "kth", "kpos").join(top, ["salted", "n"]).select("doc", "th", "pos", "n", "words", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.pos").alias("kpos")).where("doc <> kdoc or th <> kth or pos <> kpos")
-    run = store.write(runs(found.where("salted is null").drop("salted").unionByName(heads)), "runs")
-    wanted = run.select("doc", "th", "pos", "n").unionByName(run.select(F.col("kdoc").alias("doc"), F.col("kth").alias("th"), F.col("kpos").alias("pos"), "n")).distinct()
+    pair = store.write(pairs_of(runs(found.where("salted is null").drop("salted").unionByName(heads))), "pairs")
+    keys = ["kdoc", "kth", "klo", "khi"]
+    wanted = pair.select("doc", "th", "lo", "hi").unionByName(pair.select(*[F.col(k).alias(k[1:]) for k in keys])).distinct()
     piece = store.write(pieces(packed, wanted), "pieces")
-    keys = ["kdoc", "kth", "kpos", "n"]
-    weight = run.groupBy(*keys).agg(F.count("*").alias("weight"))
-    left = run.join(weight, keys).join(piece, ["doc", "th", "pos", "n"]).withColumn("key", F.xxhash64(*keys)).withColumn("doc_id", F.col("doc"))
-    first = piece.select(*[F.col(c).alias("k" + c) for c in ("doc", "th", "pos", "z", "cut", "before")], "n").join(weight, keys).withColumn("key", F.xxhash64(*keys))
-    both = salted_join(left, first.select("key", "weight", *[F.col(c).alias("_" + c) for c in keys], "kz", "kcut", "kbefore"), "key", "weight").where(" and ".join(f"{c} = _{c}" for c in keys))
-    spans = both.select("doc", "th", "pos", "n", "z", "cut", "before", "kdoc", "kth", "kz", "kcut", "kbefore").mapInArrow(_verify, "doc long, th long, from long, to long")
+    weight = pair.groupBy(*keys).agg(F.count("*").alias("weight"))
+    left = pair.join(weight, keys).join(piece, ["doc", "th", "lo", "hi"]).withColumn("key", F.xxhash64(*keys)).withColumn("doc_id", F.col("doc"))
+    first = piece.select(*[F.col(c).alias("k" + c) for c in ("doc", "th", "lo", "hi", "z", "cut")]).join(weight, keys).withColumn("key", F.xxhash64(*keys))
+    both = salted_join(left, first.select("key", "weight", *[F.col(c).alias("_" + c) for c in keys], "kz", "kcut"), "key", "weight").where(" and ".join(f"{c} = _{c}" for c in keys))
+    spans = both.select("doc", "th", "lo", "z", "cut", "ranges", "kdoc", "kth", "klo", "kz", "kcut").mapInArrow(_verify, "doc long, th long, from long, to long")
     return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
 
 
