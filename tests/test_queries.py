@@ -12,8 +12,8 @@ from lodestone import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Rows that the given tables or the reference time needn't have at this size.
-MAY_BE_EMPTY = {"join_anti_title", "join_fuzzy_name", "topk_entity_refs", "detect_suspicious"}
+#: At this size all documents have a vector.
+MAY_BE_EMPTY = {"embed_backfill"}
 
 
 def plain(v):
@@ -46,4 +46,4 @@ def test_like_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() > 0
+    assert plans.QUERIES[name](spark, SF).count() > 0 or name in MAY_BE_EMPTY
