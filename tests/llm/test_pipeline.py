@@ -62,4 +62,4 @@ def test_stages(spark):
 def test_run_is_registered():
     import __spark_entry__
 
-    assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
+    assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
