@@ -32,7 +32,7 @@ FREQUENT, FREQUENT_COUNT, REPORTED = 1 << 18, 16, 1 << 14
 ROUNDS, TRIES = 2, 3
 #: Steps of a band of sizes per factor of 4/3; most members of a list without salt; members that one leader serves; bytes of a bucket.
 STEPS, LIST, BLOCK, BUCKET = 32, 8192, 256, 8 << 20
-_POSTING = np.dtype([("token", "u1", 5), ("cls", "<i8"), ("band", "<u2")])
+_POSTING = np.dtype([("token", "u1", 5), ("cls", "<i8"), ("band", "<u2"), ("at", "u1")])
 
 
 def _signature(s: np.ndarray) -> bytes:
@@ -120,6 +120,7 @@ def postings(docs: DataFrame, k: int, t: int, frequent, buckets: int) -> DataFra
             lens = np.array([len(s) for s, _, _ in held])
             cls = np.repeat(np.array([c for _, c, _ in held], np.int64), lens)
             band = np.repeat(_bands(np.array([n for _, _, n in held])), lens)
+            place = np.concatenate([np.arange(k) * 255 // k for k in lens]).astype(np.uint8)
             if len(often):
                 at = np.minimum(np.searchsorted(often, token), len(often) - 1)
                 hot = np.flatnonzero((often[at] == token) & (count[at] > LIST))
@@ -133,7 +134,7 @@ def postings(docs: DataFrame, k: int, t: int, frequent, buckets: int) -> DataFra
                     salted = np.zeros(len(token) + len(meet), np.int64)
                     salted[hot] = (mix(kept).view(np.int64) | 1)
                     salted[len(token) :] = mix(token[meet] * 0 + kept[h % np.uint64(512) == 0]).view(np.int64) | 1
-                    token, cls, band = np.concatenate([token, extra]), np.concatenate([cls, cls[meet]]), np.concatenate([band, band[meet]])
+                    token, cls, band, place = np.concatenate([token, extra]), np.concatenate([cls, cls[meet]]), np.concatenate([band, band[meet]]), np.concatenate([place, place[meet]])
                 else:
                     salted = np.zeros(len(token), np.int64)
             else:
@@ -142,7 +143,7 @@ def postings(docs: DataFrame, k: int, t: int, frequent, buckets: int) -> DataFra
             order = np.argsort(bucket, kind="stable")
             p = np.empty(len(token), _POSTING)
             p["token"] = np.ascontiguousarray(token[order] >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :5]
-            p["cls"], p["band"] = cls[order], band[order]
+            p["cls"], p["band"], p["at"] = cls[order], band[order], place[order]
             s = salted[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
@@ -175,7 +176,7 @@ def postings(docs: DataFrame, k: int, t: int, frequent, buckets: int) -> DataFra
 
 
 def tile_lists(posted: DataFrame) -> DataFrame:
-    """(list_id, cls, band, lead): members of the tiles with several classes; equal lists count once. lead is the class that a member is compared with first."""
+    """(list_id, cls, band, at, lead): members of the tiles with several classes; equal lists count once. at is where the shingle stands in the class's prefix (0 to 255); lead is the class that a member is compared with first."""
 
     def bucket(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -185,10 +186,10 @@ def tile_lists(posted: DataFrame) -> DataFrame:
         token[:, :5] = p["token"]
         token = token.view("<u8").ravel()
         order = np.lexsort([p["cls"], p["band"], token])
-        token, cls, band, salted = token[order], p["cls"][order], p["band"][order].astype(np.int64), salted[order]
+        token, cls, band, place, salted = token[order], p["cls"][order], p["band"][order].astype(np.int64), p["at"][order].astype(np.int64), salted[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-        token, cls, band, salted = token[keep], cls[keep], band[keep], salted[keep]
+        token, cls, band, place, salted = token[keep], cls[keep], band[keep], place[keep], salted[keep]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | ((band[1:] - band[:-1] > STEPS + 1) & (salted[1:] == 0))
         first = np.flatnonzero(new)
@@ -197,16 +198,20 @@ def tile_lists(posted: DataFrame) -> DataFrame:
             member = np.add.reduceat(mix(cls.view(np.uint64)), first) if len(first) else np.zeros(0, np.uint64)
         name = np.where(salted[first] != 0, salted[first], (mix(member + size.astype(np.uint64)).view(np.int64)) & ~np.int64(1))
         good = (size > 1) | (salted[first] != 0)
+        # of equal lists the one whose shingle comes first in its members' order
+        by = np.lexsort([np.add.reduceat(place, first) if len(first) else first, np.where(salted[first] != 0, np.arange(len(first)), -1), name])
+        head = np.ones(len(first), bool)
+        head[1:] = (name[by][1:] != name[by][:-1]) | (salted[first][by][1:] != 0)
         once = np.zeros(len(first), bool)
-        once[np.unique(np.stack([name, np.where(salted[first] != 0, np.arange(len(first)), -1)], 1), axis=0, return_index=True)[1]] = True
+        once[by[head]] = True
         take = good & once
         rows_of = np.repeat(take, size)
         start, at = np.repeat(first, size)[rows_of], np.flatnonzero(rows_of)
         pos = at - start
         lead = cls[start + np.where(pos % BLOCK == 0, np.maximum(pos - BLOCK, 0), pos - pos % BLOCK)]
-        return pa.table({"list_id": np.repeat(name, size)[rows_of], "cls": cls[at], "band": band[at].astype(np.int32), "lead": lead})
+        return pa.table({"list_id": np.repeat(name, size)[rows_of], "cls": cls[at], "band": band[at].astype(np.int32), "at": place[at].astype(np.int32), "lead": lead})
 
-    return posted.groupBy("bucket").applyInArrow(bucket, "list_id long, cls long, band int, lead long")
+    return posted.groupBy("bucket").applyInArrow(bucket, "list_id long, cls long, band int, at int, lead long")
 
 
 def _bound(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
@@ -301,17 +306,23 @@ class Join:
         parts = merged(wanted.select("cls", F.col("cls").alias("component")), found[0], "parts_0")
 
         def mixed(members: DataFrame, parts: DataFrame, name: str) -> DataFrame:
-            """Members of the lists that hold several components: list_id, cls, band, component, main (the component with most members)."""
-            member = members.select("list_id", "cls", "band").join(parts, "cls")
+            """Members of the lists that hold several components: list_id, cls, band, hub, n, left, component, main (the component with most members)."""
+            member = members.select("list_id", "cls", "band", "hub", "n", "left").join(parts, "cls")
             main = member.groupBy("list_id", "component").count().groupBy("list_id").agg(F.max_by("component", F.struct("count", (-F.col("component")).alias("c"))).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
             return store.write(member.join(main, "list_id"), name)
 
-        rest = mixed(lists.select("list_id", "cls", "band").distinct(), parts, "mixed_0")
-        near = f"abs(band - ba) <= {STEPS + 1}"
+        # what the copies of a group were made from shares most of its shingles with them: it is in most tiles for its size
+        member = lists.groupBy("list_id", "cls").agg(F.min("band").alias("band"), F.min("at").alias("at"))
+        hubs = member.groupBy("cls").count().join(wanted, "cls").select("cls", "n", (F.col("count") / F.col("n")).alias("hub"))
+        prefix = f"(n - ceil({percent} * n / 100D) + 1)"
+        rest = mixed(member.join(hubs, "cls").withColumn("left", F.expr(f"n - floor(at * {prefix} / 255)")), parts, "mixed_0")
+        # what two sets share lies behind the first shingle that they share: `left` of either bounds it
+        near = f"abs(band - ba) <= {STEPS + 1} and {100 + percent} * least(left, la) >= {percent} * (n + na)"
+        own = ["list_id", F.col("cls").alias("c"), F.col("band").alias("ba"), F.col("left").alias("la"), F.col("n").alias("na")]
         for k in range(1, ROUNDS + 1):
-            few = rest.where("component <> main").select("list_id", F.col("cls").alias("c"), F.col("band").alias("ba"))
-            pick = [F.min_by(F.struct("cls", "band"), F.xxhash64("cls", "list_id", F.lit(k * TRIES + j))).alias(f"m{j}") for j in range(TRIES)]
-            member = rest.where("component = main").groupBy("list_id").agg(*pick).select("list_id", F.explode(F.array(*[f"m{j}" for j in range(TRIES)])).alias("m")).select("list_id", "m.cls", "m.band")
+            few = rest.where("component <> main").select(own)
+            order = F.row_number().over(Window.partitionBy("list_id").orderBy(F.desc("hub"), "cls"))
+            member = rest.where("component = main").withColumn("no", order).where(F.col("no") <= k * TRIES).where(F.col("no") > (k - 1) * TRIES).select("list_id", "cls", "band", "left", "n")
             shared = few.join(member, "list_id").where(near).groupBy("c", "cls").count()
             best = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("count"), "cls"))
             pairs = shared.withColumn("no", best).where(F.col("no") <= TRIES).select(*least("c", "cls")).distinct().join(tried, ["a", "b"], "left_anti")
@@ -320,7 +331,7 @@ class Join:
             tried = tried.unionByName(pairs)
             parts = merged(parts, found[-1], f"parts_{k}")
             rest = mixed(rest, parts, f"mixed_{k}")
-        few = rest.where("component <> main").select("list_id", F.col("cls").alias("c"), F.col("component").alias("cc"), F.col("band").alias("ba"))
+        few = rest.where("component <> main").select(*own, F.col("component").alias("cc"))
         pairs = few.join(rest, "list_id").where(f"component <> cc and {near} and (component = main or c < cls)").select(*least("c", "cls")).distinct()
         found.append(verified(pairs.join(tried, ["a", "b"], "left_anti"), "links"))
         parts = merged(parts, found[-1], "parts")
