@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +139,37 @@ def word_hashes(text: str | None) -> np.ndarray:
     return hash_spans(data, starts, ends)
 
 
+def passes(docs: DataFrame, benchmark: DataFrame, radius: int) -> Iterator[Broadcast]:
+    """The benchmark's items, in as many parts as passes over the documents."""
+    spark, n = docs.sparkSession, benchmark.count()
+    parts = max(1, -(-n // ITEMS))
+    dealt = benchmark.select("item_id", "text").withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    for k in range(parts):
+        rows = sorted(((r["item_id"], r["text"]) for r in dealt.where(F.col("pass") == k).collect()), key=lambda r: (r[0] is None, r))
+        yield spark.sparkContext.broadcast(Benchmark(rows, SHINGLE, radius))
+
+
+def found_in(batch: pa.RecordBatch, bench: Benchmark, threshold: float) -> list[tuple]:
+    """(row of the batch, item_id, start_word, n_words, similarity)"""
+    found = []
+    for i, j, data, at in texts(batch):
+        data = LOWER[data]
+        starts, ends, first = words(data, at, NOT_SPACE)
+        w = hash_spans(data, starts, ends)
+        s = roll(w, bench.k)
+        known = bench.known
+        hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+        total = np.append(0, np.cumsum(hit))
+        for d in range(j - i):
+            a, b = first[d], first[d + 1]
+            a = int(a)
+            e = max(a, int(b) - bench.k + 1)
+            if b > a and (total[min(e, len(s))] > total[min(a, len(s))] or bench.short or b - a < bench.k):
+                for item, p, n, x in bench.search(w[a:b], s[a:e], hit[a:e], threshold):
+                    found.append((i + d, item, p, n, x))
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, start_word, n_words, similarity of the best window.
 
@@ -146,34 +178,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75,
     by nothing. Of equally similar windows the first counts. Repeated rows give rows of their own; an empty table gives an
     empty result; other columns are ignored.
     """
-    spark, n = docs.sparkSession, benchmark.count()
-    passes = max(1, -(-n // ITEMS))
-    dealt = benchmark.select("item_id", "text").withColumn("pass", F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)))
     out = None
-    for k in range(passes):
-        rows = sorted(((r["item_id"], r["text"]) for r in dealt.where(F.col("pass") == k).collect()), key=lambda r: (r[0] is None, r))
-        index = spark.sparkContext.broadcast(Benchmark(rows, SHINGLE, radius))
+    for index in passes(docs, benchmark, radius):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            bench = index.value
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                found = []
-                for i, j, data, at in texts(batch):
-                    data = LOWER[data]
-                    starts, ends, first = words(data, at, NOT_SPACE)
-                    w = hash_spans(data, starts, ends)
-                    s = roll(w, bench.k)
-                    known = bench.known
-                    hit = known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
-                    total = np.append(0, np.cumsum(hit))
-                    for d in range(j - i):
-                        a, b = first[d], first[d + 1]
-                        a = int(a)
-                        e = max(a, int(b) - bench.k + 1)
-                        if b > a and (total[min(e, len(s))] > total[min(a, len(s))] or bench.short or b - a < bench.k):
-                            for item, p, n, x in bench.search(w[a:b], s[a:e], hit[a:e], threshold):
-                                found.append((ids[i + d], item, p, n, x))
+                found = [(ids[row], *rest) for row, *rest in found_in(batch, index.value, threshold)]
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True) if found else [[]] * 5, kinds, strict=True)], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
@@ -187,9 +198,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    held = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.alias("d").join(held.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")), "left_anti")
+    """Documents that hold no item of the benchmark. Each row is judged by its own text, whatever other rows have its doc_id."""
+    for index in passes(docs, table(spark, sf_dir, "benchmark"), RADIUS):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in found_in(batch, index.value, 0.75)]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 SQL = r"""

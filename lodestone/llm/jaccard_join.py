@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Store, components, table
+from .shared import Store, components, table, text_digest
 from .vectors import binary_rows, mix, shingle_sets, texts
 
 #: Frequent shingles that are told apart (8 bytes each), the smallest count of one, those that a task reports.
@@ -73,29 +73,31 @@ class Counts:
         self.tokens, self.n, self.parts, self.held = t[top], n[top], [], 0
 
 
-def shingle_classes(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents: doc_id, n, cls (null without words), signature. A last row of each task: frequent shingles and their counts there."""
+def shingle_classes(docs: DataFrame, k: int, digests: bool = False) -> DataFrame:
+    """Rows of documents: doc_id, n, cls (null without words), signature, and on request the text's digest. A last row of each task: frequent shingles and their counts there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
 
-        def rows(ids, sets, tokens=None, n=None) -> pa.RecordBatch:
+        def rows(ids, sets, digest, tokens=None, n=None) -> pa.RecordBatch:
             extra = [pa.array([tokens] if tokens is not None else [None] * len(sets), pa.list_(pa.int64())), pa.array([n] if n is not None else [None] * len(sets), pa.list_(pa.int64()))]
             cols = [ids, pa.array([None if s is None else len(s) for s in sets], pa.int64()), pa.array([_class(s) if s is not None and len(s) else None for s in sets], pa.int64()), pa.array([_signature(s) if s is not None and len(s) else None for s in sets], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols + extra, ["doc_id", "n", "cls", "signature", "frequent", "counts"])
+            return pa.RecordBatch.from_arrays([*cols, *extra, *[digest] * digests], ["doc_id", "n", "cls", "signature", "frequent", "counts", *["digest"] * digests])
 
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
+            digest = batch.column("digest") if digests else None
             for i, j, data, at in texts(batch):
                 sets = shingle_sets(data, at, k)
                 for s in sets:
                     counts.add(s)
-                yield rows(ids.slice(i, j - i), sets)
+                yield rows(ids.slice(i, j - i), sets, digest.slice(i, j - i) if digests else None)
         counts.fold()
         top = np.argsort(-counts.n, kind="stable")[:REPORTED]
-        yield rows(pa.array([None], pa.int64()), [None], counts.tokens[top].view(np.int64).tolist(), counts.n[top].tolist())
+        yield rows(pa.array([None], pa.int64()), [None], pa.array([None], pa.binary()), counts.tokens[top].view(np.int64).tolist(), counts.n[top].tolist())
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, cls long, signature binary, frequent array<long>, counts array<long>")
+    rows = docs.select("doc_id", "text", *[text_digest().alias("digest")] * digests)
+    return rows.mapInArrow(run, "doc_id long, n long, cls long, signature binary, frequent array<long>, counts array<long>" + ", digest binary" * digests)
 
 
 def _bands(n: np.ndarray) -> np.ndarray:
@@ -267,11 +269,11 @@ def arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 class Join:
     """Classes, links between them and components, as tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 75):
+    def __init__(self, docs: DataFrame, shingle: int = 5, percent: int = 75, digests: bool = False):
         spark = docs.sparkSession
         store = self.store = Store(spark, "jaccard_join")
-        rows = store.write(shingle_classes(docs, shingle), "classes")
-        self.documents = rows.where("n is not null").select("doc_id", "n", "cls")
+        rows = store.write(shingle_classes(docs, shingle, digests), "classes")
+        self.documents = rows.where("n is not null").select("doc_id", "n", "cls", *["digest"] * digests)
         top = rows.where("frequent is not null").select(F.explode(F.arrays_zip("frequent", "counts")).alias("x")).groupBy(F.col("x.frequent").alias("token")).agg(F.sum("x.counts").alias("n"))
         top = top.where(F.col("n") >= FREQUENT_COUNT).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
         token, n = top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy()
@@ -369,10 +371,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (see near_duplicates)."""
-    found = near_duplicates(docs)
-    gone = found.where("not (doc_id <=> component_id)").select("doc_id").distinct()
-    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    """One document of each component: the one with the smallest doc_id (see near_duplicates). Other texts under the doc_id of one that goes, or without one, stay."""
+    j = Join(docs, digests=True)
+    gone = j.documents.join(j.components, "cls").where("not (doc_id <=> component_id)").select("doc_id", "digest").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (text_digest("d.text") == F.col("g.digest"))
+    return docs.alias("d").join(gone.alias("g"), same, "left_anti")
 
 
 SQL = r"""

@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_digest(text: str = "text") -> Column:
+    """128 bits that tell the texts under one doc_id, or without one, apart; null for null."""
+    return F.unhex(F.md5(text))
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, weight: str, how: str = "inner", per_salt: int = 1024) -> DataFrame:
     """many ⋈ one on key, where `one` holds a row per key and the number of its matches in column `weight`.
 

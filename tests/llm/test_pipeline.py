@@ -5,7 +5,7 @@ from __future__ import annotations
 import itertools
 
 import corpus_pipeline
-from lodestone.llm import quality, tokens
+from lodestone.llm import decontamination, jaccard_join, quality, tokens
 from lodestone.llm.shared import Store, table
 
 from .test_contracts import jaccard, shingles
@@ -59,6 +59,24 @@ def test_stages(spark):
     assert got == size
 
 
+def test_stages_judge_rows_without_an_id_by_their_text(spark):
+    """Clean texts stay beside a rejected, a repeated and a contaminated one under the same null or repeated doc_id."""
+    docs = table(spark, SF, "documents")
+    scores = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, table(spark, SF, "labels")).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    best, worst = max(scores, key=scores.get), min(scores, key=scores.get)
+    assert scores[worst] < 0.5 <= scores[best]
+    item = table(spark, SF, "benchmark").first()["text"]
+    words = lambda p: " ".join(f"{p}{i}" for i in range(80))
+    cases = [(quality.stage, texts[worst], texts[best], []), (jaccard_join.stage, words("c"), words("d"), [(1, words("c"))]), (decontamination.stage, item, words("e"), [])]
+    for stage, bad, clean, more in cases:
+        for i in (None, 1 << 40):
+            rows = [*more, (i, bad), (i, clean), (i, None)]
+            frame = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+            got = [(r["doc_id"], r["text"]) for r in stage(spark, docs.unionByName(frame) if stage is quality.stage else frame, SF).collect()]
+            assert (i, clean) in got and (i, bad) not in got and all(r in got for r in more)
+
+
 def test_run_is_registered():
     import __spark_entry__
 
