@@ -32,7 +32,7 @@ SNAP = 64
 LONG, ANCHOR = 8, 16
 #: Frequent chunks that are told apart, and those that a task reports.
 FREQUENT, REPORTED = 1 << 16, 1 << 13
-_POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<u2"), ("pos", "<u4"), ("n", "u1"), ("words", "u1")])
+_POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("n", "u1"), ("words", "u1")])
 _NULL = np.iinfo(np.int64).max
 
 
@@ -95,7 +95,8 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
 
 
 def _text_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (hash_spans(data, at[:-1], at[1:], 11) >> np.uint64(48)).astype(np.uint16)
+    """With the doc_id, what a document is known by: rows without a doc_id may be any number of unlike texts."""
+    return hash_spans(data, at[:-1], at[1:], 11).view(np.int64)
 
 
 def frequent_chunks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +218,7 @@ def _pack_docs(docs: DataFrame) -> DataFrame:
                 part, raw = batch.slice(i, j - i), data.tobytes()
                 rest = [c for c in batch.schema.names if c != "text"]
                 z = binary_rows([packer.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-                cols = [part.column(c) for c in rest] + [z, part.column("doc_id").cast(pa.int64()).fill_null(_NULL), pa.array(_text_hash(data, at).astype(np.int64))]
+                cols = [part.column(c) for c in rest] + [z, part.column("doc_id").cast(pa.int64()).fill_null(_NULL), pa.array(_text_hash(data, at))]
                 yield pa.RecordBatch.from_arrays(cols, [*rest, "_z", "_doc", "_th"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]

@@ -184,6 +184,30 @@ def test_line_dedup_salted(spark, monkeypatch):
     assert [r["doc_id"] for r in got if PASSAGE in r["text"]] == [0]
 
 
+def test_line_dedup_tells_texts_without_an_id_apart(spark):
+    """Two texts without a doc_id whose hashes have equal upper 16 bits: one holds a repeated passage, the other is clean."""
+    import numpy as np
+
+    from lodestone.llm.vectors import hash_spans
+
+    held = " ".join(f"b{i}" for i in range(30)) + "\n" + PASSAGE + "\n" + " ".join(f"e{i}" for i in range(30))
+    clean = " ".join(f"c{i}" for i in range(60)) + "\n"
+    size = len(clean) + 8
+    upper = lambda t: int(hash_spans(np.frombuffer(t.encode(), np.uint8), np.array([0]), np.array([len(t)]), 11)[0] >> np.uint64(48))
+    want = upper(held)
+    other = None
+    for k in range(0, 1_000_000, 4096):
+        data = np.frombuffer("".join(f"{clean}{k + j:08d}" for j in range(4096)).encode(), np.uint8)
+        at = np.arange(0, len(data), size)
+        same = np.flatnonzero(hash_spans(data, at, at + size, 11) >> np.uint64(48) == want)
+        if len(same):
+            other = f"{clean}{k + same[0]:08d}"
+            break
+    assert other is not None
+    got = [r["text"] for r in line_dedup.line_dedup(docs_of(spark, [(1, PASSAGE), (None, held), (None, other)])).collect()]
+    assert other in got and held not in got and sum(PASSAGE in t for t in got) == 1
+
+
 def test_chunk_boundaries_move_with_the_text():
     import numpy as np
 
