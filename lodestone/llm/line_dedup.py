@@ -1,12 +1,12 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are cut at line breaks. Lines of more than LONG words are wrapped behind words that their own hash chooses (two in
-five), so that a paragraph on one line is several lines, and equal passages are wrapped alike wherever they stand. A rolling
+Texts are wrapped anew, whatever their line breaks: a line begins where the hash of two words that follow one another
+chooses (two in five), so that equal passages are wrapped alike wherever they stand and however they were wrapped. A rolling
 hash over the hashes of lines chooses chunk boundaries: a chunk begins where it is a local maximum, which depends on the
 neighbouring lines alone, so that boundaries move with the text. Chunks have two lines at least. Postings of all chunks are
 dealt by hash; of equal chunks the first (doc_id, position) stays. Matches that follow one another in both documents become
-one run, and all runs of two documents are compared at once: their bytes and those of the lines around them with the first
-occurrence's, line by line, and equal lines around a run join it. Where runs that touch have MIN_WORDS words together, they
+one run, and all runs of two documents are compared at once: their words with the first occurrence's, and equal words around
+a run join it, up to AROUND lines. Where runs that touch have MIN_WORDS words together, they
 are cut out of the later document.
 """
 
@@ -28,8 +28,8 @@ from .vectors import NOT_SPACE, binary_rows, flat, hash_spans, mix, slices, word
 MIN_WORDS, AROUND, LIST, BUCKET = 40, 12, 8192, 8 << 20
 #: What is fetched of a first occurrence begins and ends at multiples of so many lines, so that its many matches share it.
 SNAP = 64
-#: Words of a line that isn't wrapped; words that the chunks of runs which touch have at least, without the lines around them.
-LONG, ANCHOR = 8, 16
+#: Words that the chunks of runs which touch have at least, without the words around them.
+ANCHOR = 8
 #: Frequent chunks that are told apart, and those that a task reports.
 FREQUENT, REPORTED = 1 << 16, 1 << 13
 _POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("n", "u1"), ("words", "u1")])
@@ -37,32 +37,24 @@ _NULL = np.iinfo(np.int64).max
 
 
 class Lines:
-    """Lines of a slice of texts: where each begins, its bytes without white space around them, hash and number of words; first: where each text's lines begin."""
+    """Lines of a slice of texts: start and end of each word; the first word of each line, and the end; each line's hash and number of words; first: where each text's lines begin."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        n = len(data)
+        self.start, self.end, whose = words(data, at, NOT_SPACE)
+        n = len(self.start)
         if not n:
-            self.begin = self.start = self.end = self.words = np.zeros(0, np.int64)
-            self.hash, self.first = np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+            self.word, self.words, self.hash, self.first = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
             return
-        cut = np.zeros(n, bool)
-        cut[1:] = data[:-1] == 10
-        cut[at[:-1][at[1:] > at[:-1]]] = True
-        w, w_end, _ = words(data, at, NOT_SPACE)
-        row = np.searchsorted(np.flatnonzero(cut), w, "right")
-        chosen = (hash_spans(data, w, w_end, 5) % np.uint64(5) < 2) & (np.bincount(row)[row] > LONG) if len(w) else np.zeros(0, bool)
-        cut[w[1:][chosen[:-1]]] = True
+        h = hash_spans(data, self.start, self.end, 5)
+        cut = np.ones(n, bool)
+        cut[1:] = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(5) < 2
+        cut[whose[:-1][whose[1:] > whose[:-1]]] = True
         begin = np.flatnonzero(cut)
-        end = np.append(begin[1:], n)
-        ink = np.flatnonzero(NOT_SPACE[data])
-        a = np.searchsorted(ink, begin)
-        b = np.searchsorted(ink, end) - 1
-        some = b >= a
-        self.begin, a, b = begin[some], a[some], b[some]
-        self.start, self.end = ink[a], ink[b] + 1
-        self.hash = hash_spans(data, self.start, self.end, 3)
-        self.words = np.searchsorted(w, self.end) - np.searchsorted(w, self.start)
-        self.first = np.searchsorted(self.begin, at)
+        self.word = np.append(begin, n)
+        self.words = np.diff(self.word)
+        place = np.arange(n) - np.repeat(begin, self.words)
+        self.hash = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
+        self.first = np.searchsorted(begin, whose)
 
 
 def chunks(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +236,7 @@ def pairs_of(run: DataFrame) -> DataFrame:
 
 
 def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted range of lines (doc, th, lo, hi) those lines: zstd of the bytes, and where each line begins and ends in them. Ranges end with the text."""
+    """For each wanted range of lines (doc, th, lo, hi) those lines: zstd of the bytes, and the number of each line's first word in the text, and of the end. Ranges end with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
@@ -253,8 +245,8 @@ def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
             for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
                 raw, lines = _unpack(r["_z"])
                 for lo, hi in {(x["lo"], x["hi"]) for x in r["ranges"]}:
-                    a, b = lines.start[lo:hi], lines.end[lo:hi]
-                    out.append((r["_doc"], r["_th"], lo, hi, packer.compress(b"".join(raw[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True))), np.append(0, np.cumsum(b - a)).tolist()))
+                    cut = lines.word[lo : hi + 1].tolist()
+                    out.append((r["_doc"], r["_th"], lo, hi, packer.compress(raw[lines.start[cut[0]] : lines.end[cut[-1] - 1]] if len(cut) > 1 else b""), cut))
             kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc", "th", "lo", "hi", "z", "cut"])
 
@@ -264,33 +256,33 @@ def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (doc, th, from, to), in lines, of the runs whose lines are equal, with the equal lines around them."""
-
-    def lines(r: dict, k: str) -> list[bytes]:
-        raw = zstandard.ZstdDecompressor().decompress(r[k + "z"]) if r[k + "cut"][-1] else b""
-        return [raw[a:b] for a, b in zip(r[k + "cut"][:-1], r[k + "cut"][1:], strict=True)]
-
+    """Spans (doc, th, from, to), in words, of the runs whose words are equal, with the equal words around them. Within one text a span ends where its first occurrence begins or ends."""
+    unzip = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
         for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
-            a, b = lines(r, ""), lines(r, "k")
+            a, b = unzip.decompress(r["z"]).split(), unzip.decompress(r["kz"]).split()
+            cut, kcut = r["cut"], r["kcut"]
             own = (r["doc"], r["th"]) == (r["kdoc"], r["kth"])
             for x in r["ranges"]:
-                i, j, n = x["pos"] - r["lo"], x["kpos"] - r["klo"], x["n"]
-                if a[i : i + n] != b[j : j + n] or i + n > len(a):
+                p, q = x["pos"] - r["lo"], x["kpos"] - r["klo"]
+                if p + x["n"] >= len(cut) or q + x["n"] >= len(kcut):
+                    continue
+                i, j, n = cut[p] - cut[0], kcut[q] - kcut[0], cut[p + x["n"]] - cut[p]
+                if a[i : i + n] != b[j : j + n]:
                     continue
                 lo, hi = 0, n
-                if not own:
-                    while lo < min(i, j) and a[i - lo - 1] == b[j - lo - 1]:
-                        lo += 1
-                    while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-                        hi += 1
-                out.append((r["doc"], r["th"], x["pos"] - lo, x["pos"] + hi))
+                room = cut[p] - kcut[q] if own else len(a) + len(b)
+                while lo < min(i, j) and lo + hi < room and a[i - lo - 1] == b[j - lo - 1]:
+                    lo += 1
+                while i + hi < len(a) and j + hi < len(b) and lo + hi < room and a[i + hi] == b[j + hi]:
+                    hi += 1
+                out.append((r["doc"], r["th"], cut[p] - lo, cut[p] + hi))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["doc", "th", "from", "to"])
 
 
 def repeated_spans(docs: DataFrame, store: Store, packed: DataFrame) -> DataFrame:
-    """(doc, th, spans): the ranges of lines of each document that stand in an earlier place too."""
+    """(doc, th, spans): the ranges of words of each document that stand in an earlier place too."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_chunks(docs))
     buckets = 1 << max(6, (int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 // BUCKET).bit_length())
@@ -312,20 +304,20 @@ def repeated_spans(docs: DataFrame, store: Store, packed: DataFrame) -> DataFram
 
 
 def _cut(raw: bytes, lines: Lines, spans: list[dict], min_words: int) -> tuple[bytes, int]:
-    """The text without spans that touch and have min_words words together, and the number of lines that go."""
-    n = len(lines.begin)
+    """The text without spans that touch and have min_words words together, and the number of lines that go as a whole."""
+    n = len(lines.start)
     mark = np.zeros(n + 1, np.int64)
     for s in spans:
         mark[s["from"]] += 1
         mark[s["to"]] -= 1
     inside = np.append(0, (np.cumsum(mark)[:-1] > 0).astype(np.int64))
     edges = np.diff(np.append(inside, 0))
-    begin, total = np.append(lines.begin, len(raw)), np.append(0, np.cumsum(lines.words))
+    start = np.append(lines.start, len(raw))
     out, at, gone = [], 0, 0
     for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-        if total[b] - total[a] >= min_words:
-            out.append(raw[at : begin[a]])
-            at, gone = begin[b], gone + int(b - a)
+        if b - a >= min_words:
+            out.append(raw[at : start[a]])
+            at, gone = start[b], gone + int(np.searchsorted(lines.word, b, "right") - 1 - np.searchsorted(lines.word, a))
     return b"".join([*out, raw[at:]]), gone
 
 

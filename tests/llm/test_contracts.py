@@ -184,6 +184,21 @@ def test_line_dedup_salted(spark, monkeypatch):
     assert [r["doc_id"] for r in got if PASSAGE in r["text"]] == [0]
 
 
+def test_line_dedup_finds_short_passages_in_lines_of_any_width(spark):
+    """Passages of 51 to 60 words in lines of 3, 6, 7 and 8 words, as one line, and with other line breaks in the copy: 300 of them, each cut to the word."""
+    rows, left = [], {}
+    wrap = lambda w, k: "\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k))
+    for k, (one, two) in enumerate([(3, 3), (6, 6), (7, 7), (8, 8), (999, 999), (7, 999)] * 50):
+        passage = [f"p{k}.{i}" for i in range(51 + k % 10)]
+        for copy, width in enumerate((one, two)):
+            around = [[f"{x}{k}.{copy}.{i}" for i in range(25 + copy)] for x in "be"]
+            rows.append((2 * k + copy, wrap(around[0] + passage + around[1], width)))
+            left[2 * k + copy] = sum(around, []) if copy else around[0] + passage + around[1]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert [i for i, r in got.items() if r["text"].split() != left[i]] == []
+    assert all((r["removed_lines"] > 0) == (i % 2 == 1) for i, r in got.items())
+
+
 def test_line_dedup_tells_texts_without_an_id_apart(spark):
     """Two texts without a doc_id whose hashes have equal upper 16 bits: one holds a repeated passage, the other is clean."""
     import numpy as np
