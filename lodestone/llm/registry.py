@@ -23,6 +23,12 @@ def _module(name: str):
     return import_module(f"{__package__}.{name}")
 
 
+def load() -> None:
+    """Imports all modules of the queries, so that what is missing shows at once."""
+    for name in MODULES.values():
+        _module(name)
+
+
 def queries() -> dict:
     return {key: _module(name).query for key, name in MODULES.items()}
 

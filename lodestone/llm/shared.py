@@ -16,8 +16,15 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one of this process where the setting is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one of this process in local mode, and an error on a cluster, whose executors would each write to a disk of their own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
+    return (path or _own_dir()).rstrip("/")
+
+
+#: Rounds that connected components may take: their number is logarithmic in the longest path.
+STEPS = 60
 
 
 class Store:
@@ -65,7 +72,7 @@ def components(links: DataFrame, spark: SparkSession, store: Store, name: str, a
     edges = store.write(edges, f"{name}_0")
     state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = state(edges)
-    for step in range(1, 60 if before[0] else 1):
+    for step in range(1, STEPS + 1 if before[0] else 1):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -77,5 +84,8 @@ def components(links: DataFrame, spark: SparkSession, store: Store, name: str, a
             break
         before = now
         edges = new
+    else:
+        if before[0]:
+            raise RuntimeError(f"no components after {STEPS} steps")
     out = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
     return out.unionByName(edges.select(F.col("v").alias("id")).distinct().join(out.select("id"), "id", "left_anti").select("id", F.col("id").alias("component")))
