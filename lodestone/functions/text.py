@@ -49,9 +49,10 @@ def tag(text: Column | str, tags: Mapping[str, Sequence[str]], n: int = 3) -> Co
 
 
 def strip_markdown(c: Column | str) -> Column:
-    """Without headings, emphasis, rules, quotes and list marks; more than two line breaks become two."""
+    """Without headings, emphasis (* and _), strike-through, code marks, rules and quotes; list marks become "- "; more than two line breaks become two."""
     out = _c(c)
-    for pattern, to in ((r"(?m)^#{1,6}[ \t]+", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^>[ \t]?", ""), (r"(?m)^[ \t]*[-*+][ \t]+", ""), (r"\n{3,}", "\n\n")):
+    emphasis = ((r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"\b_{1,3}([^_\n]+)_{1,3}\b", "$1"), (r"~~([^~\n]+)~~", "$1"), (r"`([^`\n]+)`", "$1"))
+    for pattern, to in ((r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", "- "), *emphasis, (r"(?m)^>[ \t]?", ""), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, pattern, to)
     return F.trim(out)
 
@@ -130,12 +131,14 @@ def ending(c: Column | str) -> Column:
     )
 
 
-def spoken(c: Column | str) -> Column:
-    """For reading aloud: no symbols beyond the basic plane, 'c:v' in words, white space squeezed."""
+def spoken(c: Column | str, pause: bool = False) -> Column:
+    """For reading aloud: no symbols beyond the basic plane, 'c:v' in words, 'author - title' as 'author in the book title', white space squeezed; pause: a line break behind each sentence."""
     out = F.regexp_replace(_c(c), r"[\x{10000}-\x{10FFFF}☀-➿]", "")
     out = F.regexp_replace(out, r"(\d+):(\d+)-(\d+)", "chapter $1 verses $2 to $3")
     out = F.regexp_replace(out, r"(\d+):(\d+)", "chapter $1 verse $2")
-    return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
+    out = F.regexp_replace(out, r"(\p{L}{2})[ \t\r\n]+[-–—][ \t\r\n]+(\p{L})", "$1 in the book $2")
+    out = F.regexp_replace(out, r"[ \t\r\n]+", " ")
+    return F.trim(F.regexp_replace(out, r"\. ", ".\n") if pause else out)
 
 
 def fmt_time(seconds: Column | str) -> Column:
@@ -190,10 +193,11 @@ def same_host(url: Column | str, base: Column | str) -> Column:
 
 
 def with_page(url: Column | str, page: Column, name: str = "page") -> Column:
-    """The URL with a page parameter, replaced where there is one."""
-    u, p = _c(url), page.cast("string")
+    """The URL with a page parameter, replaced where there is one; a fragment stays behind it."""
+    u, p, fragment = F.regexp_replace(_c(url), "#.*$", ""), page.cast("string"), F.regexp_extract(_c(url), "#.*$", 0)
     has = u.rlike(rf"[?&]{name}=")
-    return F.when(has, F.regexp_replace(u, F.lit(rf"([?&]{name}=)[^&#]*"), F.concat(F.lit("$1"), p))).otherwise(F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit(f"{name}="), p))
+    paged = F.when(has, F.regexp_replace(u, F.lit(rf"([?&]{name}=)[^&]*"), F.concat(F.lit("$1"), p))).otherwise(F.concat(u, F.when(F.contains(u, F.lit("?")), "&").otherwise("?"), F.lit(f"{name}="), p))
+    return F.concat(paged, fragment)
 
 
 def content_hash(c: Column | str) -> Column:

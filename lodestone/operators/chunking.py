@@ -181,7 +181,7 @@ def page_chunk(df: DataFrame, key: str, title: str, text: str, rules: Sequence[t
     """One chunk a page: type by ordered rules, entities (words in capitals) in front, markdown stripped, at most `cap` characters."""
     from ..functions.text import classify, strip_markdown
 
-    names = F.slice(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"\b[A-Z][a-z]{4,}\b"), F.lit(0))), 1, 5)
+    names = F.slice(F.array_distinct(F.filter(F.split(F.col(text), r"[^\p{L}\p{N}]+"), lambda w: w.rlike(r"^[A-Z][a-z]{4,}$"))), 1, 5)
     body = F.concat_ws("\n", F.col(title), F.concat(F.lit("Names: "), F.array_join(names, ", ")), strip_markdown(text))
     return df.select(key, classify(text, rules, "general").alias("section_type"), F.substring(body, 1, cap).alias("text"))
 

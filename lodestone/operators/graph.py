@@ -75,7 +75,7 @@ def _pair(df: DataFrame) -> DataFrame:
 
 
 def theme_edges(nodes: DataFrame, tags: DataFrame, edges: DataFrame, strength: float = 0.5) -> DataFrame:
-    """Pairs of nodes that share a theme and no edge in either direction: src < dst, the first theme."""
+    """Pairs of nodes that share a theme and no edge in either direction: src < dst, the first theme. nodes are those of one graph to show, some hundreds: all their pairs may come out."""
     own = tags.join(nodes.select(F.col("id").alias("ref")).distinct(), "ref", "left_semi").select("ref", "theme").distinct()
     a, b = own.toDF("src", "theme"), own.toDF("dst", "theme")
     pairs = a.join(b, "theme").filter("src < dst").groupBy("src", "dst").agg(F.min("theme").alias("theme"))
@@ -112,32 +112,36 @@ def explain(edges: DataFrame, key: str, text: str) -> DataFrame:
     return edges.groupBy(key).agg(string_ordered(text, [text], "; ").alias("text"), F.count("*").alias("edges"))
 
 
-def tree_walk(df: DataFrame, id: str, parent: str, max_depth: int = 64) -> DataFrame:
-    """All nodes that roots (null parent) reach, with their depth."""
+#: Levels of a tree; rows that still go on are a cycle, which is an error.
+LEVELS = 10_000
+
+
+def tree_walk(df: DataFrame, id: str, parent: str, max_depth: int = LEVELS) -> DataFrame:
+    """All nodes that roots (null parent) reach, with their depth. ValueError where a path has more than max_depth levels."""
     level = df.filter(F.col(parent).isNull()).withColumn("depth", F.lit(0))
     out = level
     children = df.withColumnRenamed(parent, "_parent")
-    for d in range(1, max_depth):
+    for d in range(1, max_depth + 1):
         above = level.select(F.col(id).alias("_parent"))
         level = _cut(children.join(above, "_parent", "left_semi").withColumnRenamed("_parent", parent).select(*df.columns).withColumn("depth", F.lit(d)), df.sparkSession)
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        out = _cut(out.unionByName(level), df.sparkSession) if d % 32 == 0 else out.unionByName(level)
+    raise ValueError(f"a path of more than {max_depth} levels")
 
 
-def tree_paths(df: DataFrame, id: str, parent: str, name: str, max_depth: int = 64) -> DataFrame:
-    """id, path '/a/b/c' of the names, depth."""
+def tree_paths(df: DataFrame, id: str, parent: str, name: str, max_depth: int = LEVELS) -> DataFrame:
+    """id, path '/a/b/c' of the names, depth. ValueError where a path has more than max_depth levels."""
     level = df.filter(F.col(parent).isNull()).select(id, F.concat(F.lit("/"), name).alias("path"), F.lit(0).alias("depth"))
     out = level
     children = df.select(F.col(id).alias("_id"), F.col(parent).alias(id), F.col(name).alias("_name"))
-    for d in range(1, max_depth):
+    for d in range(1, max_depth + 1):
         level = children.join(level, id).select(F.col("_id").alias(id), F.concat("path", F.lit("/"), "_name").alias("path"), F.lit(d).alias("depth"))
         level = _cut(level, df.sparkSession)
         if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+            return out
+        out = _cut(out.unionByName(level), df.sparkSession) if d % 32 == 0 else out.unionByName(level)
+    raise ValueError(f"a path of more than {max_depth} levels")
 
 
 def nest(df: DataFrame, id: str, parent: str, name: str, order: str) -> DataFrame:

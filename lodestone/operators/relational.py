@@ -231,6 +231,14 @@ def topk_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
     return df.withColumn("_no", F.row_number().over(w)).filter(F.col("_no") <= k).drop("_no")
 
 
+def ranked(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame:
+    """Rows numbered from the greatest score on, ties by key: within each score, behind the number of rows with greater ones, so that no window holds the whole table. One row a distinct score is summed up in one task; round scores that are not."""
+    counts = df.groupBy(score).agg(F.count("*").alias("_rows"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
+    own = df.withColumn("_no", F.row_number().over(Window.partitionBy(score).orderBy(key)))
+    return own.join(before, score).withColumn(name, F.col("_before") + F.col("_no")).drop("_before", "_no")
+
+
 def mark_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "keep") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
 
@@ -244,10 +252,16 @@ def capped_union(df: DataFrame, group: str, key: str, order: Sequence[Column | s
     return once.orderBy(group, "_no", key).limit(total).drop("_no")
 
 
-def rebase(pieces: DataFrame, piece: str, idx: str, start: str, length: str, seconds: float) -> DataFrame:
-    """Segments of consecutive pieces on one time line: piece i is shifted by i * seconds, ids are counted anew."""
-    at = (F.col(piece) * seconds + F.col(start)).alias("start_at")
-    return pieces.select(piece, idx, at, (F.col(piece) * seconds + F.col(start) + F.col(length)).alias("end_at"))
+def rebase(segments: DataFrame, group: str, piece: str, idx: str, start: str, end: str, seconds: float) -> DataFrame:
+    """Segments of consecutive pieces of each group on one time line: piece i is shifted by i * seconds, ids are counted anew from 0."""
+    no = F.row_number().over(Window.partitionBy(group).orderBy(piece, idx)) - 1
+    shift = F.col(piece) * seconds
+    return segments.select(group, no.cast("long").alias("no"), piece, idx, (shift + F.col(start)).alias("start_at"), (shift + F.col(end)).alias("end_at"))
+
+
+def merge_transcripts(segments: DataFrame, group: str, piece: str, idx: str, end: str, text: str, seconds: float) -> DataFrame:
+    """Each group's pieces as one: the text joined in order, the number of segments and the duration (the latest end of a shifted piece)."""
+    return segments.groupBy(group).agg(string_ordered(text, [piece, idx], " ").alias(text), F.count("*").alias("segments"), F.max(F.col(piece) * seconds + F.col(end)).alias("duration"))
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, begins: Column, name: str = "island") -> DataFrame:
@@ -261,6 +275,12 @@ def merge_short(df: DataFrame, key: str, order: str, text: str, n: int = 200, se
     return islands(df, [key], order, F.length(text) >= n).groupBy(key, "island").agg(F.min(order).alias(order), string_ordered(text, [order], sep).alias(text), F.count("*").alias("parts"))
 
 
+def merge_continued(df: DataFrame, keys: Sequence[str], order: str, begins: Column, text: str, sep: str = "\n\n") -> DataFrame:
+    """Pages that go on where the one before ends, as one row: keys, island, first and last page, pages, text."""
+    runs = islands(df, keys, order, begins).groupBy(*keys, "island")
+    return runs.agg(F.min(order).alias(f"first_{order}"), F.max(order).alias(f"last_{order}"), F.count("*").alias("pages"), string_ordered(text, [order], sep).alias(text))
+
+
 def detect_boundary(df: DataFrame, key: str, idx: str, a: Column, b: Column, c: Column, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """Per key: last row with a; first later row with b (start); first later row with c (end). Where one is missing, floor(n * low) and floor(n * high)."""
     rows = df.select(key, F.col(idx).alias("_i"), a.alias("_a"), b.alias("_b"), c.alias("_c"))

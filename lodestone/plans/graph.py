@@ -51,22 +51,23 @@ def graph_induced(s: SparkSession, d: str) -> DataFrame:
     return R.child_counts(nodes, "id", out_edges=edges.select(F.col("src").alias("id")))
 
 
-@query(f"""WITH {I.EDGES}, {I.TAGS}, n AS (SELECT doc_id AS id FROM documents WHERE doc_id % 25 = 0), o AS (SELECT DISTINCT ref, theme FROM tags WHERE ref IN (FROM n))
+@query(f"""WITH {_bfs_sql(_ONE, 2)}, {I.TAGS}, n AS (SELECT id FROM s2 ORDER BY depth, id LIMIT 50), o AS (SELECT DISTINCT ref, theme FROM tags WHERE ref IN (FROM n))
 SELECT a.ref AS src, b.ref AS dst, min(a.theme) AS theme, 0.5::double AS strength FROM o a JOIN o b ON a.theme = b.theme AND a.ref < b.ref
 WHERE NOT EXISTS (FROM edges e WHERE least(e.src, e.dst) = a.ref AND greatest(e.src, e.dst) = b.ref) GROUP BY 1, 2""")
 def graph_theme_edges(s: SparkSession, d: str) -> DataFrame:
+    """Edges by theme among the nodes of one search's graph, as the graph view draws them."""
     t = T(s, d)
-    return G.theme_edges(t.documents.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("id")), I.tags(t), I.edges(t))
+    return G.theme_edges(G.bfs(I.edges(t), _seeds(s, 3, 17), 2, 50), I.tags(t), I.edges(t))
 
 
-@query(f"""WITH {I.EDGES}, q AS (SELECT vec_id AS src, vec::double[] AS v FROM (SELECT vec_id, embedding AS vec FROM embeddings WHERE vec_id < 20)),
+@query(f"""WITH {I.EDGES}, q AS (SELECT vec_id AS src, vec::double[] AS v FROM (SELECT vec_id, embedding AS vec FROM embeddings WHERE vec_id % 50 = 0)),
 p AS (SELECT src, vec_id AS dst, list_cosine_similarity(v, embedding::double[]) AS x FROM q, embeddings WHERE vec_id <> src),
 k AS (SELECT src, dst, x FROM p WHERE x > 0.3 QUALIFY row_number() OVER (PARTITION BY src ORDER BY x DESC, dst) <= 5),
 n AS (SELECT src, dst, x FROM k WHERE NOT EXISTS (FROM edges e WHERE least(e.src, e.dst) = least(k.src, k.dst) AND greatest(e.src, e.dst) = greatest(k.src, k.dst)))
 SELECT src, dst, type::varchar AS type, strength FROM edges UNION ALL SELECT src, dst, 'semantic', round(x, 6) FROM n""")
 def graph_semantic_edges(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    near = neighbours_by_vector(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), t.embeddings.filter("vec_id < 20").select(F.col("vec_id").alias("id"), "embedding"), 0.3, 5)
+    near = neighbours_by_vector(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), "embedding"), 0.3, 5)
     near = near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.round("similarity", 6).alias("similarity"))
     nodes = t.documents.select(F.col("doc_id").alias("id"), F.lit(0).alias("depth"))
     return G.add_semantic(nodes, I.edges(t), near)[1]

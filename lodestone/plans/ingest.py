@@ -52,9 +52,11 @@ def src_xml_menu(s: SparkSession, d: str) -> DataFrame:
     return N.xml_menu(menus, "n_nationkey", "menu")
 
 
-@query("SELECT doc_id, strftime(date '2020-02-01' + to_months(doc_id::int - 433), '%Y-%m') AS month, doc_id::int AS issue FROM documents WHERE doc_id < 900")
+@query("SELECT doc_id, strftime(date '2020-02-01' + to_months((doc_id % 900)::int - 433), '%Y-%m') AS month, (doc_id % 900)::int AS issue FROM documents")
 def issue_number_calendar(s: SparkSession, d: str) -> DataFrame:
-    rows = T(s, d).documents.filter("doc_id < 900").select("doc_id", N.issue_month(F.col("doc_id")).alias("month"))
+    """A label for each document, its number, the month of that, and the number again."""
+    label = F.concat(F.lit("Bulletin No. "), (F.col("doc_id") % 900).cast("string"), F.lit(" special.pdf"))
+    rows = T(s, d).documents.select("doc_id", N.issue_month(F.regexp_extract(label, r"(\d+)", 1).cast("int")).alias("month"))
     return rows.select("doc_id", "month", N.month_issue(F.col("month")).alias("issue"))
 
 
@@ -110,11 +112,9 @@ def embed_input_clean(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, count(*) AS documents, sum(n_chars)::bigint AS chars FROM documents GROUP BY source")
 def sink_json_summary(s: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines to a folder of the session's checkpoint folder, and read again."""
-    import tempfile
     import uuid
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-    path = f"{base}/summary-{uuid.uuid4().hex}"
+    path = f"{S.shared_dir(s)}/summary-{uuid.uuid4().hex}"
     S.write_summary(T(s, d).documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars")), path)
     return s.read.schema("source string, documents long, chars long").json(path)
 
@@ -187,7 +187,8 @@ def inc_window_counts(s: SparkSession, d: str) -> DataFrame:
     return K.windowed_counts(T(s, d).events, "ts", "event_type", "1 day").select("event_type", F.col("window.start").alias("day"), "n")
 
 
-@query()
+@query("""WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS begins FROM events),
+g AS (SELECT user_id, ts, sum(begins) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM s) SELECT user_id, min(ts) AS begin, count(*) AS n FROM g GROUP BY user_id, no""")
 def inc_session_counts(s: SparkSession, d: str) -> DataFrame:
     return K.session_counts(T(s, d).events, "ts", "user_id").select("user_id", F.col("session_window.start").alias("begin"), "n")
 

@@ -128,10 +128,10 @@ def join_coparticipants(s: SparkSession, d: str) -> DataFrame:
     return R.coparticipants(I.bridge(T(s, d)), "member", "event")
 
 
-@query(f"WITH {I.EDGES} SELECT src AS id, dst AS other, type FROM edges WHERE src % 10 = 3 UNION ALL SELECT dst, src, type FROM edges WHERE dst % 10 = 3")
+@query(f"WITH {I.EDGES} SELECT src AS id, dst AS other, type FROM edges UNION ALL SELECT dst, src, type FROM edges")
 def join_undirected(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    nodes = t.documents.filter("doc_id % 10 = 3").select(F.col("doc_id").alias("src"))
+    nodes = t.documents.select(F.col("doc_id").alias("src"))
     return R.undirected(I.edges(t)).join(nodes, "src", "left_semi").select(F.col("src").alias("id"), F.col("dst").alias("other"), "type")
 
 
@@ -188,11 +188,11 @@ def join_detail_nested(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("o_orderkey", "o_custkey").agg(R.string_ordered(F.concat_ws(":", "l_linenumber", "l_partkey"), ["l_linenumber", "l_partkey"], ",").alias("lines"))
 
 
-_NAMES = """v AS (SELECT DISTINCT p_name AS word FROM part), q AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS name FROM part WHERE p_partkey % 3 = 0)"""
+_NAMES = """v AS (SELECT DISTINCT p_name AS word FROM part), q AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4) AS name FROM part)"""
 
 
 def _typos(t: T) -> DataFrame:
-    return t.part.filter("p_partkey % 3 = 0").select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("name"))
+    return t.part.select(F.concat(F.substring("p_name", 1, 2), F.expr("substring(p_name, 4)")).alias("name"))
 
 
 @query(f"WITH {_NAMES} SELECT name, word, levenshtein(name, word)::int AS distance FROM q, v WHERE levenshtein(name, word) <= 2 QUALIFY row_number() OVER (PARTITION BY name ORDER BY levenshtein(name, word), word) = 1")
@@ -353,14 +353,11 @@ def win_first_occurrence(s: SparkSession, d: str) -> DataFrame:
 _PRIORITY = "r AS (SELECT src AS id, 1 AS prio, strength AS score FROM edges WHERE type < 3 UNION ALL SELECT dst, 2, strength FROM edges WHERE type >= 2)"
 
 
-@query(f"WITH {I.EDGES}, {_PRIORITY}, b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, score DESC) = 1) SELECT id, prio, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b ORDER BY rank LIMIT 100")
+@query(f"WITH {I.EDGES}, {_PRIORITY}, b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY prio, score DESC) = 1) SELECT id, prio, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b")
 def win_priority_dedup(s: SparkSession, d: str) -> DataFrame:
     e = I.edges(T(s, d))
     rows = e.filter("type < 3").select(F.col("src").alias("id"), F.lit(1).alias("prio"), F.col("strength").alias("score")).unionByName(e.filter("type >= 2").select(F.col("dst").alias("id"), F.lit(2).alias("prio"), F.col("strength").alias("score")))
-    best = R.first_per(rows, ["id"], ["prio", F.desc("score")]).orderBy(F.desc("score"), "id").limit(100)
-    from pyspark.sql import Window
-
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return R.ranked(R.first_per(rows, ["id"], ["prio", F.desc("score")]), "score", "id")
 
 
 @query("""WITH c AS (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS no FROM events),
@@ -377,10 +374,20 @@ def win_ordinal(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("no"))
 
 
-@query(f"WITH {I.SEGMENTS} SELECT conv_id, turn, conv_id * 600.0::double + start_s AS start_at, conv_id * 600.0::double + end_s AS end_at FROM segments")
+def _pieces(t: T) -> DataFrame:
+    """Each conversation as pieces of three turns whose times and numbers begin anew."""
+    third, at = F.col("turn") % 3, F.floor(F.col("turn") / 3)
+    return I.segments(t).select("conv_id", at.alias("piece"), third.alias("idx"), "text", (third * 30.0).alias("start_s"), (F.col("end_s") - at * 90.0).alias("end_s"))
+
+
+@query(f"WITH {I.SEGMENTS} SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS no, turn // 3 AS piece, turn % 3 AS idx, start_s AS start_at, end_s AS end_at FROM segments")
 def win_time_rebase(s: SparkSession, d: str) -> DataFrame:
-    seg = I.segments(T(s, d)).withColumn("len_s", F.col("end_s") - F.col("start_s"))
-    return R.rebase(seg, "conv_id", "turn", "start_s", "len_s", 600.0)
+    return R.rebase(_pieces(T(s, d)), "conv_id", "piece", "idx", "start_s", "end_s", 90.0)
+
+
+@query(f"WITH {I.SEGMENTS} SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text, count(*) AS segments, max(end_s) AS duration FROM segments GROUP BY conv_id")
+def win_transcript_merge(s: SparkSession, d: str) -> DataFrame:
+    return R.merge_transcripts(_pieces(T(s, d)), "conv_id", "piece", "idx", "end_s", "text", 90.0)
 
 
 @query("""WITH c AS (SELECT conv_id, turn, length(text) % 5 = 0 AS a, length(text) % 3 = 0 AS b, length(text) % 4 = 0 AS c FROM conversations),
@@ -400,15 +407,15 @@ def win_merge_short(s: SparkSession, d: str) -> DataFrame:
     return R.merge_short(T(s, d).conversations.filter("text is not null"), "conv_id", "turn", "text")
 
 
-@query("""WITH c AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+@query("""WITH c AS (SELECT conv_id, turn, role, text, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
 i AS (SELECT *, sum(CASE WHEN before IS NULL OR before <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM c)
-SELECT conv_id, island::bigint AS island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS pages FROM i GROUP BY conv_id, island""")
+SELECT conv_id, island::bigint AS island, min(turn) AS first_turn, max(turn) AS last_turn, count(*) AS pages, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn), '') AS text FROM i GROUP BY conv_id, island""")
 def win_page_continuation(s: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
     c = T(s, d).conversations.withColumn("begins", before.isNull() | (before != "system"))
-    return R.islands(c, ["conv_id"], "turn", F.col("begins")).groupBy("conv_id", "island").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("pages"))
+    return R.merge_continued(c, ["conv_id"], "turn", F.col("begins"), "text")
 
 
 @query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10")
@@ -444,10 +451,10 @@ def topk_overfetch(s: SparkSession, d: str) -> DataFrame:
     return R.overfetch(T(s, d).orders, [F.desc("o_totalprice"), "o_orderkey"], F.col("o_orderstatus") == "F", 10).select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y%m%d') END AS day FROM events ORDER BY day DESC NULLS LAST, event_id LIMIT 200")
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE strftime(ts, '%Y%m%d') END AS day FROM events ORDER BY day DESC NULLS LAST, event_id")
 def sort_date_string(s: SparkSession, d: str) -> DataFrame:
     e = T(s, d).events.select("event_id", F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyyMMdd")).alias("day"))
-    return e.orderBy(F.desc_nulls_last("day"), "event_id").limit(200)
+    return e.orderBy(F.desc_nulls_last("day"), "event_id")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = 7 ORDER BY l_orderkey, l_linenumber LIMIT 10")

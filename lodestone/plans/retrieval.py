@@ -11,16 +11,16 @@ from ..operators import vector as V
 from .registry import Tables as T
 from .registry import query
 
-_WORDS = ["the of", "de la", "and thath", "er in", "en", "les que", "an the", "der", "on", "el de"]
-_TEXT = "CASE vec_id " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_WORDS)) + " END"
+#: Queries are the vectors whose id is divisible by 50, against all rows; their text is two words of their document, or a known topic.
+_TEXT = r"CASE WHEN vec_id % 200 = 0 THEN 'and thath' ELSE array_to_string(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')[3:4], ' ') END"
 #: Corpus c (id, text, lang, v), queries q, similarities s, tokens and ranks, all in full.
 _BASE = rf"""c AS (SELECT doc_id AS id, text, lang, embedding::double[] AS v FROM documents JOIN embeddings ON vec_id = doc_id),
-q AS (SELECT vec_id AS query_id, {_TEXT} AS text, embedding::double[] AS v FROM embeddings WHERE vec_id < 10),
+q AS (SELECT vec_id AS query_id, {_TEXT} AS text, embedding::double[] AS v FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, id, list_cosine_similarity(q.v, c.v) AS similarity FROM q, c),
 t AS (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS term FROM c),
 n AS (SELECT id, count(*) AS n_tokens FROM t GROUP BY id),
 f AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL),
-w AS (SELECT DISTINCT query_id, unnest(string_split(text, ' ')) AS term FROM q), m AS (SELECT query_id, count(*) AS n_terms FROM w GROUP BY 1),
+w AS (SELECT DISTINCT query_id, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS term FROM q), m AS (SELECT query_id, count(*) AS n_terms FROM w GROUP BY 1),
 k AS (SELECT query_id, id, count(*) AS found, sum(ln(1 + tf)) AS x FROM f JOIN w USING (term) GROUP BY ALL),
 r AS (SELECT query_id, id, found = n_terms AS whole, x / n_terms / (1 + ln(1 + n_tokens)) AS rank FROM k JOIN m USING (query_id) JOIN n USING (id))"""
 
@@ -29,8 +29,8 @@ def _topk(table: str, order: str, k: int, where: str = "TRUE") -> str:
     return f"(SELECT * FROM {table} WHERE {where} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order} DESC, id) <= {k})"
 
 
-def _hybrid(k: int, wv: float, wk: float, fv: int, fk: int, where: str) -> str:
-    both = f"(SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(rank, 0) AS rank, {wv}::double * coalesce(similarity, 0) + {wk}::double * coalesce(rank, 0) AS score FROM {_topk('s', 'similarity', fv * k)} a FULL JOIN {_topk('r', 'rank', fk * k, where)} b USING (query_id, id))"
+def _hybrid(k: int, wv: float, wk: float, fv: int, fk: int, where: str, r: str = "r", s: str = "s") -> str:
+    both = f"(SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(rank, 0) AS rank, {wv}::double * coalesce(similarity, 0) + {wk}::double * coalesce(rank, 0) AS score FROM {_topk(s, 'similarity', fv * k)} a FULL JOIN {_topk(r, 'rank', fk * k, where)} b USING (query_id, id))"
     return _topk(both, "score", k)
 
 
@@ -39,8 +39,9 @@ def corpus(t: T) -> DataFrame:
 
 
 def queries_of(t: T) -> DataFrame:
-    words = F.try_element_at(F.array(*map(F.lit, _WORDS)), (F.col("vec_id") + 1).cast("int"))
-    return t.embeddings.filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), words.alias("text"), "embedding")
+    words = F.when(F.col("vec_id") % 200 == 0, "and thath").otherwise(F.array_join(F.slice(X.tokens("text"), 3, 2), " "))
+    chosen = t.embeddings.filter("vec_id % 50 = 0").join(t.documents.select("doc_id", "text"), F.col("doc_id") == F.col("vec_id"))
+    return chosen.select(F.col("vec_id").alias("query_id"), words.alias("text"), "embedding")
 
 
 def _q(t: T, i: int) -> list[float]:
@@ -51,16 +52,16 @@ def _round(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in ("similarity", "rank", "score") if c in df.columns})
 
 
-@query(f"WITH {_BASE} SELECT id, round(similarity, 6) AS similarity FROM s JOIN c USING (id) WHERE query_id = 3 AND lang = 'en' ORDER BY s.similarity DESC, id LIMIT 10")
+@query(f"WITH {_BASE} SELECT id, round(similarity, 6) AS similarity FROM s JOIN c USING (id) WHERE query_id = 50 AND lang = 'en' ORDER BY s.similarity DESC, id LIMIT 10")
 def vec_topk(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    return _round(V.vector_topk(corpus(t), _q(t, 3), 10, F.col("lang") == "en"))
+    return _round(V.vector_topk(corpus(t), _q(t, 50), 10, F.col("lang") == "en"))
 
 
-@query(f"WITH {_BASE} SELECT id, round(similarity, 6) AS similarity FROM s WHERE query_id = 4 AND similarity > 0.2 ORDER BY s.similarity DESC, id LIMIT 25")
+@query(f"WITH {_BASE} SELECT id, round(similarity, 6) AS similarity FROM s WHERE query_id = 100 AND similarity > 0.2 ORDER BY s.similarity DESC, id LIMIT 25")
 def vec_threshold(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    return _round(V.vector_above(corpus(t), _q(t, 4), 0.2, 25))
+    return _round(V.vector_above(corpus(t), _q(t, 100), 0.2, 25))
 
 
 @query(f"WITH {_BASE} SELECT query_id, id, round(similarity, 6) AS similarity FROM {_topk('s', 'similarity', 10)}")
@@ -93,10 +94,15 @@ def text_match_all(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).documents.select("doc_id", X.match_terms("text", "the thath").alias("hit"))
 
 
-@query(f"WITH {_BASE} SELECT query_id, id, round(rank, 6) AS rank FROM {_topk('r', 'rank', 10, 'whole')}")
+#: r1: r, and texts that hold the whole query, which count too.
+_HOLDS = """p AS (SELECT query_id, c.id FROM q JOIN c ON q.text <> '' AND contains(lower(c.text), lower(q.text))),
+r1 AS (SELECT query_id, id, coalesce(rank, 0) AS rank, coalesce(whole, FALSE) OR held IS NOT NULL AS whole FROM r FULL JOIN (SELECT *, 1 AS held FROM p) USING (query_id, id))"""
+
+
+@query(f"WITH {_BASE}, {_HOLDS} SELECT query_id, id, round(rank, 6) AS rank FROM {_topk('r1', 'rank', 10, 'whole')}")
 def text_keyword_topk(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    return _round(H.keyword_topk_batch(corpus(t), queries_of(t), 10))
+    return _round(H.keyword_topk_batch(corpus(t), queries_of(t), 10, substring=True))
 
 
 @query(f"""WITH {_BASE}, z AS (SELECT count(*) AS docs, avg(n_tokens) AS mean FROM n), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
@@ -110,10 +116,10 @@ def text_bm25_topk(s: SparkSession, d: str) -> DataFrame:
 _SHOW = "SELECT query_id, id, round(similarity, 6) AS similarity, round(rank, 6) AS rank, round(score, 6) AS score FROM "
 
 
-@query(f"WITH {_BASE} {_SHOW} {_hybrid(10, 0.7, 0.3, 2, 2, 'whole')}")
+@query(f"WITH {_BASE}, {_HOLDS} {_SHOW} {_hybrid(10, 0.7, 0.3, 2, 2, 'whole', 'r1')}")
 def hybrid_v1(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    return _round(H.hybrid(corpus(t), queries_of(t), 10))
+    return _round(H.hybrid(corpus(t), queries_of(t), 10, substring=True))
 
 
 @query(f"WITH {_BASE} {_SHOW} {_hybrid(10, 0.85, 0.15, 3, 2, 'whole AND rank > 0.01')}")
@@ -128,10 +134,13 @@ def hybrid_left(s: SparkSession, d: str) -> DataFrame:
     return _round(H.hybrid_left(corpus(t), t.labels.select(F.col("doc_id").alias("id"), "quality"), queries_of(t)))
 
 
-@query(f"WITH {_BASE} {_SHOW} {_hybrid(10, 0.7, 0.3, 2, 2, 'whole')} WHERE similarity >= 0.3")
+_EN = "(SELECT {0}.* FROM {0} JOIN c USING (id) WHERE lang = 'en')"
+
+
+@query(f"WITH {_BASE} {_SHOW} {_hybrid(10, 0.7, 0.3, 2, 2, 'whole', _EN.format('r'), _EN.format('s'))} WHERE similarity >= 0.3")
 def hybrid_postfilter(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    return _round(H.postfilter(H.hybrid(corpus(t), queries_of(t), 10), None, 0.3))
+    return _round(H.postfilter(corpus(t), queries_of(t), 10, F.col("lang") == "en", 0.3))
 
 
 _MAP = {"the": ["thath", "thein"], "de": ["laen", "ouen"], "er": ["berver"]}
@@ -149,7 +158,7 @@ def text_expand_search(s: SparkSession, d: str) -> DataFrame:
     return H.expand_search(corpus(t), queries_of(t), _MAP)
 
 
-@query(f"WITH {_BASE.replace(_TEXT, 'CASE vec_id WHEN 2 THEN ' + repr('the on') + ' ELSE ' + _TEXT + ' END')} {_SHOW} {_hybrid(5, 0.6, 0.4, 3, 2, 'TRUE')}")
+@query(f"WITH {_BASE.replace("'and thath'", "'the on'")} {_SHOW} {_hybrid(5, 0.6, 0.4, 3, 2, 'TRUE')}")
 def hybrid_topic(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
     return _round(H.topic_search(corpus(t), queries_of(t), {"and thath": "the on"}, 5))

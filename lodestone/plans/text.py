@@ -38,7 +38,17 @@ def chunk_period(s: SparkSession, d: str) -> DataFrame:
     return C.chunk_period(T(s, d).documents, "doc_id", "text")
 
 
-@query()
+def _sentences(text: str) -> str:
+    return rf"string_split(regexp_replace({text}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _fold(parts: str, size: int, sep: str) -> str:
+    """The parts packed in order: pieces are joined by chr(2), their parts by sep."""
+    return rf"string_split(list_reduce({parts}, lambda a, x: a || CASE WHEN length(regexp_extract(a, '[^\x02]*$')) + 1 + length(x) <= {size} THEN {sep} ELSE chr(2) END || x), chr(2))"
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_filter(list_transform({_sentences('text')}, lambda z: trim(z)), lambda z: z <> '') AS l FROM documents),
+p AS (SELECT doc_id, list_filter({_fold('l', 500, "' '")}, lambda z: length(z) > 50) AS l FROM s WHERE len(l) > 0) SELECT doc_id, unnest(range(0, len(l)))::int AS chunk_index, unnest(l) AS text FROM p""")
 def chunk_sentence_pack(s: SparkSession, d: str) -> DataFrame:
     return C.pack_sentences(T(s, d).documents, "doc_id", "text")
 
@@ -50,16 +60,17 @@ def chunk_segments(s: SparkSession, d: str) -> DataFrame:
     return C.pack_segments(segments(T(s, d)), "conv_id", "turn", "start_s", "end_s", "text")
 
 
-@query()
+@query(rf"""WITH s AS (SELECT doc_id, text, list_filter(list_transform(flatten(list_transform(string_split_regex(text, '\n+'), lambda y: CASE WHEN length(y) > 1000 THEN {_sentences('y')} ELSE [y] END)), lambda z: trim(z)), lambda z: z <> '') AS l FROM documents),
+p AS (SELECT doc_id, CASE WHEN len(l) > 0 THEN {_fold('l', 1000, "chr(10)")} ELSE [text] END AS l FROM s) SELECT doc_id, unnest(range(0, len(l)))::int AS chunk_index, unnest(l) AS text FROM p""")
 def chunk_paragraph_pack(s: SparkSession, d: str) -> DataFrame:
     return C.pack_paragraphs(T(s, d).documents, "doc_id", "text")
 
 
-@query("SELECT doc_id, text, greatest(1, CASE WHEN length(text) <= 500 THEN 1 ELSE ceil((length(text) - 500) / 400)::bigint + 1 END) AS chunks FROM documents WHERE length(text) BETWEEN 1 AND 500")
+@query(f"""WITH s AS (SELECT doc_id, text, unnest({_STARTS.format(t='text')}) AS p FROM documents WHERE length(text) > 0), l AS (SELECT doc_id, list(substr(text, p::bigint + 1, 500) ORDER BY p) AS l FROM s GROUP BY doc_id)
+SELECT doc_id, list_reduce(l, lambda a, x: CASE WHEN instr(substr(x, 1, 150), right(a, 50)) > 0 THEN a || substr(x, instr(substr(x, 1, 150), right(a, 50)) + 50) ELSE a || chr(10) || x END) AS text, len(l)::bigint AS chunks FROM l""")
 def win_reassemble(s: SparkSession, d: str) -> DataFrame:
-    """Chunks of all documents put together again; those of one chunk stay as they are, longer ones are tested."""
-    whole = C.reassemble(C.chunk_windows(T(s, d).documents, "doc_id", "text"), "doc_id", "chunk_index", "text")
-    return whole.filter("chunks = 1")
+    """Chunks of all documents put together again."""
+    return C.reassemble(C.chunk_windows(T(s, d).documents, "doc_id", "text"), "doc_id", "chunk_index", "text")
 
 
 @query(r"""WITH x AS (SELECT doc_id, CASE WHEN contains(text, ' | ') THEN string_split(text, ' | ') WHEN contains(text, chr(10)) THEN string_split(text, chr(10)) ELSE [text] END AS p, text FROM documents),
@@ -69,33 +80,52 @@ def split_articles(s: SparkSession, d: str) -> DataFrame:
     return C.split_marked(T(s, d).documents, "doc_id", "text", [r" \| ", r"\n"])
 
 
-_SECTIONS = "text AS title, 'Type: ' || CASE doc_id % 4 WHEN 0 THEN 'Main news' WHEN 1 THEN 'Notice board' ELSE 'misc' END || chr(10) || 'Title: ' || source || chr(10) || 'Content: ' || substr(replace(text, chr(10), ' '), 1, 120)"
+_PAGE = "'Type: ' || CASE doc_id % 4 WHEN 0 THEN 'Main news' WHEN 1 THEN 'Notice board' ELSE 'misc' END || chr(10) || 'Title: ' || source || chr(10) || 'Content: ' || text || chr(10) || '---' || chr(10) || 'Type: notice' || chr(10) || 'Title: ' || lang || chr(10) || 'Content: ' || source || lang || n_chars"
 
 
-@query("""SELECT doc_id, 0 AS section_no, CASE doc_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'notice' ELSE 'other' END AS section_type, source AS title, trim(substr(replace(text, chr(10), ' '), 1, 120)) AS content, CASE WHEN doc_id % 4 < 2 THEN 0.9 ELSE 0.7 END::double AS confidence
-FROM documents WHERE length(trim(substr(replace(text, chr(10), ' '), 1, 120))) >= 10""")
+@query(rf"""WITH p AS (SELECT doc_id, string_split_regex({_PAGE}, '\n---+\n') AS l FROM documents), u AS (SELECT doc_id, unnest(range(0, len(l)))::int AS section_no, unnest(l) AS x FROM p),
+f AS (SELECT doc_id, section_no, lower(trim(regexp_extract(x, '(?i)type:[ \t]*([^\n]*)', 1))) AS kind, trim(regexp_extract(x, '(?i)title:[ \t]*([^\n]*)', 1)) AS title, trim(regexp_extract(x, '(?is)content:\s*(.*)$', 1)) AS content FROM u)
+SELECT doc_id, section_no, CASE WHEN contains(kind, 'news') THEN 'news' WHEN contains(kind, 'notice') THEN 'notice' ELSE 'other' END AS section_type, title, content, CASE WHEN contains(kind, 'news') OR contains(kind, 'notice') THEN 0.9 ELSE 0.7 END::double AS confidence FROM f WHERE length(content) >= 10""")
 def parse_sections(s: SparkSession, d: str) -> DataFrame:
+    """Pages of two sections: the whole text, and a short one."""
     kind = F.when(F.col("doc_id") % 4 == 0, "Main news").when(F.col("doc_id") % 4 == 1, "Notice board").otherwise("misc")
-    page = F.concat(F.lit("Type: "), kind, F.lit("\nTitle: "), "source", F.lit("\nContent: "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 120))
+    page = F.concat(F.lit("Type: "), kind, F.lit("\nTitle: "), "source", F.lit("\nContent: "), "text", F.lit("\n---\nType: notice\nTitle: "), "lang", F.lit("\nContent: "), "source", "lang", F.col("n_chars").cast("string"))
     return C.parse_sections(T(s, d).documents.select("doc_id", page.alias("page")), "doc_id", "page", [("news", "news"), ("notice", "notice")])
 
 
-@query(r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, unnest(range(0, len(l)))::int AS part_no, trim(unnest(l)) AS title, '' AS text FROM x""")
+@query(r"""WITH x AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), y AS (SELECT doc_id, unnest(range(0, len(l))) AS no, unnest(l) AS line, len(l) AS n FROM x),
+z AS (SELECT doc_id, no, line, sum(CASE WHEN no > 0 AND no < n - 1 AND regexp_matches(line, '^[A-ZÉÈÀ][^\n]{0,60}$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no) AS part_no FROM y),
+w AS (SELECT doc_id, part_no, min(no) AS first FROM z GROUP BY ALL)
+SELECT z.doc_id, z.part_no::int AS part_no, trim(max(line) FILTER (no = first)) AS title, trim(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (no > first), '')) AS text FROM z JOIN w ON w.doc_id = z.doc_id AND w.part_no = z.part_no GROUP BY 1, 2""")
 def split_headers(s: SparkSession, d: str) -> DataFrame:
-    return C.split_headers(T(s, d).documents, "doc_id", "text", r"\n")
+    return C.split_headers(T(s, d).documents, "doc_id", "text")
 
 
-@query()
-def chunk_page_enriched(s: SparkSession, d: str) -> DataFrame:
-    return C.page_chunk(T(s, d).documents, "doc_id", "source", "text", [("english", [" the "]), ("romance", [" de "])])
+_MD = "'# ' || source || chr(10) || '**' || lang || '** and _' || source || '_ ~~' || lang || '~~ `' || source || '`' || chr(10) || '* ' || text || chr(10) || '> quote'"
+#: The marks, as pattern and what stays.
+_MARKS = [
+    (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", "- "), (r"\*{1,3}([^*\n]+)\*{1,3}", r"\1"), (r"\b_{1,3}([^_\n]+)_{1,3}\b", r"\1"),
+    (r"~~([^~\n]+)~~", r"\1"), (r"`([^`\n]+)`", r"\1"), (r"(?m)^>[ \t]?", ""), (r"\n{3,}", "\n\n"),
+]
+
 
+def _bare(text: str) -> str:
+    for pattern, to in _MARKS:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return f"trim({text})"
 
-_MD = "'# ' || source || chr(10) || '**' || lang || '** and *' || source || '*' || chr(10) || '- item' || chr(10) || '> quote'"
+
+@query(rf"""WITH x AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$')) AS n FROM documents)
+SELECT doc_id, CASE WHEN contains(lower(text), ' the ') THEN 'english' WHEN contains(lower(text), ' de ') THEN 'romance' ELSE 'general' END AS section_type,
+substr(source || chr(10) || 'Names: ' || array_to_string(list_filter(n, lambda w, i: list_position(n, w) = i)[1:5], ', ') || chr(10) || {_bare('text')}, 1, 4000) AS text FROM x""")
+def chunk_page_enriched(s: SparkSession, d: str) -> DataFrame:
+    return C.page_chunk(T(s, d).documents, "doc_id", "source", "text", [("english", [" the "]), ("romance", [" de "])])
 
 
-@query("SELECT doc_id, source || chr(10) || lang || ' and ' || source || chr(10) || 'item' || chr(10) || 'quote' AS text FROM documents")
+@query(f"SELECT doc_id, {_bare(_MD)} AS text FROM documents")
 def text_strip_markdown(s: SparkSession, d: str) -> DataFrame:
-    md = F.concat(F.lit("# "), "source", F.lit("\n**"), "lang", F.lit("** and *"), "source", F.lit("*\n- item\n> quote"))
+    """Marks around each text's source and language, and the whole text as a list item."""
+    md = F.concat(F.lit("# "), "source", F.lit("\n**"), "lang", F.lit("** and _"), "source", F.lit("_ ~~"), "lang", F.lit("~~ `"), "source", F.lit("`\n* "), "text", F.lit("\n> quote"))
     return T(s, d).documents.select("doc_id", X.strip_markdown(md).alias("text"))
 
 
@@ -115,11 +145,12 @@ def ref_parse(s: SparkSession, d: str) -> DataFrame:
     return _refs(T(s, d)).select("doc_id", X.parse_ref("ref").alias("r")).filter("r is not null").select("doc_id", "r.*")
 
 
-@query("WITH r AS (SELECT doc_id, source AS book, (doc_id % 7 + 1) AS chapter FROM documents WHERE doc_id % 17 <> 0) SELECT r.doc_id, u.doc_id AS unit FROM r JOIN documents u ON u.source = book AND u.doc_id % 7 + 1 = chapter WHERE u.doc_id % 50 = 0")
+@query("WITH r AS (SELECT doc_id, source AS book, (doc_id % 7 + 1) AS chapter FROM documents WHERE doc_id % 17 <> 0) SELECT r.doc_id, u.doc_id AS unit FROM r JOIN documents u ON u.source = book AND u.doc_id % 7 + 1 = chapter WHERE r.doc_id % 50 = 0")
 def ref_lookup(s: SparkSession, d: str) -> DataFrame:
+    """References of the ids divisible by 50, looked up in all units."""
     t = T(s, d)
-    refs = _refs(t).select("doc_id", X.parse_ref("ref").alias("r")).filter("r is not null").select("doc_id", "r.book", "r.chapter")
-    units = t.documents.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("unit"), F.col("source").alias("book"), (F.col("doc_id") % 7 + 1).cast("int").alias("chapter"))
+    refs = _refs(t).filter("doc_id % 50 = 0").select("doc_id", X.parse_ref("ref").alias("r")).filter("r is not null").select("doc_id", "r.book", "r.chapter")
+    units = t.documents.select(F.col("doc_id").alias("unit"), F.col("source").alias("book"), (F.col("doc_id") % 7 + 1).cast("int").alias("chapter"))
     return refs.join(units, ["book", "chapter"]).select("doc_id", "unit")
 
 
@@ -197,9 +228,12 @@ def detect_suspicious(s: SparkSession, d: str) -> DataFrame:
     return K.suspicious_terms(t.documents, "doc_id", "text", ["ththe"], t.part, "p_name", "[A-Z][a-z]{3}thtion")
 
 
-@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '\d{10,}'), ',') AS numbers FROM documents")
+@query(r"""WITH x AS (SELECT doc_id, text || ' on ' || doc_id % 15 || '/' || doc_id % 40 AS t FROM documents)
+SELECT doc_id, array_to_string(list_concat(regexp_extract_all(t, '\d{10,}'), list_filter(regexp_extract_all(t, '\b\d{1,2}/\d{1,2}\b'), lambda x: split_part(x, '/', 1)::int NOT BETWEEN 1 AND 12 OR split_part(x, '/', 2)::int > 31)), ',') AS numbers FROM x""")
 def detect_bad_numbers(s: SparkSession, d: str) -> DataFrame:
-    return T(s, d).documents.select("doc_id", F.array_join(F.filter(X.bad_numbers("text"), lambda x: F.length(x) >= 10), ",").alias("numbers"))
+    """Whole texts, with a date behind each."""
+    date = F.concat(F.lit(" on "), (F.col("doc_id") % 15).cast("string"), F.lit("/"), (F.col("doc_id") % 40).cast("string"))
+    return T(s, d).documents.select("doc_id", F.array_join(X.bad_numbers(F.concat("text", date)), ",").alias("numbers"))
 
 
 @query(r"WITH x AS (SELECT doc_id, length(text) AS n, len(regexp_extract_all(text, '[#$%&*]{3}')) AS i FROM documents), y AS (SELECT doc_id, CASE WHEN n > 0 THEN greatest(0.0, least(1.0, 1 - i * 50.0::double / n)) ELSE 0.0 END::double AS v FROM x) SELECT doc_id, round(v, 6) AS score, v >= 0.7 AS valid FROM y")
@@ -224,10 +258,14 @@ def classify_ending(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).documents.select("doc_id", X.ending("text").alias("ending"))
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(text || ' chapter ' || (doc_id % 9) || ' verse ' || (doc_id % 5), '[ \t\r\n]+', ' ', 'g')) AS text FROM documents WHERE NOT regexp_matches(text, '\d:\d')")
+@query(r"""WITH x AS (SELECT doc_id, text || ' ' || doc_id % 9 || ':' || doc_id % 5 || CASE WHEN doc_id % 2 = 0 THEN '-' || doc_id % 7 ELSE '' END || ' ' || lang || 'a - ' || source AS t FROM documents),
+a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[\x{10000}-\x{10FFFF}☀-➿]', '', 'g'), '(\d+):(\d+)-(\d+)', 'chapter \1 verses \2 to \3', 'g'), '(\d+):(\d+)', 'chapter \1 verse \2', 'g') AS t FROM x)
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '(\p{L}{2})[ \t\r\n]+[-–—][ \t\r\n]+(\p{L})', '\1 in the book \2', 'g'), '[ \t\r\n]+', ' ', 'g'), '\. ', '.' || chr(10), 'g')) AS text FROM a""")
 def text_normalise(s: SparkSession, d: str) -> DataFrame:
-    t = F.concat("text", F.lit(" "), (F.col("doc_id") % 9).cast("string"), F.lit(":"), (F.col("doc_id") % 5).cast("string"))
-    return T(s, d).documents.filter(~F.col("text").rlike(r"\d:\d")).select("doc_id", X.spoken(t).alias("text"))
+    """Whole texts, with a reference and an author and title behind each."""
+    n = lambda k: (F.col("doc_id") % k).cast("string")
+    tail = F.concat(F.lit(" "), n(9), F.lit(":"), n(5), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("-"), n(7))).otherwise(""), F.lit(" "), "lang", F.lit("a - "), "source")
+    return T(s, d).documents.select("doc_id", X.spoken(F.concat("text", tail), pause=True).alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars >= 3600 THEN lpad((n_chars // 3600)::varchar, 2, '0') || ':' ELSE '' END || lpad((n_chars // 60 % 60)::varchar, 2, '0') || ':' || lpad((n_chars % 60)::varchar, 2, '0') AS clock, n_chars AS seconds FROM documents")
@@ -240,11 +278,16 @@ def url_extract_id(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).pages.select("page_id", X.url_id("url", [r"/(\d+)\.html", r"/(\d+)"]).alias("id"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/x/y' AS absolute, TRUE AS same, regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/list?page=2' AS page_two FROM pages")
+@query(r"""WITH a AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS o, regexp_replace(url, '[?#].*$', '') AS bare, regexp_replace(regexp_extract(url, '^https?://([^/?#:]+)', 1), '^www\.', '') AS h FROM pages),
+b AS (SELECT *, CASE WHEN length(bare) = length(o) THEN o || '/' ELSE regexp_replace(bare, '[^/]*$', '') END AS folder FROM a),
+c AS (SELECT *, CASE page_id % 5 WHEN 0 THEN o || '/x/' || page_id WHEN 1 THEN regexp_extract(url, '^(https?:)', 1) || '//other.example.org/' || page_id WHEN 2 THEN folder || 'y' || page_id || '.html?a=1' WHEN 3 THEN NULL ELSE regexp_replace(url, '#.*$', '') END AS absolute, regexp_replace(url, '#.*$', '') AS u FROM b)
+SELECT page_id, o AS origin, absolute, CASE WHEN absolute IS NOT NULL THEN page_id % 5 <> 1 END AS same, CASE WHEN regexp_matches(u, '[?&]page=') THEN regexp_replace(u, '([?&]page=)[^&]*', '\1' || page_id, 'g') ELSE u || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END || 'page=' || page_id END || regexp_extract(url, '#.*$') AS page_n FROM c""")
 def url_normalise(s: SparkSession, d: str) -> DataFrame:
-    p = T(s, d).pages
-    link = X.resolve_url(F.lit("/x/y#z"), "url")
-    return p.select("page_id", X.origin("url").alias("origin"), link.alias("absolute"), X.same_host(link, "url").alias("same"), X.with_page(F.concat(X.origin("url"), F.lit("/list?page=1")), F.lit(2)).alias("page_two"))
+    """Links from the root, without a scheme, relative, for mail, and the page's own URL."""
+    p, i = T(s, d).pages, F.col("page_id").cast("string")
+    link = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("/x/"), i, F.lit("#z"))).when(F.col("page_id") % 5 == 1, F.concat(F.lit("//other.example.org/"), i)).when(F.col("page_id") % 5 == 2, F.concat(F.lit("y"), i, F.lit(".html?a=1"))).when(F.col("page_id") % 5 == 3, F.lit("mailto:x@y.example")).otherwise(F.col("url"))
+    absolute = X.resolve_url(link, "url")
+    return p.select("page_id", X.origin("url").alias("origin"), absolute.alias("absolute"), X.same_host(absolute, "url").alias("same"), X.with_page("url", F.col("page_id")).alias("page_n"))
 
 
 @query("SELECT page_id, sha256(html) AS hash FROM pages")
@@ -279,9 +322,10 @@ def flag_residual_markup(s: SparkSession, d: str) -> DataFrame:
     return T(s, d).documents.select("doc_id", "source", F.col("text").rlike("[#*]").alias("residual")).orderBy(F.desc("doc_id")).limit(30)
 
 
-@query("SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON b.source || ' 1:' || (b.doc_id % 40) IN (a.source || ' 1:' || (a.doc_id % 40), a.lang || ' 1:' || (a.doc_id % 40)) AND b.doc_id % 25 = 0 WHERE a.doc_id % 2 = 0")
+@query("SELECT a.doc_id, b.doc_id AS other FROM documents a JOIN documents b ON b.source || ' 1:' || (b.doc_id % 40) IN (a.source || ' 1:' || (a.doc_id % 40), a.lang || ' 1:' || (a.doc_id % 40)) WHERE a.doc_id % 50 = 0")
 def join_array_variants(s: SparkSession, d: str) -> DataFrame:
+    """Variants of the ids divisible by 50 against the references of all documents."""
     docs = T(s, d).documents
-    own = docs.filter("doc_id % 2 = 0").select("doc_id", F.explode(X.ref_variants(F.col("source"), F.lit(1), F.col("doc_id") % 40, F.col("lang"))).alias("variant"))
-    stored = docs.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("other"), F.concat("source", F.lit(" 1:"), (F.col("doc_id") % 40).cast("string")).alias("variant"))
+    own = docs.filter("doc_id % 50 = 0").select("doc_id", F.explode(X.ref_variants(F.col("source"), F.lit(1), F.col("doc_id") % 40, F.col("lang"))).alias("variant"))
+    stored = docs.select(F.col("doc_id").alias("other"), F.concat("source", F.lit(" 1:"), (F.col("doc_id") % 40).cast("string")).alias("variant"))
     return own.join(stored, "variant").select("doc_id", "other").distinct()

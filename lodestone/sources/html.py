@@ -85,12 +85,14 @@ PHONE = r"\+?\d[\d() .-]{7,18}\d"
 def page_contacts(pages: DataFrame, key: str = "page_id", phones: int = 5, emails: int = 3) -> DataFrame:
     """Phones (not those that 'fax' stands within ten characters before), faxes, e-mails, of the text and of tel: and mailto: links: at most 5, 5 and 3."""
     body = F.regexp_replace("html", r"""href="(?:tel|mailto):([^"?]*)[^"]*\"""", "> $1 <")
-    body = F.regexp_replace(body, r"<[^>]*>", " ")
-    numbers = F.filter(F.regexp_extract_all(body, F.lit(rf"(?is)(.{{0,10}}{PHONE})"), F.lit(1)), lambda x: F.length(F.regexp_replace(F.regexp_extract(x, f"({PHONE})$", 1), r"\D", "")).between(9, 15))
-    bare = lambda arr: F.slice(F.array_distinct(F.transform(arr, lambda x: F.trim(F.regexp_extract(x, f"({PHONE})$", 1)))), 1, phones)
-    is_fax = lambda x: F.contains(F.lower(x), F.lit("fax"))
-    mail = F.slice(F.array_distinct(F.regexp_extract_all(body, F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))), 1, emails)
-    return pages.select(key, F.array_join(bare(F.filter(numbers, lambda x: ~is_fax(x))), ",").alias("phones"), F.array_join(bare(F.filter(numbers, is_fax)), ",").alias("faxes"), F.array_join(mail, ",").alias("emails"))
+    texts = pages.select(key, F.regexp_replace(body, r"<[^>]*>", " ").alias("_body"))
+    # one struct a number: its digits, and whether 'fax' stands before it; each step is a column of its own, so that none is computed twice
+    whole = texts.select(key, "_body", F.regexp_extract_all("_body", F.lit(rf"(?is)(.{{0,10}}{PHONE})"), F.lit(1)).alias("_whole"))
+    part = F.transform("_whole", lambda x: F.struct(F.trim(F.regexp_extract(x, f"({PHONE})$", 1)).alias("n"), F.contains(F.lower(x), F.lit("fax")).alias("fax")))
+    found = whole.select(key, "_body", F.filter(part, lambda x: F.length(F.regexp_replace(x["n"], r"\D", "")).between(9, 15)).alias("_found"))
+    some = lambda fax: F.array_join(F.slice(F.array_distinct(F.transform(F.filter("_found", lambda x: x["fax"] == fax), lambda x: x["n"])), 1, phones), ",")
+    mail = F.slice(F.array_distinct(F.regexp_extract_all("_body", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))), 1, emails)
+    return found.select(key, some(False).alias("phones"), some(True).alias("faxes"), F.array_join(mail, ",").alias("emails"))
 
 
 def page_social(pages: DataFrame, platforms: Mapping[str, str], key: str = "page_id") -> DataFrame:

@@ -271,3 +271,77 @@ def test_observation_counts(spark):
     df, seen = K.observe_progress(spark.range(10), "n", F.count("*").alias("rows"))
     df.collect()
     assert seen.get["rows"] == 10
+
+
+# --- round 2 ------------------------------------------------------------------------------------------------------
+
+
+def test_rebase_numbers_anew_and_sums_up(spark):
+    seg = spark.createDataFrame([("a", 0, 0, 0.0, 9.0, "x"), ("a", 0, 1, 9.0, 20.0, "y"), ("a", 1, 0, 1.0, 5.0, "z"), ("b", 0, 0, 0.0, 2.0, "w")], "g string, piece int, idx int, s double, e double, t string")
+    got = R.rebase(seg, "g", "piece", "idx", "s", "e", 60.0).select("g", "no", "start_at", "end_at")
+    assert rows(got) == [("a", 0, 0.0, 9.0), ("a", 1, 9.0, 20.0), ("a", 2, 61.0, 65.0), ("b", 0, 0.0, 2.0)]
+    assert rows(R.merge_transcripts(seg, "g", "piece", "idx", "e", "t", 60.0)) == [("a", "x y z", 3, 65.0), ("b", "w", 1, 2.0)]
+
+
+def test_continued_pages_join(spark):
+    pages = spark.createDataFrame([("a", 1, "one", False), ("a", 2, "goes on", True), ("a", 3, "new", False)], "issue string, page int, text string, goes_on boolean")
+    got = R.merge_continued(pages, ["issue"], "page", ~F.col("goes_on"), "text").select("first_page", "last_page", "pages", "text")
+    assert rows(got) == [(1, 2, 2, "one\n\ngoes on"), (3, 3, 1, "new")]
+
+
+def test_ranks_are_those_of_one_window(spark):
+    rnd = random.Random(2)
+    df = spark.createDataFrame([(k, rnd.randrange(6) / 4) for k in range(300)], "id int, score double")
+    want = {i: n for n, (_, i) in enumerate(sorted((-s, i) for i, s in rows(df)), 1)}
+    assert {r["id"]: r["rank"] for r in R.ranked(df, "score", "id").collect()} == want
+
+
+def test_trees_deeper_than_any_limit(spark):
+    chain = spark.createDataFrame([(k, None if k == 0 else k - 1, f"n{k}") for k in range(70)], "id int, parent int, name string")
+    assert G.tree_walk(chain, "id", "parent").agg(F.max("depth")).first()[0] == 69
+    assert G.tree_paths(chain, "id", "parent", "name").count() == 70
+    for f in (lambda: G.tree_walk(chain, "id", "parent", 30), lambda: G.tree_paths(chain, "id", "parent", "name", 30)):
+        with pytest.raises(ValueError):
+            f()
+
+
+def test_marks_and_speech(spark):
+    assert one(spark, X.strip_markdown("t"), t="## Head\n***a*** and _b_ ~~c~~ `d` e_f_g\n* x\n+ y\n> z\n---\n\n\n\nend") == "Head\na and b c d e_f_g\n- x\n- y\nz\n\nend"
+    assert one(spark, X.spoken("t", pause=True), t="Ann Lee - Prayer. Next 3:4.") == "Ann Lee in the book Prayer.\nNext chapter 3 verse 4."
+    assert one(spark, X.with_page("u", F.lit(2)), u="http://h/a#top") == "http://h/a?page=2#top"
+    assert one(spark, X.with_page("u", F.lit(2)), u="http://h/a?page=7&x=1#p") == "http://h/a?page=2&x=1#p"
+
+
+def test_keyword_search_finds_substrings(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the unbroken line"), (2, "broken lines here"), (3, "line broken"), (4, None)], "id int, text string")
+    queries = spark.createDataFrame([(0, "broken line", [1.0]), (1, "zzz", [1.0]), (2, "", [1.0]), (3, "oken", [1.0])], "query_id int, text string, embedding array<double>")
+    for most in (4096, 1):
+        monkeypatch.setattr(H, "PHRASES", most)
+        assert {(r["query_id"], r["id"]) for r in H.keyword_topk_batch(docs, queries, 5, substring=True).collect()} == {(0, 1), (0, 2), (0, 3), (3, 1), (3, 2), (3, 3)}
+    assert {(r["query_id"], r["id"]) for r in H.keyword_topk_batch(docs, queries, 5).collect()} == {(0, 3)}
+
+
+def test_postfilter_before_and_after_the_limit(spark):
+    docs = spark.createDataFrame([(k, "w", "en" if k % 2 else "fr", [1.0, k / 10]) for k in range(10)], "id int, text string, lang string, embedding array<double>")
+    queries = spark.createDataFrame([(0, "w", [1.0, 0.0])], "query_id int, text string, embedding array<double>")
+    ids = lambda compat: [r["id"] for r in H.postfilter(docs, queries, 3, F.col("lang") == "en", compat=compat).collect()]
+    assert len(ids(False)) == 3 and all(i % 2 for i in ids(False)) and len(ids(True)) < 3
+
+
+def test_no_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    away = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(RuntimeError):
+        sinks.shared_dir(away)
+    away.sparkContext.master = "local[2]"
+    assert sinks.shared_dir(away).startswith("file://")
+
+
+def test_the_library_stands_without_its_training_part(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "lodestone.llm", None)
+    assert not any(n.startswith("op") or n == "pipeline" for n in __spark_entry__.queries()) and __spark_entry__.oracle_sql()
