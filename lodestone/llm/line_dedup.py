@@ -1,13 +1,14 @@
 """Line dedup by content-defined chunks of lines.
 
 Texts are wrapped anew, whatever their line breaks: a line begins where the hash of two words that follow one another
-chooses (two in five), so that equal passages are wrapped alike wherever they stand and however they were wrapped. A rolling
-hash over the hashes of lines chooses chunk boundaries: a chunk begins where it is a local maximum, which depends on the
-neighbouring lines alone, so that boundaries move with the text. Chunks have two lines at least. Postings of all chunks are
-dealt by hash; of equal chunks the first (doc_id, position) stays. Matches that follow one another in both documents become
-one run, and all runs of two documents are compared at once: their words with the first occurrence's, and equal words around
-a run join it, up to AROUND lines. Where runs that touch have MIN_WORDS words together, they
-are cut out of the later document.
+chooses (two in five), after LINE words at the latest, so that equal passages are wrapped alike wherever they stand and however
+they were wrapped. A rolling polynomial hash over the hashes of the last WIDTH lines chooses chunk boundaries: a chunk ends
+where its value exceeds those of the lines beside it, so that boundaries move with the text; chunks have two lines at
+least and LINES at most. Of equal chunks the first (doc_id, text, position) stays: a task matches its own chunks first, and
+the first of each is dealt by hash to meet those of other tasks, so that a common chunk is one posting a task. Matches that
+follow one another in both documents become one run. The words of the first occurrence, with AROUND words on both sides, are
+brought to the later document's text, compared, and equal words around the run join it. Where runs that touch have MIN_WORDS
+words together, they are cut out of the later document.
 """
 
 from __future__ import annotations
@@ -17,62 +18,82 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jaccard_join import Counts
-from .shared import Store, salted_join, table
+from .shared import Store, table
 from .vectors import NOT_SPACE, binary_rows, flat, hash_spans, mix, slices, words
 
-#: Words of a run that is cut out at least; lines compared around a run; postings of a chunk that stay together, roughly; bytes of a bucket.
-MIN_WORDS, AROUND, LIST, BUCKET = 40, 12, 8192, 8 << 20
-#: What is fetched of a first occurrence begins and ends at multiples of so many lines, so that its many matches share it.
-SNAP = 64
-#: Words that the chunks of runs which touch have at least, without the words around them.
-ANCHOR = 8
-#: Frequent chunks that are told apart, and those that a task reports.
-FREQUENT, REPORTED = 1 << 16, 1 << 13
-_POSTING = np.dtype([("chunk", "u1", 5), ("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("n", "u1"), ("words", "u1")])
+#: Words of a run that is cut out at least; words of runs that touch at least, without those around; bytes of a bucket; chunks that a task holds.
+MIN_WORDS, ANCHOR, BUCKET, HELD = 40, 8, 8 << 20, 1 << 21
+#: Most words of a line, lines of a rolling hash, most lines of a chunk.
+LINE, WIDTH, LINES = 16, 3, 16
+#: Words around a run that are compared: more than stand between a run's end and the next boundary. What is fetched begins and ends at multiples of SNAP words, so that many matches share it.
+AROUND, SNAP = 128, 256
+_POSTING = np.dtype([("chunk", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("n", "<u2")])
+_MATCH = np.dtype([("doc", "<i8"), ("th", "<i8"), ("kdoc", "<i8"), ("kth", "<i8"), ("pos", "<u4"), ("kpos", "<u4"), ("n", "<u2")])
+_RANGE = np.dtype([("pos", "<u4"), ("kpos", "<u4"), ("n", "<u4")])
 _NULL = np.iinfo(np.int64).max
+_K = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lines:
-    """Lines of a slice of texts: start and end of each word; the first word of each line, and the end; each line's hash and number of words; first: where each text's lines begin."""
+    """Lines of a slice of texts: the first word of each line, and the end; each line's hash; first: where each text's lines begin, and the end."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        self.start, self.end, whose = words(data, at, NOT_SPACE)
-        n = len(self.start)
+        start, end, whose = words(data, at, NOT_SPACE)
+        n = len(start)
+        #: Where each text's words begin, and the end.
+        self.whose = whose
         if not n:
-            self.word, self.words, self.hash, self.first = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+            self.word, self.hash, self.first = np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
             return
-        h = hash_spans(data, self.start, self.end, 5)
+        h = hash_spans(data, start, end, 5)
         cut = np.ones(n, bool)
-        cut[1:] = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) % np.uint64(5) < 2
+        pair = mix(h[:-1] * _K + h[1:])
+        cut[1:] = pair < np.uint64(2 * (2**64 // 5))
         cut[whose[:-1][whose[1:] > whose[:-1]]] = True
         begin = np.flatnonzero(cut)
+        size = np.diff(np.append(begin, n))
+        if (size > LINE).any():
+            more = (size - 1) // LINE
+            k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+            begin = np.sort(np.concatenate([begin, np.repeat(begin, more) + (k + 1) * LINE]))
+            size = np.diff(np.append(begin, n))
         self.word = np.append(begin, n)
-        self.words = np.diff(self.word)
-        place = np.arange(n) - np.repeat(begin, self.words)
-        self.hash = mix(np.add.reduceat(mix(h + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), begin))
+        place = (np.arange(n) - np.repeat(begin, size)).astype(np.uint64)
+        self.hash = mix(np.add.reduceat(mix(h + place * np.uint64(0xD6E8FEB86659FD93)), begin))
         self.first = np.searchsorted(begin, whose)
 
 
 def chunks(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first line, number of lines, hash) of the chunks of all texts, ends of texts included, without chunks of one line."""
+    """(first line, number of lines, hash) of the chunks of all texts; a chunk never spans two texts. Chunks of one line (texts of one line, and what is left of a long chunk) are left out."""
     h, n = lines.hash, len(lines.hash)
     if n < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    r = mix(h * np.uint64(0x9E3779B97F4A7C15))
+    rolling = h.copy()
+    for k in range(1, WIDTH):
+        rolling[k:] = rolling[k:] + h[:-k] * np.uint64(int(_K) ** k & 2**64 - 1)
+    rolling = mix(rolling)
     edge = np.zeros(n + 1, bool)
     edge[lines.first] = True
+    peak = np.zeros(n + 1, bool)
+    peak[2:n] = (rolling[1:-1] > rolling[:-2]) & (rolling[1:-1] > rolling[2:])
+    # hashes of the first lines of a text would reach into the one before, and a first or last line alone is no chunk
+    for k in range(1, WIDTH + 1):
+        peak[np.minimum(lines.first + k, n)] = False
+    peak[np.maximum(lines.first - 1, 0)] = False
+    cut = np.flatnonzero(peak | edge)
+    size = np.diff(cut)
+    if (size > LINES).any():
+        more = (size - 1) // LINES
+        k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+        cut = np.sort(np.concatenate([cut, np.repeat(cut[:-1], more) + (k + 1) * LINES]))
+    a, b = cut[:-1], cut[1:]
+    a, b = a[b - a >= 2], b[b - a >= 2]
     total = np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(0xA0761D6478BD642F)), dtype=np.uint64))
     order = np.append(np.uint64(0), np.cumsum(h * (np.arange(n, dtype=np.uint64) + np.uint64(1)), dtype=np.uint64))
     plain = np.append(np.uint64(0), np.cumsum(h, dtype=np.uint64))
-    peak = edge
-    peak[1 : n - 1] |= (r[1:-1] > r[:-2]) & (r[1:-1] > r[2:])
-    cut = np.flatnonzero(peak)
-    a, b = cut[:-1], cut[1:]
-    a, b = a[b - a >= 2], b[b - a >= 2]
     # a hash of the lines in their order: sum h_i (i - a + 1), and the plain sum of other hashes
     with np.errstate(over="ignore"):
         inner = order[b] - order[a] - plain[b] * a.astype(np.uint64) + plain[a] * a.astype(np.uint64)
@@ -80,279 +101,268 @@ def chunks(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, b - a, value
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    data, at = flat(batch.column("text"))
-    for i, j in slices(at):
-        yield i, j, data[at[i] : at[j]], at[i : j + 1] - at[i]
+def _first_of(p: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For postings sorted by `order`: those that come first of their chunk, and for each other one the first that it matches, as (first, later)."""
+    chunk, n = p["chunk"][order], p["n"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (chunk[1:] != chunk[:-1]) | (n[1:] != n[:-1])
+    head = np.flatnonzero(new)
+    first = np.repeat(head, np.diff(np.append(head, len(order))))
+    later = np.flatnonzero(~new)
+    return order[head], np.stack([order[first[later]], order[later]])
 
 
-def _text_hash(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """With the doc_id, what a document is known by: rows without a doc_id may be any number of unlike texts."""
-    return hash_spans(data, at[:-1], at[1:], 11).view(np.int64)
+def _matches(p: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    k, x = p[pairs[0]], p[pairs[1]]
+    out = np.empty(len(x), _MATCH)
+    for c in ("doc", "th", "pos", "n"):
+        out[c] = x[c]
+    for c in ("doc", "th", "pos"):
+        out["k" + c] = k[c]
+    # rows with one doc_id and text are one document
+    return out[(out["doc"] != out["kdoc"]) | (out["th"] != out["kth"]) | (out["pos"] != out["kpos"])]
 
 
-def frequent_chunks(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The chunks that more than LIST documents may hold, and their counts: at most FREQUENT."""
+def _deal(rows: np.ndarray, key: np.ndarray, parts: int) -> tuple[list[int], list[bytes]]:
+    """rows by key & (parts - 1): the parts that have some, and their bytes."""
+    part = (key & np.uint64(parts - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rows, cut = rows[order], np.searchsorted(part[order], np.arange(parts + 1))
+    full = [b for b in range(parts) if cut[b] < cut[b + 1]]
+    return full, [rows[cut[b] : cut[b + 1]].tobytes() for b in full]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts()
-        for batch in batches:
-            for _, _, data, at in _texts(batch):
-                counts.add(chunks(Lines(data, at))[2])
-        counts.fold()
-        top = np.argsort(-counts.n, kind="stable")[:REPORTED]
-        yield pa.RecordBatch.from_arrays([pa.array(counts.tokens[top].view(np.int64)), pa.array(counts.n[top])], ["chunk", "n"])
 
-    top = docs.select("text").mapInArrow(run, "chunk long, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    top = top.where(F.col("n") > LIST).orderBy(F.desc("n"), "chunk").limit(FREQUENT).toArrow()
-    token, n = top.column("chunk").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
+def _documents(m: np.ndarray) -> np.ndarray:
+    return mix(m["doc"].view(np.uint64) ^ mix(m["th"].view(np.uint64)))
 
 
-def postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, blob, found) of docs (doc_id, text, th): for each bucket the postings of what a task holds, the first of a chunk each; and the matches among these, dealt by document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, count = frequent.value
         held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            value = np.concatenate([v for v, _ in held])
-            p = np.concatenate([x for _, x in held])
-            salt = np.zeros(len(value), np.int64)
-            if len(often):
-                at = np.minimum(np.searchsorted(often, value), len(often) - 1)
-                hot = np.flatnonzero(often[at] == value)
-                salt[hot] = value[hot].view(np.int64) | 1
-                value[hot] ^= mix(mix(p["doc"][hot].view(np.uint64)) % (-(-count[at[hot]] // LIST)).astype(np.uint64))
-            bucket = (value & np.uint64(buckets - 1)).astype(np.int64)
-            p["chunk"] = np.ascontiguousarray(value >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :5]
-            order = np.argsort(bucket, kind="stable")
-            p, salt = p[order], salt[order]
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = [b for b in range(buckets) if cut[b] < cut[b + 1]]
-            part = lambda x, b: x[cut[b] : cut[b + 1]]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), binary_rows([part(p, b).tobytes() for b in full]), binary_rows([part(salt, b).tobytes() if part(salt, b).any() else None for b in full])], ["bucket", "blob", "salted"])
+            p = np.concatenate(held)
+            order = np.lexsort([p["pos"], p["th"], p["doc"], p["n"], p["chunk"]])
+            first, pairs = _first_of(p, order)
+            found = _matches(p, pairs)
+            own = p[first]
+            full, blobs = _deal(own, own["chunk"], buckets)
+            parts, matched = _deal(found, _documents(found), buckets)
+            kinds = [pa.array(full + parts, pa.int32()), binary_rows(blobs + [None] * len(parts)), binary_rows([None] * len(full) + matched)]
+            return pa.RecordBatch.from_arrays(kinds, ["bucket", "blob", "found"])
 
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy(False)
-            for i, j, data, at in _texts(batch):
-                lines = Lines(data, at)
+            ids, hashes = batch.column("doc_id").cast(pa.int64()).fill_null(_NULL).to_numpy(False), batch.column("th").to_numpy(False)
+            data, at = flat(batch.column("text"))
+            for i, j in slices(at):
+                lines = Lines(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 first, n, value = chunks(lines)
                 doc = np.searchsorted(lines.first, first, "right") - 1
                 p = np.empty(len(first), _POSTING)
-                p["doc"], p["th"], p["pos"], p["n"] = ids[i:j][doc], _text_hash(data, at)[doc], first - lines.first[doc], np.minimum(n, 255)
-                total = np.append(0, np.cumsum(lines.words))
-                p["words"] = np.minimum(total[first + n] - total[first], 255)
-                held.append((value, p))
+                p["chunk"], p["doc"], p["th"], p["pos"], p["n"] = value, ids[i:j][doc], hashes[i:j][doc], lines.word[first] - lines.whose[doc], lines.word[first + n] - lines.word[first]
+                held.append(p)
                 size += len(p)
-                if size >= 1 << 20:
+                if size >= HELD:
                     yield flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, blob binary, salted binary")
-
-
-_MATCH = "doc long, th long, pos long, n long, words long, kdoc long, kth long, kpos long"
+    return docs.mapInArrow(run, "bucket int, blob binary, found binary")
 
 
-def matches(posted: DataFrame) -> DataFrame:
-    """A row for each chunk that isn't the first of its kind: (doc, th, pos, n) and the first's (kdoc, kth, kpos). Rows with `salted` are the first of their part of a frequent chunk."""
+def matches(posted: DataFrame, buckets: int) -> DataFrame:
+    """(part, blob): matches of all chunks with their firsts, dealt by document."""
 
     def bucket(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        p = np.concatenate([np.frombuffer(r["blob"], _POSTING) for r in rows])
-        salt = np.concatenate([np.frombuffer(r["salted"], np.int64) if r["salted"] else np.zeros(len(r["blob"]) // _POSTING.itemsize, np.int64) for r in rows])
-        value = np.zeros((len(p), 8), np.uint8)
-        value[:, :5] = p["chunk"]
-        value = value.view("<u8").ravel()
-        order = np.lexsort([p["th"], p["pos"], p["doc"], p["n"], value])
-        p, value, salt = p[order], value[order], salt[order]
-        new = np.ones(len(p), bool)
-        new[1:] = (value[1:] != value[:-1]) | (p["n"][1:] != p["n"][:-1])
+        p = np.concatenate([np.frombuffer(b.as_buffer(), _POSTING) for b in t.column("blob") if b.is_valid] or [np.zeros(0, _POSTING)])
+        found = [np.frombuffer(b.as_buffer(), _MATCH) for b in t.column("found") if b.is_valid]
+        if len(p):
+            found.append(_matches(p, _first_of(p, np.lexsort([p["pos"], p["th"], p["doc"], p["n"], p["chunk"]]))[1]))
+        m = np.concatenate(found)
+        parts, blobs = _deal(m, _documents(m), buckets)
+        return pa.table({"part": pa.array(parts, pa.int32()), "blob": binary_rows(blobs)})
+
+    return posted.groupBy("bucket").applyInArrow(bucket, "part int, blob binary")
+
+
+def runs(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matches that follow one another in both documents, as one each: n words from pos are those from kpos. The second value numbers runs of one document that touch."""
+    shift = m["pos"].astype(np.int64) - m["kpos"]
+    order = np.lexsort([m["pos"], shift, m["kth"], m["kdoc"], m["th"], m["doc"]])
+    m, shift = m[order], shift[order]
+    same = np.ones(len(m) - 1, bool)
+    for c in ("doc", "th", "kdoc", "kth"):
+        same &= m[c][1:] == m[c][:-1]
+    same &= (shift[1:] == shift[:-1]) & (m["pos"][1:] <= m["pos"][:-1] + m["n"][:-1])
+    first = np.flatnonzero(np.append(True, ~same))
+    last = np.append(first[1:], len(m)) - 1
+    out = np.zeros(len(first), np.dtype([*_MATCH.descr[:-1], ("n", "<u4")]))
+    for c in ("doc", "th", "kdoc", "kth", "pos", "kpos"):
+        out[c] = m[c][first]
+    out["n"] = m["pos"][last] + m["n"][last] - out["pos"]
+    out = out[np.lexsort([out["pos"], out["th"], out["doc"]])]
+    # islands: the farthest end so far, within a document
+    new = np.append(True, (out["doc"][1:] != out["doc"][:-1]) | (out["th"][1:] != out["th"][:-1]))
+    end = out["pos"].astype(np.int64) + out["n"]
+    lift = np.cumsum(new) << 33
+    reach = np.maximum.accumulate(end + lift) - lift
+    apart = new.copy()
+    apart[1:] |= out["pos"][1:] > reach[:-1]
+    return out, np.cumsum(apart) - 1
+
+
+def pairs_of(matched: DataFrame) -> DataFrame:
+    """All runs of two documents as one row: `ranges` (pos, kpos, n) and the words to fetch of the first, [klo, khi). Runs that touch and have fewer than ANCHOR words together are common words, no passage."""
+
+    def part(t: pa.Table) -> pa.Table:
+        m = np.concatenate([np.frombuffer(b.as_buffer(), _MATCH) for b in t.column("blob")])
+        out, island = runs(m)
+        out = out[np.bincount(island, out["n"])[island] >= ANCHOR]
+        out = out[np.lexsort([out["pos"], out["kth"], out["kdoc"], out["th"], out["doc"]])]
+        new = np.zeros(len(out), bool)
+        new[:1] = True
+        for c in ("doc", "th", "kdoc", "kth"):
+            new[1:] |= out[c][1:] != out[c][:-1]
         first = np.flatnonzero(new)
-        head = np.repeat(first, np.diff(np.append(first, len(p))))
-        same = (p["doc"] == p["doc"][head]) & (p["pos"] == p["pos"][head]) & (p["th"] == p["th"][head])
-        take = np.flatnonzero(~same | (new & (salt != 0)))
-        k = p[head[take]]
-        p, salt = p[take], np.where(new[take], salt[take], 0)
-        return pa.table({**{c: p[c].astype(np.int64) for c in ("doc", "th", "pos", "n", "words")}, **{"k" + c: k[c].astype(np.int64) for c in ("doc", "th", "pos")}, "salted": pa.array(salt, mask=salt == 0)})
-
-    return posted.groupBy("bucket").applyInArrow(bucket, _MATCH + ", salted long")
-
+        k = out["kpos"].astype(np.int64)
+        lo = np.maximum(0, np.minimum.reduceat(k, first) - AROUND) // SNAP * SNAP if len(first) else k
+        hi = -(-(np.maximum.reduceat(k + out["n"], first) + AROUND) // SNAP) * SNAP if len(first) else k
+        packed = np.empty(len(out), _RANGE)
+        for c in ("pos", "kpos", "n"):
+            packed[c] = out[c]
+        ranges = [packed[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(out))[: len(first)], strict=True)]
+        return pa.table({**{c: out[c][first] for c in ("doc", "th", "kdoc", "kth")}, "klo": lo, "khi": hi, "ranges": binary_rows(ranges)})
 
-def runs(found: DataFrame) -> DataFrame:
-    """Matches that follow one another in both documents, as one row each: lines [pos, pos + n) of doc are lines [kpos, kpos + n) of kdoc.
-
-    Runs that touch each other and have fewer than ANCHOR words together drop out: a common line or two is no passage.
-    """
-    w = Window.partitionBy("doc", "th", "kdoc", "kth", F.col("pos") - F.col("kpos")).orderBy("pos")
-    end = F.col("pos") + F.col("n")
-    new = F.coalesce(F.col("pos") > F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    part = found.withColumn("run", F.sum(new.cast("int")).over(w)).withColumn("shift", F.col("pos") - F.col("kpos"))
-    grouped = part.groupBy("doc", "th", "kdoc", "kth", "shift", "run").agg(F.min("pos").alias("pos"), F.max(end).alias("end"), F.sum("words").alias("words"))
-    w = Window.partitionBy("doc", "th").orderBy("pos", "end")
-    apart = F.coalesce(F.col("pos") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
-    grouped = grouped.withColumn("island", F.sum(apart.cast("int")).over(w))
-    grouped = grouped.withColumn("all", F.sum("words").over(Window.partitionBy("doc", "th", "island"))).where(F.col("all") >= ANCHOR)
-    return grouped.select("doc", "th", "pos", (F.col("end") - F.col("pos")).alias("n"), "kdoc", "kth", (F.col("pos") - F.col("shift")).alias("kpos"))
+    return matched.groupBy("part").applyInArrow(part, "doc long, th long, kdoc long, kth long, klo long, khi long, ranges binary")
 
 
-def _pack_docs(docs: DataFrame) -> DataFrame:
-    """docs with the text compressed, and _doc and _th to join on."""
+def _packed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns of keep, and _z (the text compressed, null for null), _doc and _th: docs are (keep, _text, _id, _th)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for i, j, data, at in _texts(batch):
-                part, raw = batch.slice(i, j - i), data.tobytes()
-                rest = [c for c in batch.schema.names if c != "text"]
-                z = binary_rows([packer.compress(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-                cols = [part.column(c) for c in rest] + [z, part.column("doc_id").cast(pa.int64()).fill_null(_NULL), pa.array(_text_hash(data, at))]
-                yield pa.RecordBatch.from_arrays(cols, [*rest, "_z", "_doc", "_th"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"]
-    return docs.mapInArrow(run, ", ".join([*fields, "_z binary", "_doc long", "_th long"]))
-
-
-def _unpack(z: bytes) -> tuple[bytes, Lines]:
-    raw = zstandard.ZstdDecompressor().decompress(z) if z else b""
-    return raw, Lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-
+            z = [packer.compress(t.as_buffer()) if t.is_valid else None for t in batch.column("_text")]
+            cols = [batch.column(c) for c in keep] + [binary_rows(z), batch.column("_id").cast(pa.int64()).fill_null(_NULL), batch.column("_th")]
+            yield pa.RecordBatch.from_arrays(cols, [*keep, "_z", "_doc", "_th"])
 
-def pairs_of(run: DataFrame) -> DataFrame:
-    """All runs of two documents as one row: `ranges` (pos, n, kpos), the lines to fetch of both, [lo, hi) and [klo, khi)."""
-    pair = run.groupBy("doc", "th", "kdoc", "kth").agg(
-        F.min("pos").alias("lo"), F.max(F.col("pos") + F.col("n")).alias("hi"), F.min("kpos").alias("klo"), F.max(F.col("kpos") + F.col("n")).alias("khi"), F.collect_list(F.struct("pos", "n", "kpos")).alias("ranges")
-    )
-    return pair.withColumns({
-        "lo": F.greatest(F.col("lo") - AROUND, F.lit(0)),
-        "hi": F.col("hi") + AROUND,
-        "klo": F.greatest(F.floor((F.col("klo") - AROUND) / SNAP) * SNAP, F.lit(0)).cast("long"),
-        "khi": (F.ceil((F.col("khi") + AROUND) / SNAP) * SNAP).cast("long"),
-    })
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
+    return docs.mapInArrow(run, ", ".join([*fields, "_z binary", "_doc long", "_th long"]))
 
 
 def pieces(packed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted range of lines (doc, th, lo, hi) those lines: zstd of the bytes, and the number of each line's first word in the text, and of the end. Ranges end with the text."""
+    """For each wanted range of words (kdoc, kth, klo, khi) those words, joined by spaces and compressed, once. Ranges end with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            out = []
-            for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
-                raw, lines = _unpack(r["_z"])
-                for lo, hi in {(x["lo"], x["hi"]) for x in r["ranges"]}:
-                    cut = lines.word[lo : hi + 1].tolist()
-                    out.append((r["_doc"], r["_th"], lo, hi, packer.compress(raw[lines.start[cut[0]] : lines.end[cut[-1] - 1]] if len(cut) > 1 else b""), cut))
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)], ["doc", "th", "lo", "hi", "z", "cut"])
-
-    lists = wanted.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    joined = packed.select("_doc", "_th", "_z").join(lists, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")]).select("_doc", "_th", "_z", "ranges").dropDuplicates(["_doc", "_th"])
-    return joined.mapInArrow(run, "doc long, th long, lo long, hi long, z binary, cut array<long>")
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (doc, th, from, to), in words, of the runs whose words are equal, with the equal words around them. Within one text a span ends where its first occurrence begins or ends."""
-    unzip = zstandard.ZstdDecompressor()
-    for batch in batches:
-        out = []
-        for r in (row for k in range(0, batch.num_rows, 200) for row in batch.slice(k, 200).to_pylist()):
-            a, b = unzip.decompress(r["z"]).split(), unzip.decompress(r["kz"]).split()
-            cut, kcut = r["cut"], r["kcut"]
-            own = (r["doc"], r["th"]) == (r["kdoc"], r["kth"])
-            for x in r["ranges"]:
-                p, q = x["pos"] - r["lo"], x["kpos"] - r["klo"]
-                if p + x["n"] >= len(cut) or q + x["n"] >= len(kcut):
-                    continue
-                i, j, n = cut[p] - cut[0], kcut[q] - kcut[0], cut[p + x["n"]] - cut[p]
-                if a[i : i + n] != b[j : j + n]:
-                    continue
-                lo, hi = 0, n
-                room = cut[p] - kcut[q] if own else len(a) + len(b)
-                while lo < min(i, j) and lo + hi < room and a[i - lo - 1] == b[j - lo - 1]:
-                    lo += 1
-                while i + hi < len(a) and j + hi < len(b) and lo + hi < room and a[i + hi] == b[j + hi]:
-                    hi += 1
-                out.append((r["doc"], r["th"], cut[p] - lo, cut[p] + hi))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["doc", "th", "from", "to"])
-
-
-def repeated_spans(docs: DataFrame, store: Store, packed: DataFrame) -> DataFrame:
-    """(doc, th, spans): the ranges of words of each document that stand in an earlier place too."""
-    spark = docs.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_chunks(docs))
-    buckets = 1 << max(6, (int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2 // BUCKET).bit_length())
-    found = store.write(matches(postings(docs, frequent, min(buckets, 1 << 16))), "matches")
-    # the firsts of a frequent chunk's parts meet once more: one row a part
-    heads = found.where("salted is not null")
-    top = heads.groupBy("salted", "n").agg(F.min(F.struct("doc", "pos", "th")).alias("k"))
-    heads = heads.drop("kdoc", "kth", "kpos").join(top, ["salted", "n"]).select("doc", "th", "pos", "n", "words", F.col("k.doc").alias("kdoc"), F.col("k.th").alias("kth"), F.col("k.pos").alias("kpos")).where("doc <> kdoc or th <> kth or pos <> kpos")
-    pair = store.write(pairs_of(runs(found.where("salted is null").drop("salted").unionByName(heads))), "pairs")
+        packer, unpacker, before = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor(), None
+        for whole in batches:
+            for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
+                out = []
+                for r in batch.to_pylist():
+                    if (r["_doc"], r["_th"]) == before or r["_z"] is None:
+                        continue
+                    before = (r["_doc"], r["_th"])
+                    text = unpacker.decompress(r["_z"]).split()
+                    out += [(*before, x["klo"], x["khi"], packer.compress(b" ".join(text[x["klo"] : x["khi"]]))) for x in r["wanted"]]
+                kinds = [pa.int64()] * 4 + [pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["kdoc", "kth", "klo", "khi", "kz"])
+
+    lists = wanted.groupBy("kdoc", "kth").agg(F.collect_set(F.struct("klo", "khi")).alias("wanted"))
+    joined = packed.join(lists, [F.col("_doc") == F.col("kdoc"), F.col("_th") == F.col("kth")]).select("_doc", "_th", "_z", "wanted")
+    return joined.mapInArrow(run, "kdoc long, kth long, klo long, khi long, kz binary").dropDuplicates(["kdoc", "kth", "klo", "khi"])
+
+
+def firsts(docs: DataFrame, store: Store) -> DataFrame:
+    """(doc, th, found): for each document with repeated passages the runs and the words of their first occurrences. docs: doc_id, text, th."""
+    # bytes of the texts; a posting for seven words
+    size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    buckets = min(1 << max(6, (size // BUCKET).bit_length()), 1 << 16)
+    pair = store.write(pairs_of(matches(postings(docs, buckets), buckets)), "pairs")
     keys = ["kdoc", "kth", "klo", "khi"]
-    wanted = pair.select("doc", "th", "lo", "hi").unionByName(pair.select(*[F.col(k).alias(k[1:]) for k in keys])).distinct()
-    piece = store.write(pieces(packed, wanted), "pieces")
-    weight = pair.groupBy(*keys).agg(F.count("*").alias("weight"))
-    left = pair.join(weight, keys).join(piece, ["doc", "th", "lo", "hi"]).withColumn("key", F.xxhash64(*keys)).withColumn("doc_id", F.col("doc"))
-    first = piece.select(*[F.col(c).alias("k" + c) for c in ("doc", "th", "lo", "hi", "z", "cut")]).join(weight, keys).withColumn("key", F.xxhash64(*keys))
-    both = salted_join(left, first.select("key", "weight", *[F.col(c).alias("_" + c) for c in keys], "kz", "kcut"), "key", "weight").where(" and ".join(f"{c} = _{c}" for c in keys))
-    spans = both.select("doc", "th", "lo", "z", "cut", "ranges", "kdoc", "kth", "klo", "kz", "kcut").mapInArrow(_verify, "doc long, th long, from long, to long")
-    return spans.groupBy("doc", "th").agg(F.collect_set(F.struct("from", "to")).alias("spans"))
-
-
-def _cut(raw: bytes, lines: Lines, spans: list[dict], min_words: int) -> tuple[bytes, int]:
-    """The text without spans that touch and have min_words words together, and the number of lines that go as a whole."""
-    n = len(lines.start)
-    mark = np.zeros(n + 1, np.int64)
-    for s in spans:
-        mark[s["from"]] += 1
-        mark[s["to"]] -= 1
-    inside = np.append(0, (np.cumsum(mark)[:-1] > 0).astype(np.int64))
-    edges = np.diff(np.append(inside, 0))
-    start = np.append(lines.start, len(raw))
-    out, at, gone = [], 0, 0
-    for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1), strict=True):
-        if b - a >= min_words:
-            out.append(raw[at : start[a]])
-            at, gone = start[b], gone + int(np.searchsorted(lines.word, b, "right") - 1 - np.searchsorted(lines.word, a))
-    return b"".join([*out, raw[at:]]), gone
+    packed = _packed(docs.select(F.col("text").cast("binary").alias("_text"), F.col("doc_id").alias("_id"), F.col("th").alias("_th")), [])
+    piece = pieces(packed, pair.select(keys).distinct())
+    both = pair.join(piece, keys).withColumn("own", (F.col("doc") == F.col("kdoc")) & (F.col("th") == F.col("kth")))
+    return store.write(both.groupBy("doc", "th").agg(F.collect_list(F.struct("ranges", "klo", "kz", "own")).alias("found")), "found")
+
+
+def repeated(text: list[bytes], found: list[dict], unzip: zstandard.ZstdDecompressor) -> np.ndarray:
+    """Which words stand in an earlier place too: runs whose words are equal, with the equal words around them. Within one text a span ends where its first occurrence begins or ends."""
+    mark = np.zeros(len(text) + 1, np.int64)
+    for f in found:
+        first = unzip.decompress(f["kz"]).split()
+        for p, kp, n in np.frombuffer(f["ranges"], _RANGE).tolist():
+            q = kp - f["klo"]
+            if p + n > len(text) or text[p : p + n] != first[q : q + n] or q + n > len(first):
+                continue
+            lo, hi = 0, n
+            room = p - kp if f["own"] else len(text) + len(first)
+            while lo < min(p, q) and lo + hi < room and text[p - lo - 1] == first[q - lo - 1]:
+                lo += 1
+            while p + hi < len(text) and q + hi < len(first) and lo + hi < room and text[p + hi] == first[q + hi]:
+                hi += 1
+            mark[p - lo] += 1
+            mark[p + hi] -= 1
+    return np.cumsum(mark)[:-1] > 0
+
+
+def _cut(raw: bytes, inside: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """Bytes [a, b) of the spans with min_words words, up to the next word."""
+    edges = np.diff(np.concatenate([[0], inside.astype(np.int8), [0]]))
+    a, b = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    a, b = a[b - a >= min_words], b[b - a >= min_words]
+    if not len(a):
+        return []
+    data = np.frombuffer(raw, np.uint8)
+    start = np.append(words(data, np.array([0, len(data)]), NOT_SPACE)[0], len(raw))
+    return list(zip(start[a].tolist(), start[b].tolist(), strict=True))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with `text` cut, and removed_lines, removed_bytes.
+    """docs with `text` cut, and removed_lines (of the passages that went, as wrapped on their own), removed_bytes.
 
-    Of a passage that repeats, the occurrence with the smallest doc_id, then the first in the text, stays; a null doc_id
-    comes last. Null and blank texts have no lines and stay as they are. Rows with one doc_id and text are one document
-    and are cut alike. What stays of a text is joined as it stands. An empty table gives an empty result. Other columns
-    are kept; one whose name is that of an added column is replaced.
+    Of a passage that repeats, the occurrence with the smallest doc_id, then of the smallest hash of the text, then the first
+    in the text, stays; a null doc_id comes last. Null and blank texts have no lines and stay as they are. Rows with one doc_id
+    and text are one document and are cut alike. What stays of a text is joined as it stands. An empty table gives an empty
+    result. Other columns are kept, whatever their names; one with the name of an added column is replaced.
     """
     docs = docs.drop("removed_lines", "removed_bytes")
     store = Store(docs.sparkSession, "line_dedup")
-    spans = store.write(repeated_spans(docs, store, _pack_docs(docs.select("doc_id", "text"))), "spans")
-    names = [f.name for f in docs.schema]
+    found = firsts(docs.select("doc_id", "text", F.xxhash64("text").alias("th")), store)
+    # other columns go by number, so that none can clash
+    names = docs.columns
+    rest = [c for c in names if c != "text"]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest)], F.col("text").cast("binary").alias("_text"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
+    keep = [f"c{k}" for k in range(len(rest))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for whole in batches:
             for batch in (whole.slice(k, 200) for k in range(0, whole.num_rows, 200)):
-                text, counts = [], []
-                for z, null, found in zip(batch.column("_z").to_pylist(), batch.column("_null").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                    raw, gone, kept = unzip.decompress(z), 0, None
-                    if found:
-                        kept, gone = _cut(raw, Lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), found, min_words)
-                    text.append(None if null else (kept if gone else raw).decode())
-                    counts.append((gone, len(raw) - len(kept) if gone else 0))
-                cols = [pa.array(text, pa.string()) if c == "text" else batch.column(c) for c in names]
-                cols += [pa.array([c[k] for c in counts], pa.int64()) for k in range(2)]
-                yield pa.RecordBatch.from_arrays(cols, [*names, "removed_lines", "removed_bytes"])
-
-    packed = _pack_docs(docs.withColumn("_null", F.col("text").isNull()))
-    joined = packed.join(spans, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")], "left").drop("doc", "th", "_doc", "_th")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return joined.mapInArrow(run, ", ".join([*fields, "removed_lines long, removed_bytes long"]))
+                text, counts, gone, at = [], [], [], []
+                for z, seen in zip(batch.column("_z").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                    raw = unzip.decompress(z) if z is not None else None
+                    spans = _cut(raw, repeated(raw.split(), seen, unzip), min_words) if seen and raw is not None else []
+                    if spans:
+                        edges = [0, *[x for s in spans for x in s], len(raw)]
+                        text.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode())
+                        gone += [raw[a:b] for a, b in spans]
+                    else:
+                        text.append(None if raw is None else raw.decode())
+                    at.append(len(gone))
+                    counts.append(sum(b - a for a, b in spans))
+                own = Lines(np.frombuffer(b"".join(gone), np.uint8), np.append(0, np.cumsum([len(g) for g in gone])).astype(np.int64)).first
+                lines = np.diff(np.append(0, own[at])) if gone else np.zeros(batch.num_rows, np.int64)
+                cols = [batch.column(c) for c in keep] + [pa.array(text, pa.string()), pa.array(lines, pa.int64()), pa.array(counts, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, [*keep, "_text", "_lines", "_bytes"])
+
+    joined = _packed(rows, keep).join(found, [F.col("_doc") == F.col("doc"), F.col("_th") == F.col("th")], "left").drop("doc", "th", "_doc", "_th")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keep]
+    out = joined.mapInArrow(run, ", ".join([*fields, "_text string, _lines long, _bytes long"]))
+    return out.select(*[F.col("_text" if c == "text" else f"c{rest.index(c)}").alias(c) for c in names], F.col("_lines").alias("removed_lines"), F.col("_bytes").alias("removed_bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +370,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated passages; one of which nothing is left but white space goes, n_chars is counted anew."""
+    """Documents without repeated passages; one of which nothing is left but white space goes, n_chars, where docs have it, is counted anew. Nulls, ties, repeated rows and empty tables: see line_dedup."""
     cut = line_dedup(docs)
-    left = cut.where("removed_lines = 0 or text rlike '[^ \\\\t-\\\\r]'").withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    left = cut.where("removed_lines = 0 or text rlike '[^ \\\\t-\\\\r]'")
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(docs.columns)
