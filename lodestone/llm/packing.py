@@ -1,14 +1,18 @@
 """Lexical retrieval packing.
 
-Documents become token ids; what fills whole windows is cut off, and the remainders are dealt over shards of bounded size
-by hash. A shard is an inverted index: for each token its remainders and their BM25 weights, with document frequencies and
-mean length from all documents. The longest unused remainder seeds a window; the index returns its unused neighbours, best
-first, and those that fit fill it. A gap that none fits is closed with the head of the best neighbour, whose tail stays
-unused. A window draws on the neighbours of its own shard alone.
+Documents become token ids; what fills whole windows is cut off. The remainders of all documents stand in one order by
+content: by their rarest token (the vocabulary lists frequent ones first), then by a hash of the next one, then by a hash of
+text and doc_id, so that texts that share rare words stand together. Counts of all remainders by the first two keys - a table
+bounded by the vocabulary - cut that order into shards of about SHARD, a common word or a group of copies into as many as it
+needs; where a remainder goes depends on the texts alone, not on how the input is dealt. A shard is an inverted index: for
+each token its remainders and their BM25 weights, with document frequencies and mean length from all documents. The longest
+unused remainder seeds a window; the index returns its unused neighbours, best first, and those that fit fill it. A gap that
+none fits is closed with the head of the best neighbour, whose tail stays unused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -18,29 +22,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Store, table
-from .tokens import encode
-from .vectors import binary_rows, mix, texts
+from .tokens import encode, vocabulary
+from .vectors import texts
 
-#: Remainders of a shard, roughly; the shortest gap worth a cut; BM25's parameters.
-SHARD, MIN_GAP, K1, B = 1024, 16, 1.2, 0.75
+#: Remainders of a shard, roughly; the shortest gap worth a cut; BM25's parameters; values of the second key's hash.
+SHARD, MIN_GAP, K1, B, NEXT = 1024, 16, 1.2, 0.75, 16
 END = 1
-_PIECE = "shard long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+_PIECE = "cell long, place long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenized(docs: DataFrame, window: int, shards: int, with_ids: bool, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """Pieces of all documents: whole windows, and remainders with their ids. A last row of each task: tokens and the documents there that have them."""
+def cell(ids: np.ndarray) -> int:
+    """Where ids stand in the order by content: the rarest token, and a hash of the next one."""
+    top = int(ids.max())
+    rest = ids[ids != top]
+    return top * NEXT + ((int(rest.max()) * 0x9E3779B97F4A7C15 >> 32) % NEXT if len(rest) else 0)
+
+
+def tokenized(docs: DataFrame, window: int, with_ids: bool, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
+    """Pieces of all documents: whole windows, and remainders with their ids. Last rows of each task: tokens and the documents there that have them; cells and the remainders there."""
+    names = ["cell", "place", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "token", "df", "cells", "rests"]
+    kinds = [pa.int64()] * 7 + [pa.binary()] + [pa.list_(pa.int64())] * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        df = np.zeros(1 << 16, np.int64)
-        no = TaskContext.get().partitionId() << 32
-        kinds = [pa.int64()] * 6 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        names = ["shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "token", "df"]
+        size = vocabulary(json_path)
+        df, rests = np.zeros(size, np.int64), np.zeros(size * NEXT, np.int64)
+        width, seen, task = _width(size), {}, TaskContext.get().partitionId()
         batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
@@ -50,18 +62,54 @@ def tokenized(docs: DataFrame, window: int, shards: int, with_ids: bool, json_pa
                 for d, a, b in zip(doc_ids[i:j], begin[:-1], begin[1:], strict=True):
                     own = np.append(ids[a:b], np.uint32(END))
                     df[np.unique(own)] += 1
+                    last = own[(len(own) - 1) // window * window :]
+                    where, crc = cell(last), _crc(last)
+                    key = (d, len(own), crc)
+                    # repeated rows of one task stand apart, so that any number of them is dealt over shards
+                    again = seen[key] = seen.get(key, -1) + 1
+                    place = int.from_bytes(hashlib.blake2b(f"{crc} {d} {len(own)} {again} {task if again else 0}".encode(), digest_size=8).digest()) >> 1
                     for s in range(0, len(own), window):
                         piece = own[s : s + window]
                         whole = len(piece) == window
-                        shard = int(mix(np.array([(d or 0) * 0x9E3779B1 + no & (1 << 64) - 1], np.uint64))[0] % np.uint64(shards))
-                        no += 1
-                        rows.append((shard, d, s, len(piece), _crc(piece) if whole else None, len(own), None if whole and not with_ids else piece.astype("<u2").tobytes(), None, None))
+                        rests[where] += not whole
+                        rows.append((where, place, d, s, len(piece), _crc(piece) if whole else None, len(own), None if whole and not with_ids else piece.astype(width).tobytes(), None, None, None, None))
+                if len(seen) > 1 << 17:
+                    seen.clear()
+                    task += 1 << 32
                 if rows:
                     yield batch_of(rows)
-        t = np.flatnonzero(df)
-        yield batch_of([(None,) * 7 + (t.tolist(), df[t].tolist())])
+        t, c = np.flatnonzero(df), np.flatnonzero(rests)
+        yield batch_of([(None,) * 8 + (t.tolist(), df[t].tolist(), c.tolist(), rests[c].tolist())])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _PIECE + ", token array<long>, df array<long>, cells array<long>, rests array<long>")
+
+
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def _sums(rows: DataFrame, key: str, value: str, size: int) -> np.ndarray:
+    """Sums by a key below `size`, which the vocabulary bounds."""
+    found = rows.where(f"{key} is not null").select(F.explode(F.arrays_zip(key, value)).alias("x")).groupBy(F.col(f"x.{key}").alias("k")).agg(F.sum(f"x.{value}").alias("v")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[found.column("k").to_numpy()] = found.column("v").to_numpy()
+    return out
+
+
+def dealt(pieces: DataFrame, before: np.ndarray, count: np.ndarray) -> DataFrame:
+    """pieces with their shard: by their place in the order, `before` remainders stand before a cell, which has `count`."""
+    order = pieces.sparkSession.sparkContext.broadcast((before, count))
+    names = [c for c in pieces.columns if c not in ("cell", "place")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, count = order.value
+        for b in batches:
+            at, place = b.column("cell").to_numpy(), b.column("place").to_numpy()
+            shard = (before[at] + np.floor(place / 2.0**63 * count[at]).astype(np.int64)) // SHARD
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *[b.column(c) for c in names]], ["shard", *names])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECE + ", token array<long>, df array<long>")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
+    return pieces.mapInArrow(run, f"shard long, {fields}")
 
 
 class Index:
@@ -77,7 +125,7 @@ class Index:
         weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
         order = np.argsort(token, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.at = np.searchsorted(token[order], np.arange((1 << 16) + 1))
+        self.at = np.searchsorted(token[order], np.arange(len(df) + 1))
         self.n = len(ids)
 
     def scores(self, k: int) -> np.ndarray:
@@ -120,27 +168,25 @@ def fill(length: np.ndarray, neighbours, window: int) -> Iterator[list[tuple[int
 
 
 def packed(docs: DataFrame, window: int = 2048, with_ids: bool = False, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request ids (little-endian 16-bit).
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request ids (little-endian, 16 bits each, 32 for vocabularies beyond 65,536).
 
     A document's ids are those of its text, then id 1; null text counts as empty and gives id 1 alone. Every id is in
     exactly one piece. Repeated rows are packed as rows of their own, also under a null doc_id. Sequences hold `window`
     ids at most. An empty table gives an empty result; other columns of docs are ignored.
     """
     spark, store = docs.sparkSession, Store(docs.sparkSession, "packing")
-    shards = max(1, -(-docs.count() // SHARD))
-    rows = store.write(tokenized(docs, window, shards, with_ids, json_path, ranks_path), "pieces")
-    pieces = rows.where("shard is not null").drop("token", "df")
-    # at most one row a token of the vocabulary
-    found = rows.where("token is not null").select(F.explode(F.arrays_zip("token", "df")).alias("x")).groupBy("x.token").agg(F.sum("x.df").alias("df")).toArrow()
-    df = np.zeros(1 << 16, np.int64)
-    df[found.column("token").to_numpy()] = found.column("df").to_numpy()
+    size = vocabulary(json_path)
+    rows = store.write(tokenized(docs, window, with_ids, json_path, ranks_path), "pieces")
+    pieces = rows.where("cell is not null").drop("token", "df", "cells", "rests")
+    df, count = _sums(rows, "token", "df", size), _sums(rows, "cells", "rests", size * NEXT)
     total = pieces.agg(F.count_if(F.col("start") == 0).alias("n"), F.sum("length").alias("tokens")).first()
     n, mean = total["n"], (total["tokens"] or 0) / max(1, total["n"])
     stats = spark.sparkContext.broadcast((df, n, mean))
+    width = _width(size)
 
     def shard(t: pa.Table) -> pa.Table:
         df, n, mean = stats.value
-        t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending")])
+        t = t.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("doc_tokens", "ascending"), ("ids", "ascending")])
         rows = t.to_pylist()
         base, no, out = (rows[0]["shard"] << 32), 0, []
         for r in rows:
@@ -149,7 +195,7 @@ def packed(docs: DataFrame, window: int = 2048, with_ids: bool = False, json_pat
                 no += 1
         rest = [r for r in rows if r["length"] < window]
         if rest:
-            ids = [np.frombuffer(r["ids"], "<u2") for r in rest]
+            ids = [np.frombuffer(r["ids"], width) for r in rest]
             index = Index(ids, df, n, mean)
             for members in fill(np.array([len(x) for x in ids]), index.scores, window):
                 offset = 0
@@ -162,7 +208,7 @@ def packed(docs: DataFrame, window: int = 2048, with_ids: bool = False, json_pat
         return pa.table([pa.array(c, pa.binary() if k == "ids" else pa.int64()) for c, k in zip(zip(*out, strict=True), names, strict=True)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return pieces.groupBy("shard").applyInArrow(shard, schema)
+    return dealt(pieces, np.cumsum(count) - count, count).groupBy("shard").applyInArrow(shard, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,4 +216,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """packed() of all rows, in windows of 2048: nulls, ties, repeated rows, empty tables and other columns as there."""
     return packed(docs)

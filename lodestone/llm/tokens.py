@@ -36,6 +36,12 @@ def _tokenizer(path: str | None):
     return out
 
 
+@functools.cache
+def vocabulary(path: str | None = None) -> int:
+    """One more than the greatest id."""
+    return max(_tokenizer(path).get_vocab().values()) + 1
+
+
 @functools.cache
 def _encoding(path: str | None):
     """The same vocabulary by ranks, and the length in bytes of each id."""

@@ -56,6 +56,56 @@ def test_odd_rows(spark):
     check(docs, 64)
 
 
+def _windows(rows):
+    """The (doc_id, start, length) of each sequence."""
+    out = {}
+    for r in rows:
+        out.setdefault(r["sequence_id"], []).append((-1 if r["doc_id"] is None else r["doc_id"], r["start"], r["length"]))
+    return sorted(sorted(v) for v in out.values())
+
+
+def test_windows_hang_on_the_texts_alone(spark, monkeypatch):
+    """Several shards: the same windows however the input is dealt, with more alike documents than chance, and most best neighbours in reach."""
+    monkeypatch.setattr(packing, "SHARD", 128)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, two = ([r for r in packing.packed(docs.repartition(n), with_ids=True).collect()] for n in (2, 7))
+    assert _windows(one) == _windows(two)
+    assert len({r["sequence_id"] >> 32 for r in one}) >= 7
+
+    sets, shard_of, seq = {}, {}, {}
+    for r in one:
+        if r["length"] < 2048:
+            sets[r["doc_id"]] = sets.get(r["doc_id"], set()) | set(np.frombuffer(r["ids"], "<u2").tolist())
+            shard_of[r["doc_id"]] = r["sequence_id"] >> 32
+            seq.setdefault(r["sequence_id"], set()).add(r["doc_id"])
+    count = np.zeros(1 << 16)
+    for s in sets.values():
+        count[list(s)] += 1
+    idf = np.log1p((len(sets) - count + 0.5) / (count + 0.5))
+    like = lambda a, b: idf[list(sets[a] & sets[b])].sum() / idf[list(sets[a] | sets[b])].sum()
+    rng, ids = np.random.default_rng(1), sorted(sets)
+    together = [like(a, b) for s in seq.values() for a, b in zip(sorted(s), sorted(s)[1:], strict=False)]
+    chance = [like(*rng.choice(ids, 2, replace=False)) for _ in range(len(together))]
+    assert np.mean(together) > 1.5 * np.mean(chance)
+    # of pairs of near copies, which are each other's best neighbours, nine of ten share a shard
+    near = [(a, b) for k, a in enumerate(ids[:400]) for b in ids[k + 1 :] if len(sets[a] & sets[b]) > 0.8 * len(sets[a] | sets[b]) and len(sets[a]) > 20]
+    assert len(near) > 20 and sum(abs(shard_of[a] - shard_of[b]) <= 0 for a, b in near) >= 0.8 * len(near)
+
+
+def test_copies_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD", 50)
+    docs = spark.createDataFrame([(None if k % 2 else 7, "one two three", 1) for k in range(1000)], SCHEMA).repartition(3)
+    rows, seq = check(docs)
+    size = {}
+    for r in rows:
+        size[r["sequence_id"] >> 32] = size.get(r["sequence_id"] >> 32, 0) + 1
+    assert len(size) >= 15 and max(size.values()) <= 120
+
+
+def test_wide_vocabularies():
+    assert packing._width(50_257) == "<u2" and packing._width(1 << 16) == "<u2" and packing._width((1 << 16) + 1) == "<u4"
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA)).count() == 0
 
