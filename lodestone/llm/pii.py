@@ -2,8 +2,11 @@
 
 Nodes are the tokens with a digit or "@"; all other tokens count as observed outside of entities. A node has features of
 its shape and surroundings, chain edges to the nodes beside it, and skip edges to the last earlier token with the same
-or a similar content (same letters and digits, or the same last digits). Weights are learnt by pseudo-likelihood on a bounded sample
-of documents, labelled by the patterns. Loopy sum-product over chain and skip edges then gives each token's label, so that a
+or a similar content (same letters and digits, the same last digits, or a part of an address). Weights are learnt by
+pseudo-likelihood on a bounded sample of documents, labelled by the patterns and by assignments to words such as "token" (kind
+secret). Half of these texts also repeat what the patterns found in forms that no pattern sees (a number without its country
+code, a spaced address), beside other numbers of the same form: there only the earlier mention tells the label, so that
+weight falls on the skip edges. Loopy sum-product over chain and skip edges then gives each token's label, so that a
 number that is a phone in one place is one in another where no pattern sees it. Edges only link a token with the last one
 of its kind, so that a document's graph has a few edges a token, however often one repeats.
 """
@@ -25,9 +28,11 @@ from .shared import table
 from .vectors import slices, flat
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("o", *KINDS)
-#: Documents that the weights are learnt from at most; hashed features; rounds of messages.
-SAMPLE, WIDTH, ROUNDS = 2_000, 1 << 12, 8
+#: Kinds of all spans; no pattern of the base has the last.
+ALL = (*KINDS, "secret")
+LABELS = ("o", *ALL)
+#: Documents that are looked at to learn weights, at most; nodes of a part of one; hashed features; rounds of messages.
+SAMPLE, NODES, WIDTH, ROUNDS = 20_000, 64, 1 << 12, 8
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 # a digit before would have begun the match
@@ -37,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 _NODE = re.compile(r"[0-9@]")
 _EDGE = ".,;:!?()[]{}<>\"'"
+_SECRET = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|(?:api|access)[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_+/-]{16,})")
+_HEX = re.compile(r"[0-9A-Fa-f]+")
 
 
 def luhn(digits: str) -> bool:
@@ -66,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns' matches that hold, by start, then kind."""
     found = [(s, e, "email") for s, e in emails(text)]
     if "." in text:
-        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(x) < 5000 and int(x) <= 255 for x in m.group().split("."))]
+        found += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m.group().split("."))]
     for m in _CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 12 <= len(digits) <= 19 and luhn(digits):
@@ -76,6 +83,35 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def taught_spans(text: str) -> list[tuple[int, int, str]]:
+    """What the field learns from: the patterns' spans and assigned secrets."""
+    base = base_spans(text)
+    secrets = [(m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text) if any("0" <= c <= "9" for c in m.group(1))]
+    return sorted(base + [s for s in secrets if not any(a < s[1] and b > s[0] for a, b, _ in base)])
+
+
+def with_repeats(text: str, spans: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text and spans, and after it phones and addresses once more in forms that no pattern sees, and other numbers of the same form without a span."""
+    out, spans = text, list(spans)
+
+    def add(before: str, form: str, kind: str | None) -> None:
+        nonlocal out
+        out += f"{before} "
+        if kind:
+            spans.append((len(out), len(out) + len(form), kind))
+        out += form
+
+    for a, b, kind in spans[:8]:
+        if kind == "phone":
+            d = "".join(c for c in text[a:b] if "0" <= c <= "9")[-10:]
+            other = "".join(str((int(c) * 7 + k + zlib.crc32(d.encode())) % 10) for k, c in enumerate(d))
+            for x, label in ((other, None), (d, "phone")):
+                add("\nand", f"({x[:-7]}) {x[-7:-4]}-{x[-4:]}" if len(x) == 10 else f"{x[:-4]}-{x[-4:]}", label)
+        elif kind == "email":
+            add("\nto", " @ ".join(text[a:b].split("@")), "email")
+    return out + " or", spans
+
+
 @dataclass
 class Graph:
     """Nodes of one document: spans, features, edges (chain and skip), and the label that the patterns give each."""
@@ -95,7 +131,7 @@ def _shape(token: str) -> str:
     return re.sub(r"a+", "a", re.sub(r"A+", "A", out))
 
 
-FEATURES = 10
+FEATURES = 12
 
 
 def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
@@ -113,7 +149,7 @@ def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
         left = text[tokens[t - 1][0] : tokens[t - 1][1]] if t else ""
         right = text[tokens[t + 1][0] : tokens[t + 1][1]] if t + 1 < len(tokens) else ""
         shape = _shape(core)[:40]
-        names = [f"s{shape}", f"n{len(digits)}", f"c{re.sub('d+', 'd', shape)}", f"l{_shape(left)[:12]}", f"r{_shape(right)[:12]}", f"h{core[:1]}", f"@{core.count('@')}.{min(4, core.count('.'))}", f"u{len(digits) >= 12 and luhn(digits)}", f"w{left[-1:]}{right[:1] if not right[:1].isalpha() else 'a'}", "1"]
+        names = [f"s{shape}", f"n{len(digits)}", f"c{re.sub('d+', 'd', shape)}", f"l{_shape(left)[:12]}", f"r{_shape(right)[:12]}", f"h{core[:1]}", f"@{core.count('@')}.{min(4, core.count('.'))}", f"u{len(digits) >= 12 and luhn(digits[:20])}", f"x{bool(_HEX.fullmatch(core))}{min(len(core) // 8, 5)}", f"k{text[tokens[t - 2][0] : tokens[t - 2][1]].lower()[:12] if t > 1 and left in '=:' else ''}", f"w{left[-1:]}{right[:1] if not right[:1].isalpha() else 'a'}", "1"]
         out.features.append([zlib.crc32(x.encode()) % WIDTH for x in names])
         i = len(out.spans)
         out.spans.append((a, b))
@@ -124,7 +160,8 @@ def graph(text: str, base: list[tuple[int, int, str]]) -> Graph:
         if t - 1 == before:
             out.chain.append((i - 1, i))
         before = t
-        for key in {("c", "".join(c for c in core.lower() if c.isalnum())), *([("d", digits[-7:])] if len(digits) >= 7 else [])}:
+        keys = [("c", "".join(c for c in x if c.isalnum())) for x in dict.fromkeys([core.lower(), *core.lower().split("@")])]
+        for key in keys + [("d", digits[-7:])] * (7 <= len(digits) <= 19):
             if key[1] and len(key[1]) >= 4:
                 if key in last and (last[key], i) not in out.chain[-1:] + out.skip[-1:]:
                     out.skip.append((last[key], i))
@@ -256,20 +293,29 @@ def _documents(batch: pa.RecordBatch) -> Iterator[list[tuple[int, str]]]:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Learns from at most `sample` documents, those with the smallest hash among the ones that have nodes."""
+    """Learns from about `sample` documents, those whose hash lies under a bound; graphs are cut into parts of NODES nodes, and `sample` parts count at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for part in _documents(batch):
                 for _, text in part:
-                    g = graph(text, base_spans(text))
-                    rows.append((sum(g.features, []), sum(map(list, g.chain), []), sum(map(list, g.skip), []), g.alone, g.label))
+                    taught = taught_spans(text)
+                    if zlib.crc32(text.encode()) % 2:
+                        text, taught = with_repeats(text, taught)
+                    g = graph(text, taught)
+                    for k in range(0, len(g.spans), NODES):
+                        near = lambda e, k=k: [x - k for p in e if k <= min(p) and max(p) < k + NODES for x in p]
+                        rows.append((sum(g.features[k : k + NODES], []), near(g.chain), near(g.skip), g.alone[k : k + NODES], g.label[k : k + NODES]))
             ints = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, ints) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["features", "chain", "skip", "alone", "label"])
 
-    chosen = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", "text")).limit(sample)
-    found = chosen.mapInArrow(run, "features array<long>, chain array<long>, skip array<long>, alone array<long>, label array<long>").toArrow().to_pylist()
+    n = docs.count()
+    own = F.xxhash64("doc_id", "text")
+    # uniform hashes: the bound lets through about `sample` rows of any table, the limit exactly so many at most
+    bound = int(-(1 << 63) + min(1.0, 1.05 * sample / max(1, n)) * ((1 << 64) - 1)) - 1
+    chosen = docs.select("doc_id", "text").where(own <= F.lit(min(bound, (1 << 63) - 1))).where(F.col("text").rlike("[0-9@]"))
+    found = chosen.mapInArrow(run, "features array<long>, chain array<long>, skip array<long>, alone array<long>, label array<long>").limit(sample).toArrow().to_pylist()
     pairs = lambda x: list(zip(x[::2], x[1::2], strict=True))
     return fit([Graph([(0, 0)] * len(r["label"]), np.array(r["features"]).reshape(-1, FEATURES).tolist(), pairs(r["chain"]), pairs(r["skip"]), r["alone"], r["label"]) for r in found if r["label"]])
 
@@ -277,8 +323,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
 def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Counts and the digest (of kind:start:end, comma-joined) are of the patterns' spans; `spans` holds these and the field's,
-    by start, then kind. Offsets are code points, ends exclusive. Null counts as empty: no spans, the digest of "". Repeated
+    Counts and the digest (of kind:start:end, comma-joined) are of the patterns' spans; `spans` holds these and the field's
+    (of the same kinds, and secret), by start, then kind. Offsets are code points, ends exclusive. Null counts as empty: no spans, the digest of "". Repeated
     rows have equal results; an empty table gives an empty result; other columns of docs are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
@@ -299,7 +345,7 @@ def personal_data(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     for x in b:
                         counts[row, KINDS.index(x[2])] += 1
                     digest[row] = hashlib.sha256(join(b).encode()).hexdigest()
-                    spans[row] = join(sorted(b + extra, key=lambda s: (s[0], KINDS.index(s[2]), s[1])))
+                    spans[row] = join(sorted(b + extra, key=lambda s: (s[0], ALL.index(s[2]), s[1])))
             cols = [batch.column("doc_id").cast(pa.int64()), *map(pa.array, counts.T), pa.array(digest, pa.string()), pa.array(spans, pa.string())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
