@@ -1,7 +1,7 @@
 """License scans by template-markup matching.
 
 A template is a text with regions: <<beginOptional>> ... <<endOptional>> may be left out, <<var;N>> stands for up to N words
-of any kind. Each is compiled into an automaton over words; a place in a text is accepted when the wording outside of the regions
+of any kind; a template has mandatory words (ValueError otherwise). Each is compiled into an automaton over words; a place in a text is accepted when the wording outside of the regions
 matches word for word. Texts are searched for the rarest fixed phrase of each template first (a template has no other
 places), so that the automata run there alone.
 """
@@ -30,6 +30,17 @@ following conditions are met: <<beginOptional>>1<<endOptional>> Redistributions
 notice, this list of conditions and the following disclaimer. <<beginOptional>>2<<endOptional>> Redistributions in binary form
 must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or
 other materials provided with the distribution."""
+_BSD_WARRANTY = """ THIS SOFTWARE IS PROVIDED BY <<var;12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT
+NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL <<var;12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT
+NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_WARRANTY = """ THE SOFTWARE IS PROVIDED "AS IS" AND <<var;12>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;12>> BE LIABLE FOR ANY SPECIAL,
+DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN
+ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+SOFTWARE."""
 #: The licenses' own wording, and the label that each adds.
 TEMPLATES = {
     "mit-text": """<<beginOptional>>MIT License<<endOptional>> <<beginOptional>>Copyright <<var;20>><<endOptional>>
@@ -41,11 +52,52 @@ Software is furnished to do so, subject to the following conditions: The above c
 Software. """ + _WARRANTY,
     "isc-text": """<<beginOptional>>ISC License<<endOptional>> <<beginOptional>>Copyright <<var;20>><<endOptional>>
 Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or
-without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
-    "bsd-2-clause-text": "<<beginOptional>>Copyright <<var;20>><<endOptional>> " + _BSD,
+without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+    + _ISC_WARRANTY,
+    "0bsd-text": """<<beginOptional>>Copyright <<var;20>><<endOptional>> Permission to use, copy, modify, and/or distribute this
+software for any purpose with or without fee is hereby granted."""
+    + _ISC_WARRANTY,
+    "bsd-2-clause-text": "<<beginOptional>>Copyright <<var;20>><<endOptional>> " + _BSD + _BSD_WARRANTY,
     "bsd-3-clause-text": "<<beginOptional>>Copyright <<var;20>><<endOptional>> " + _BSD + """ <<beginOptional>>3<<endOptional>> Neither the
 name of <<var;12>> nor the names of its contributors may be used to endorse or promote products derived from this software
-without specific prior written permission.""",
+without specific prior written permission."""
+    + _BSD_WARRANTY,
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will <<var;12>> be held
+liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any
+purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+<<beginOptional>>1<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+but is not required. <<beginOptional>>2<<endOptional>> Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. <<beginOptional>>3<<endOptional>> This notice may not be removed or altered from
+any source distribution.""",
+    "bsl-1.0-text": """<<beginOptional>>Boost Software License Version 1.0 <<var;4>><<endOptional>> Permission is hereby granted,
+free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this
+license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The
+copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the
+Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source
+language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE
+COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,
+commercial or non-commercial, and by any means. <<beginOptional>>In jurisdictions that recognize copyright laws, the author or
+authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication
+for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt
+act of relinquishment in perpetuity of all present and future rights to this software under copyright law.<<endOptional>> THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM,
+DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at <<var;8>>""",
+    "cc0-notice": """To the extent possible under law, <<var;12>> has waived all copyright and related or neighboring rights to
+<<var;12>>""",
+    "lgpl-notice": """<<var;6>> is free software<<beginOptional>>;<<endOptional>> you can redistribute it and/or modify it under the
+terms of the GNU Lesser General Public License as published by the Free Software Foundation<<beginOptional>>;<<endOptional>> either version <<var;3>> of the License, or
+<<beginOptional>>(at your option)<<endOptional>> any later version.""",
     "apache-2.0-notice": """<<beginOptional>>Copyright <<var;20>><<endOptional>> Licensed under the Apache License, Version 2.0 (the
 "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 <<var;8>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
@@ -99,7 +151,9 @@ class Automaton:
                     self.free.setdefault(first + k, []).append(first + n)
         self.end = len(self.steps)
         #: The longest run of fixed words, up to eight: it is in every accepted text. reach: words that may stand before it.
-        longest = max(fixed, key=len)
+        longest = max(fixed, key=lambda f: (len(f), sum(map(len, f))))
+        if not longest:
+            raise ValueError(f"a template without mandatory words accepts any text: {template!r}")
         self.anchor = longest[:8]
         for k in range(self.end):
             if [s[0] for s in self.steps[k : k + len(self.anchor)]] == self.anchor:
