@@ -3,8 +3,10 @@
 Every document is a point in metadata space (size, language, source). All nodes of a level are split at once: the widest
 dimension of each node is found by one small aggregate, and the weighted median (or the quantile that the numbers of
 leaves on both sides ask for) by histograms of bytes that are refined until the cut is exact to a thousandth of a leaf.
-The driver sees at most LEAVES * BINS sums a pass, whatever the input. Ties in a dimension are cut by a hash of the text
-and then of the doc_id, so that a source that holds a third of all rows is split like any other range.
+The driver sees at most LEAVES * BINS sums a pass, whatever the input. Equal texts are one weighted point, with the metadata
+of their smallest doc_id, and so stay in one shard, unless they hold more than TOGETHER of a shard's bytes: then they are
+points of their own. Ties in a dimension are cut by a hash of the text and then, for such texts, of the doc_id, so that a
+source or a text that holds a third of all rows is split like any other range.
 """
 
 from __future__ import annotations
@@ -14,27 +16,41 @@ from pyspark.sql import functions as F
 
 from .shared import Store, table
 
-BINS, TOLERANCE, SLOTS = 4096, 0.001, 10_000
+BINS, TOLERANCE, SLOTS, TOGETHER = 4096, 0.001, 10_000, 0.1
 DIMENSIONS = ("k_size", "k_lang", "k_source")
 
 
+def _low(c: Column) -> Column:
+    return F.pmod(c, F.lit(1 << 20))
+
+
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32 and a 60-bit key per dimension: 20 bits of the value's code, 20 of the text's hash, 20 of the doc_id's."""
+    """doc_id, size, text_crc32, a hash of the text, and a 20-bit code for each dimension."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = lambda c: F.pmod(c, F.lit(1 << 20))
-    tie = F.shiftleft(low(F.xxhash64(text)), 20) + low(F.xxhash64("doc_id"))
-    key = lambda code: F.shiftleft(code.cast("long"), 40) + tie
     size = F.octet_length(text).cast("long") + 8
     return docs.select(
         "doc_id",
         size.alias("size"),
         F.crc32(text).alias("text_crc32"),
-        key(F.least(F.log2(size.cast("double")) / 40 * (1 << 20), F.lit((1 << 20) - 1))).alias("k_size"),
-        key(low(F.xxhash64(F.coalesce(F.col("lang"), F.lit(""))))).alias("k_lang"),
-        key(low(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))))).alias("k_source"),
+        F.xxhash64(text).alias("th"),
+        F.least(F.log2(size.cast("double")) / 40 * (1 << 20), F.lit((1 << 20) - 1)).cast("long").alias("c_size"),
+        _low(F.xxhash64(F.coalesce(F.col("lang"), F.lit("")))).alias("c_lang"),
+        _low(F.xxhash64(F.coalesce(F.col("source"), F.lit("")))).alias("c_source"),
     )
 
 
+def keyed(rows: DataFrame, most: float) -> DataFrame:
+    """rows of points() with a 60-bit key per dimension: 20 bits of the code, 20 of the text's hash, and 20 more of this for equal texts of at most `most` bytes together, of the doc_id's for others."""
+    text = ["th", "text_crc32", "size"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c_lang", "c_source")).alias("first")
+    groups = rows.groupBy(*text).agg(F.count("*").alias("n"), first).where((F.col("n") > 1) & (F.col("n") * F.col("size") <= F.lit(most))).drop("n")
+    own = rows.join(groups, text, "left")
+    one = F.col("first").isNotNull()
+    tie = F.shiftleft(_low(F.col("th")), 20) + F.when(one, _low(F.xxhash64("th"))).otherwise(_low(F.xxhash64("doc_id")))
+    code = {"k_size": F.col("c_size"), **{f"k_{c}": F.when(one, F.col(f"first.c_{c}")).otherwise(F.col(f"c_{c}")) for c in ("lang", "source")}}
+    return own.select("doc_id", "size", "text_crc32", *[(F.shiftleft(c, 40) + tie).alias(k) for k, c in code.items()])
+
+
 class Node:
     """A range of leaves; once split, the dimension and the key from which on rows go right."""
 
@@ -112,7 +128,8 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes (null: none) plus 8. The law is `bytes`: shards hold near equal sizes. With target_bytes
-    the number of shards is the smallest that keeps them at it. slot counts from 0 within a shard without gaps; repeated
+    the number of shards is the smallest that keeps them at it. Equal texts share a shard unless they hold more than a tenth
+    of one. slot counts from 0 within a shard without gaps; repeated
     rows get slots of their own, and so do rows with a null doc_id. Null lang and source count as empty. An empty table
     gives an empty result; other columns of docs are ignored.
     """
@@ -121,6 +138,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if target_bytes:
         shards = max(1, -(-(total["size"] or 0) // target_bytes))
+    rows = store.write(keyed(rows, TOGETHER * (total["size"] or 0) / shards), "keyed")
     root = tree(rows, shards) if total["n"] else None
     groups = max(1, total["n"] // shards // SLOTS)
     placed = rows.withColumn("shard", (root.column() if root else F.lit(0)).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)))
