@@ -83,8 +83,9 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
 
         for batch in batches:
             for part in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
-                held += [_record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], date) for r in part.to_pylist()]
-                size += sum(map(len, held)) if not packer else 0
+                new = [_record(r["page_id"], r["url"], r["html"].encode(), r["refers_to"], date) for r in part.to_pylist()]
+                held += new
+                size += sum(map(len, new))
                 if not packer and size >= TRAIN:
                     packer, lead = _open(held)
                 if packer:
@@ -111,7 +112,7 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if line != b"WARC/1.1\r\n":
             raise ValueError(f"not a WARC record: {line[:80]!r}")
         head = {}
-        while (line := text.readline().strip()):
+        while (line := text.readline().rstrip(b"\r\n")):
             k, _, v = line.decode().partition(": ")
             head[k] = v
         block = text.read(int(head["Content-Length"]))
