@@ -289,8 +289,19 @@ def firsts(docs: DataFrame, store: Store) -> DataFrame:
     return store.write(both.groupBy("doc", "th").agg(F.collect_list(F.struct("ranges", "klo", "kz", "own")).alias("found")), "found")
 
 
+def _period(text: list[bytes], p: int, n: int) -> int:
+    """The shortest period of n words from p, if they hold it twice at least and it is no longer than a line; else 0."""
+    for d in range(1, min(LINE, n // 2) + 1):
+        if text[p] == text[p + d] and text[p : p + n - d] == text[p + d : p + n]:
+            return d
+    return 0
+
+
 def repeated(text: list[bytes], found: list[dict], unzip: zstandard.ZstdDecompressor) -> np.ndarray:
-    """Which words stand in an earlier place too: runs whose words are equal, with the equal words around them. Within one text a span ends where its first occurrence begins or ends."""
+    """Which words stand in an earlier place too: runs whose words are equal, with the equal words around them. Within one text a span ends where its first occurrence begins or ends.
+
+    A run of equal lines goes on as far as its period does: how many lines the first occurrence has is no difference.
+    """
     mark = np.zeros(len(text) + 1, np.int64)
     for f in found:
         first = unzip.decompress(f["kz"]).split()
@@ -304,6 +315,11 @@ def repeated(text: list[bytes], found: list[dict], unzip: zstandard.ZstdDecompre
                 lo += 1
             while p + hi < len(text) and q + hi < len(first) and lo + hi < room and text[p + hi] == first[q + hi]:
                 hi += 1
+            if not f["own"] and (d := _period(text, p, n)):
+                while p - lo > 0 and text[p - lo - 1] == text[p - lo - 1 + d]:
+                    lo += 1
+                while p + hi < len(text) and text[p + hi] == text[p + hi - d]:
+                    hi += 1
             mark[p - lo] += 1
             mark[p + hi] -= 1
     return np.cumsum(mark)[:-1] > 0
