@@ -142,6 +142,43 @@ def test_jaccard_join_salted(spark, monkeypatch):
     assert Counter(map(tuple, jaccard_join.near_duplicates(docs_of(spark, rows)).collect())) == components_of(rows)
 
 
+def test_jaccard_stage_keeps_one_row_of_each_group(spark):
+    """Repeated rows, rows without an id, and texts without words."""
+    a, b = " ".join(WORDS[:60]), " ".join(WORDS[100:160])
+    rows = [(5, a), (5, a), (6, a), (7, a + " x"), (None, b), (None, b), (None, b + " y"), (8, None), (8, None), (9, ""), (10, "one"), (None, "two")]
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.stage(spark, docs_of(spark, rows), SF).collect())
+    left = Counter({(5, a): 1, (8, None): 2, (9, ""): 1, (10, "one"): 1, (None, "two"): 1})
+    assert {k: v for k, v in got.items() if k not in ((None, b), (None, b + " y"))} == left
+    assert got[(None, b)] + got[(None, b + " y")] == 1
+
+
+def test_tiles_in_parts_and_rounds(spark, monkeypatch):
+    """Tiles of several parts whose members meet a few at a time."""
+    import random
+
+    monkeypatch.setattr(jaccard_join, "PART", 7)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    rnd = random.Random(11)
+    root = [rnd.choice(WORDS) for _ in range(60)]
+    rows = []
+    for k in range(80):
+        edit = list(root)
+        for _ in range(k % 6):
+            edit[rnd.randrange(60)] = f"z{rnd.randrange(50)}"
+        rows.append((k, " ".join(edit)))
+    assert Counter(map(tuple, jaccard_join.near_duplicates(docs_of(spark, rows)).collect())) == components_of(rows)
+
+
+def test_components_say_so_when_they_do_not_end(spark, monkeypatch):
+    from lodestone.llm import shared
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(200)], "a long, b long")
+    assert {r["component"] for r in shared.components(links, spark, shared.Store(spark, "t"), "c").collect()} == {0}
+    monkeypatch.setattr(shared, "STEPS", 2)
+    with pytest.raises(RuntimeError):
+        shared.components(links, spark, shared.Store(spark, "t"), "c")
+
+
 def test_signatures_bound_the_overlap():
     import numpy as np
 
@@ -177,8 +214,9 @@ def test_line_dedup(spark, odd):
     assert out[4][0]["text"] == odd[3][1]
 
 
-def test_line_dedup_salted(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LIST", 4)
+def test_line_dedup_with_small_holds(spark, monkeypatch):
+    """Common chunks whose occurrences are posted in many parts."""
+    monkeypatch.setattr(line_dedup, "HELD", 4)
     rows = [(k, " ".join(f"b{k}.{i}" for i in range(30)) + "\n" + PASSAGE + "\n" + " ".join(f"e{k}.{i}" for i in range(30))) for k in range(40)]
     got = line_dedup.line_dedup(docs_of(spark, rows)).collect()
     assert [r["doc_id"] for r in got if PASSAGE in r["text"]] == [0]
@@ -199,6 +237,80 @@ def test_line_dedup_finds_short_passages_in_lines_of_any_width(spark):
     assert all((r["removed_lines"] > 0) == (i % 2 == 1) for i, r in got.items())
 
 
+def test_line_dedup_of_equal_lines(spark):
+    """Runs of equal lines have no boundaries of their own: those of the later document go whole, whatever stands before; of one document the first stay."""
+    rows = []
+    for n in (200, 400, 1000):
+        same = "\n".join(["the same line again here"] * n)
+        rows += [(n, " ".join(f"h{n}.{i}" for i in range(30)) + "\n" + same), (n + 1, " ".join(f"g{n}.{i}" for i in range(37)) + "\n" + same)]
+    rows += [(5000, "word " * 3000), (5001, "other start " + "word " * 3000)]
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert sum(t.count("again") for t in got.values()) <= 120
+    for n in (200, 400, 1000):
+        assert got[n][:30] == [f"h{n}.{i}" for i in range(30)] and got[n + 1][:37] == [f"g{n}.{i}" for i in range(37)] and len(got[n + 1]) <= 37 + 5
+    assert "again" in got[200] and len(got[5001]) <= 10 and 40 <= got[5000].count("word") <= 300
+
+
+def test_line_dedup_against_brute_force(spark):
+    """Random documents with shared passages: what goes is repeated earlier, word for word, and no passage of 60 words stays twice."""
+    import random
+
+    rnd = random.Random(9)
+    passages = [[f"p{k}.{i}" for i in range(rnd.randrange(60, 200))] for k in range(25)]
+    rows = []
+    for d in range(120):
+        words = []
+        for k in range(rnd.randrange(4)):
+            words += [f"u{d}.{k}.{i}" for i in range(rnd.randrange(5, 60))] + rnd.choice(passages)
+        rows.append((1000 - d, " ".join(words + [f"v{d}.{i}" for i in range(9)])))
+    got = {r["doc_id"]: (r["text"], r["removed_bytes"], r["removed_lines"]) for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    seen, before = set(), set()
+    for d, text in sorted(rows):
+        w, left = text.split(), got[d][0].split()
+        keep, at = [], 0
+        for x in left:
+            at = w.index(x, at) + 1
+            keep.append(at - 1)
+        gone = sorted(set(range(len(w))) - set(keep))
+        # each word that went stands in a run of 40 words of an earlier place
+        runs = [tuple(w[i : i + 40]) for i in range(len(w) - 39)]
+        covered = {j for i, run in enumerate(runs) if run in before or run in runs[:i] for j in range(i, i + 40)}
+        assert set(gone) <= covered
+        assert (got[d][1] > 0) == (got[d][2] > 0) == bool(gone)
+        before |= set(runs)
+        for i in range(len(left) - 59):
+            assert tuple(left[i : i + 60]) not in seen
+        seen |= {tuple(left[i : i + 60]) for i in range(len(left) - 59)}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["doc", "th", "spans", "_z", "_null", "found", "c0", "_text", "_id", "_th", "_doc", "kdoc", "removed_bytes"]
+    rows = [(k, f"b{k} " + PASSAGE + f" e{k}", *[f"{k}.{n}" for n in names]) for k in range(3)]
+    got = line_dedup.line_dedup(spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{n}` string" for n in names]])))
+    assert got.columns == ["doc_id", "text", *names[:-1], "removed_lines", "removed_bytes"]
+    for r in got.collect():
+        assert [r[n] for n in names[:-1]] == [f"{r['doc_id']}.{n}" for n in names[:-1]]
+        assert (PASSAGE in r["text"]) == (r["doc_id"] == 0)
+    bare = line_dedup.stage(spark, spark.createDataFrame([(1, "a b"), (None, None)], "doc_id long, text string"), SF)
+    assert sorted(map(tuple, bare.collect()), key=str) == [(1, "a b"), (None, None)]
+
+
+def test_rolling_hash_of_lines():
+    """Boundaries depend on the last WIDTH lines and those beside them, and move with the text."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    text = [f"x{i}" for i in rng.integers(0, 10**9, 600)]
+    ends = []
+    for before in ([], ["new"] * 3, [f"y{i}" for i in range(50)]):
+        data = np.frombuffer(" ".join(before + text).encode(), np.uint8)
+        lines = line_dedup.Lines(data, np.array([0, len(data)]))
+        first, n, _ = line_dedup.chunks(lines)
+        assert (n >= 2).all() and (n <= line_dedup.LINES).all() and (np.diff(lines.word) <= line_dedup.LINE).all()
+        ends.append({int(w) - len(before) for w in lines.word[first + n]})
+    assert len(ends[0] & ends[1]) >= len(ends[0]) - 2 and len(ends[0] & ends[2]) >= len(ends[0]) - 2
+
+
 def test_line_dedup_tells_texts_without_an_id_apart(spark):
     """Two texts without a doc_id whose hashes have equal upper 16 bits: one holds a repeated passage, the other is clean."""
     import numpy as np
@@ -283,16 +395,66 @@ def test_warc_many_archives(spark, monkeypatch):
     assert warc.warc(pages.coalesce(2)).filter("record_type = 'response'").count() == 100
 
 
+def filled(template):
+    """A template with its optional regions and three words in each variable one."""
+    return re.sub(r"<<var;\d+>>", " one two three ", re.sub(r"<<(?:begin|end)Optional>>", " ", template))
+
+
+def broken(template, change):
+    """filled(), with the middle word of the longest mandatory run replaced."""
+    parts, depth, best = re.split(r"(<<[^>]+>>)", template), 0, 0
+    for k, part in enumerate(parts):
+        depth += part.startswith("<<begin")
+        depth -= part.startswith("<<end")
+        if not depth and not part.startswith("<<") and len(part) > len(parts[best]) * (not parts[best].startswith("<<")):
+            best = k
+    words = parts[best].split()
+    words[len(words) // 2 : len(words) // 2 + 1] = change
+    return filled("".join([*parts[:best], " " + " ".join(words) + " ", *parts[best + 1 :]]))
+
+
+def plain_license(text):
+    """The contract's base columns by tokens alone."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    found = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+    at = [i for i, _ in found]
+    return len(w), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
+
+
 def test_license_scan(spark, odd):
-    mit = license_scan.TEMPLATES["mit-text"].split("<<endOptional>>\n", 1)[1].replace("<<beginOptional>>", "").replace("<<endOptional>>", "").replace("<<var;8>>", "AUTHORS OR COPYRIGHT HOLDERS")
-    rows = [*odd, (30, "MIT License; see the Apache-License and General Public\nLICENSE mit licenses"), (31, mit), (32, mit.replace("without restriction", "with restriction")), (33, "Licensed under CC BY-NC 4.0.")]
+    whole = {k: filled(t) for k, t in license_scan.TEMPLATES.items() if k.endswith(("-text", "-notice"))}
+    rows = [*odd, (30, "MIT License; see the Apache-License and General Public\nLICENSE mit licenses"), (33, "Licensed under CC BY-NC 4.0.")]
+    rows += [(100 + k, f"before {t} after") for k, t in enumerate(whole.values())]
+    # one mandatory word changed, one left out, one added
+    for base, change in ((200, ["changed"]), (300, []), (400, ["two", "more"])):
+        rows += [(base + k, broken(license_scan.TEMPLATES[name], change)) for k, name in enumerate(whole)]
     got = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, rows)).collect()}
-    assert (got[30]["n_base"], got[30]["first_word"], got[30]["last_word"], got[30]["base_labels"]) == (3, 0, 7, "apache,gpl,mit")
-    assert "mit-text" in got[31]["labels"].split(",") and "mit-text" not in got[32]["labels"].split(",") and got[33]["labels"] == "cc-by-nc-short"
-    assert got[31]["score"] > 0.9 and got[1]["n_words"] == 0 and got[1]["first_word"] is None and got[1]["score"] == 0
-    for i, t in odd:
-        if i not in (None, 5):
-            assert got[i]["n_words"] == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower()))
+    assert got[30]["base_labels"] == "apache,gpl,mit" and (got[30]["n_base"], got[30]["first_word"], got[30]["last_word"]) == (3, 0, 7)
+    assert got[33]["labels"] == "cc-by-nc-short" and got[1]["score"] == 0
+    for k, name in enumerate(whole):
+        assert name in got[100 + k]["labels"].split(","), name
+        assert not any(name in got[base + k]["labels"].split(",") for base in (200, 300, 400)), name
+
+
+def test_license_base_against_tokens_alone(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in license_scan.query(spark, "/root/testdata/sf0.01").collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == plain_license(t)
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    more = {r["doc_id"]: r for r in license_scan.scan(docs_of(spark, [(k, t) for k, (_, t) in enumerate(odd)])).collect()}
+    for k, (_, t) in enumerate(odd):
+        assert (more[k]["n_words"], more[k]["n_base"], more[k]["first_word"], more[k]["last_word"], more[k]["base_labels"]) == plain_license(t)
+
+
+def test_a_template_needs_mandatory_words():
+    for template in ("", "<<var;3>>", "<<beginOptional>>may<<endOptional>>"):
+        with pytest.raises(ValueError):
+            license_scan.Automaton(template)
 
 
 @pytest.mark.parametrize("template, text, ok", [("a <<var;2>> b", "a b", True), ("a <<var;2>> b", "a x y b", True), ("a <<var;2>> b", "a x y z b", False), ("a <<beginOptional>>o p<<endOptional>> b", "a o p b", True), ("a <<beginOptional>>o p<<endOptional>> b", "a o b", False)])
@@ -301,15 +463,58 @@ def test_automaton(template, text, ok):
     assert (a.match(text.split(), 0) == len(text.split())) is ok
 
 
-def test_pii_base(spark, odd):
-    text = "mail a.b@c.example.org, 10.0.0.300 10.0.0.30 4929 3483-8518 6443x +1 (168) 555-5254. 4929348385186443 +12 @x.y é z@q.de"
-    got = {r["doc_id"]: r for r in pii.personal_data(docs_of(spark, [*odd, (40, text), (41, "see +1 (168) 555-5254 and again 168 555-5254 or card 4929348385186443 twice: 4929348385186443")])).collect()}
-    found = [(s, e, k) for s, e, k in pii.base_spans(text)]
-    assert [(text[s:e], k) for s, e, k in found] == [("a.b@c.example.org", "email"), ("10.0.0.30", "ip"), ("+1 (168) 555-5254", "phone"), ("4929348385186443", "card"), ("z@q.de", "email")] or all(text[s:e] for s, e, _ in found)
-    assert got[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[1]["spans"] == ""
-    line = ",".join(f"{k}:{s}:{e}" for s, e, k in found)
-    assert got[40]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
-    assert set(line.split(",")) <= set(got[40]["spans"].split(","))
+def plain_base(text):
+    """The contract's patterns, one by one."""
+    found = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    small = lambda x: len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255
+    found += [(m.start(), m.end(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(map(small, m.group().split(".")))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m.group() if c in "0123456789"]
+        doubled = [x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d[::-1])]
+        if 12 <= len(d) <= 19 and sum(doubled) % 10 == 0:
+            found.append((m.start(), m.end(), "card"))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= sum(c in "0123456789" for c in m.group()) <= 15:
+            found.append((m.start(), m.end(), "phone"))
+    return sorted(found, key=lambda s: (s[0], pii.KINDS.index(s[2])))
+
+
+def test_pii_base_against_the_patterns_alone(spark, odd):
+    """Whole table, and texts with numbers of thousands of digits."""
+    text = "mail a.b@c.example.org, 10.0.0.300 10.0.0.30 4929 3483-8518 6443x +1 (168) 555-5254. 4929348385186443 +12 @x.y é z@q.de 001.02.0255.9"
+    long = ["1." * 3 + "9" * n for n in (4299, 4301, 4999, 5001)] + ["0" * 6000 + "1.2.3.4", "+1" + "2" * 7000, "9" * 9000 + "@x.yy"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = {**{r["doc_id"]: r["text"] for r in docs.collect()}, **{10**6 + k: t for k, t in enumerate([text, *long])}}
+    extra = docs_of(spark, [(10**6 + k, t) for k, t in enumerate([text, *long])]).select("doc_id", "text")
+    got = {r["doc_id"]: r for r in pii.personal_data(docs.unionByName(extra)).collect()}
+    assert got.keys() == rows.keys()
+    for i, t in rows.items():
+        found = plain_base(t or "")
+        line = [f"{k}:{s}:{e}" for s, e, k in found]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[2] == k for x in found) for k in pii.KINDS]
+        spans = got[i]["spans"].split(",") if got[i]["spans"] else []
+        assert set(line) <= set(spans) and spans == sorted(spans, key=lambda x: (int(x.split(":")[1]), pii.ALL.index(x.split(":")[0])))
+    odd_rows = {r["doc_id"]: r for r in pii.personal_data(docs_of(spark, odd)).collect()}
+    assert odd_rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest() and odd_rows[1]["spans"] == ""
+
+
+def test_pii_field_adds_spans(spark):
+    """Repeats in forms that no pattern sees, and secrets, on texts that the field has not seen: nine of ten found, nine of ten right."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").filter("text rlike '[0-9@]'")
+    model = pii.train(docs.filter("doc_id % 2 = 1"))
+    hit = miss = right = wrong = 0
+    for r in docs.filter("doc_id % 2 = 0").collect():
+        text, spans = pii.with_repeats(r["text"], pii.taught_spans(r["text"]))
+        base = pii.base_spans(text)
+        g = pii.graph(text, base)
+        got, want = pii.extra_spans(g, model.marginals([g]), base, text), [s for s in spans if s not in base]
+        same = lambda x, y: x[0] < y[1] and x[1] > y[0] and x[2] == y[2]
+        hit += sum(any(same(w, x) for x in got) for w in want)
+        miss += sum(not any(same(w, x) for x in got) for w in want)
+        right += sum(any(same(w, x) for w in want) for x in got)
+        wrong += sum(not any(same(w, x) for w in want) for x in got)
+    assert hit >= 0.9 * (hit + miss) and right >= 0.9 * (right + wrong) and hit > 100
 
 
 def test_pii_emails_like_the_pattern():
@@ -345,17 +550,38 @@ def test_decontamination(spark, odd):
     rows = [*odd, (50, f"before {hit} after"), (51, "a short one here"), (52, " ".join(f"q{i}" for i in range(20)))]
     got = sorted((r["doc_id"], r["item_id"], r["start_word"], r["n_words"], round(r["similarity"], 6)) for r in decontamination.contaminated(docs_of(spark, rows), items).collect())
     assert {(d, i) for d, i, *_ in got} == {(4, 1), (5, 1), (6, 1), (7, 1), (15, 1), (10, 1), (50, 4), (51, 3)}
-    assert (50, 4, 1, 40, round(34 / 38, 6)) in got or (50, 4) in {(d, i) for d, i, *_ in got}
+    assert (50, 4, 1, 40, round(34 / 38, 6)) in got
+
+
+def test_radius_holds_nine_of_ten_windows_at_the_threshold():
+    """Windows of 20 to 80 words whose similarity to an item is 0.75 to 0.8, the worst that count."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    near = 0
+    for k in range(400):
+        n = int(rng.integers(20, 80))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = a.copy()
+        gone = int(n * (1 - 2 * 0.75 / 1.75))
+        b[rng.choice(n, gone, replace=False)] = rng.integers(0, 2**63, gone).astype(np.uint64)
+        x, y = (decontamination.fingerprints(decontamination.signs(s).sum(0)[None])[0] for s in (a, b))
+        near += int(np.bitwise_count(x ^ y)) <= decontamination.RADIUS
+    assert near >= 0.97 * 400
 
 
 def test_index_misses_nothing_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    items = decontamination.Items([(i, rng.integers(0, 2**63, 20).astype(np.uint64)) for i in range(30)], 9)
-    x = np.array([p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for p in items.prints for k in (0, 5, 9, 10, 20)], np.uint64)
-    want = {(a, b) for a in range(len(x)) for b in range(30) if bin(int(x[a] ^ items.prints[b])).count("1") <= 9}
-    assert items.near(x) == want
+    for radius, n in ((9, 30), (19, 30), (19, 4000), (3, 300)):
+        items = decontamination.Items([(i, rng.integers(0, 2**63, 20).astype(np.uint64)) for i in range(n)], radius)
+        x = np.array([p ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, k, replace=False))) for p in items.prints[:30] for k in (0, 5, radius, radius + 1, 30)], np.uint64)
+        want = {(a, int(b)) for a in range(len(x)) for b in np.flatnonzero(np.bitwise_count(x[a] ^ items.prints) <= radius)}
+        assert items.near(x) == want
+        # the index prunes: of random fingerprints few meet
+        other = rng.integers(0, 2**63, 500).astype(np.uint64) * np.uint64(2)
+        assert len(items.candidates(other)) <= 0.2 * len(other) * n
 
 
 @pytest.mark.parametrize("name", ["exact_dedup", "jaccard_join", "decontamination", "warc"])
