@@ -20,7 +20,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another over `documents`, each written as Parquet and read again."""
+    """The stages one after another over `documents`, each written as Parquet and read again.
+
+    Nulls, ties, repeated rows, empty tables and further columns: as each stage's function says; none of them fails.
+    """
     store, docs = Store(spark, "corpus_pipeline"), table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = store.write(stage(spark, docs, sf_dir), f"stage_{k}")
