@@ -7,25 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from .phrases import holding
 from .relational import first_per, nearest_name
 
 
 def dictionary_hits(df: DataFrame, key: str, text: str, dictionary: DataFrame, wrong: str = "wrong") -> DataFrame:
-    """Each row with each entry of the dictionary whose wrong text it contains.
-
-    An entry can only stand in a text that has its rarest word, so that rows and entries meet on words; entries without a
-    word have to be joined by containment alone.
-    """
-    first = F.element_at(F.array_sort(tokens(wrong), lambda a, b: F.length(b) - F.length(a)), 1)
-    entries = dictionary.withColumn("_word", F.when(F.size(tokens(wrong)) > 0, first))
-    rows = df.select(key, text)
-    words = rows.select(key, F.explode(F.array_distinct(tokens(text))).alias("_word"))
-    # an entry may begin or end inside of a word: its longest word is then part of one in the text
-    vocabulary = words.select("_word").distinct().join(entries.filter("_word is not null").select(F.col("_word").alias("_part")).distinct(), F.contains("_word", "_part"))
-    candidates = words.join(vocabulary, "_word").select(key, "_part").distinct()
-    met = candidates.join(entries, F.col("_part") == entries["_word"]).drop("_part", "_word").join(rows, key)
-    return met.filter(F.contains(F.col(text), F.col(wrong))).drop(text)
+    """Each row with each entry of the dictionary whose wrong text it contains."""
+    found = holding(df, dictionary, key, text, wrong)
+    return found.join(dictionary, F.col("phrase") == F.col(wrong)).drop("phrase")
 
 
 def correct_dict(df: DataFrame, key: str, text: str, dictionary: DataFrame, least: float = 0.8) -> DataFrame:

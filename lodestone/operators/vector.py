@@ -65,17 +65,12 @@ def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int, above: float |
                 size = np.linalg.norm(v, axis=1, keepdims=True)
                 s = q @ np.divide(v, size, out=np.full_like(v, np.nan), where=size > 0).T
                 s = np.where(np.isnan(s), -np.inf, s)
-                own = b.column(id).to_pylist()
-                rank = np.array(sorted(range(len(own)), key=lambda i: own[i]))
-                found = []
-                for i in range(len(ids)):
-                    # rows as good as the k-th stay, so that ties are broken by id among all tasks
-                    cut = np.partition(s[i], -k)[-k] if len(own) > k else -np.inf
-                    best = [j for j in rank if s[i, j] >= cut and s[i, j] > -np.inf and (above is None or s[i, j] > above)]
-                    found += [(ids[i], own[j], float(s[i, j])) for j in best]
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((part_type, own_type, pa.float64()))], ["query_id", "id", "similarity"])
-
-        part_type, own_type = part.column(0).type, pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
+                # rows as good as the k-th stay, so that ties are broken by id among all tasks
+                cut = np.partition(s, -k, axis=1)[:, -k:][:, :1] if s.shape[1] > k else -np.inf
+                i, j = np.nonzero((s >= cut) & (s > (-np.inf if above is None else above)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, part_type).take(pa.array(i)), b.column(id).take(pa.array(j)), pa.array(s[i, j], pa.float64())], ["query_id", "id", "similarity"])
+
+        part_type = part.column(0).type
         one = df.select(id, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, out_schema)
         out = one if out is None else out.unionByName(one)
     return topk_per(out, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
@@ -88,11 +83,13 @@ def neighbours_by_vector(df: DataFrame, items: DataFrame, t: float = 0.85, k: in
 
 
 def ivf_fit(df: DataFrame, lists: int, sample: int = 100_000, seed: int = 1, id: str = "id", vector: str = "embedding"):
-    """K-means centres of unit vectors; fitted on the `sample` rows with the smallest hash of id."""
+    """K-means centres of unit vectors; fitted on about `sample` rows, those whose hash of id lies under a bound."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    unit = df.filter(F.col(vector).isNotNull()).orderBy(F.xxhash64(id)).limit(sample).select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
+    share = min(1.0, sample / max(1, df.count()))
+    chosen = F.xxhash64(id) <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1))))
+    unit = df.filter(F.col(vector).isNotNull()).filter(chosen).select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(unit)
     return np.array(model.clusterCenters())
 

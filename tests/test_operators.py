@@ -316,7 +316,7 @@ def test_keyword_search_finds_substrings(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "the unbroken line"), (2, "broken lines here"), (3, "line broken"), (4, None)], "id int, text string")
     queries = spark.createDataFrame([(0, "broken line", [1.0]), (1, "zzz", [1.0]), (2, "", [1.0]), (3, "oken", [1.0])], "query_id int, text string, embedding array<double>")
     for most in (4096, 1):
-        monkeypatch.setattr(H, "PHRASES", most)
+        monkeypatch.setattr("lodestone.operators.phrases.PHRASES", most)
         assert {(r["query_id"], r["id"]) for r in H.keyword_topk_batch(docs, queries, 5, substring=True).collect()} == {(0, 1), (0, 2), (0, 3), (3, 1), (3, 2), (3, 3)}
     assert {(r["query_id"], r["id"]) for r in H.keyword_topk_batch(docs, queries, 5).collect()} == {(0, 3)}
 
