@@ -81,3 +81,39 @@ def test_run_is_registered():
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"].__wrapped__ is corpus_pipeline.run and len(corpus_pipeline.STAGES) == 5
+
+
+NAMES = ["digest", "node", "best", "stays", "count", "doc", "th", "spans", "_z", "_null", "found", "c0", "x", "shard", "n", "lang", "source"]
+
+
+def _odd(spark, rows):
+    fields = ", ".join(["doc_id long", "text string", "n_chars long", *[f"`{n}` string" for n in NAMES]])
+    return spark.createDataFrame([(d, t, 1, *[f"{k}.{n}" for n in NAMES]) for k, (d, t) in enumerate(rows)], fields)
+
+
+def test_stages_take_odd_rows(spark):
+    """Nulls, empty and long texts, ties, repeated rows and columns whose names are used within: each stage keeps the columns and all rows that it has no reason to drop."""
+    plain = " ".join(f"clean{i}" for i in range(60))
+    long = " ".join(f"long{i}" for i in range(30_000))
+    rows = [(None, None), (1, None), (2, ""), (2, ""), (3, " \n\t"), (4, plain), (4, plain), (None, plain), (5, long), (None, "short one"), (None, "short two")]
+    docs = _odd(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        got = [(r["doc_id"], r["text"]) for r in out.collect()]
+        assert all(got.count(r) == rows.count(r) for r in rows if r[1] is None or len(r[1]) < 20), name
+        assert (4, plain) in got and (5, long) in got, name
+        for r in out.collect():
+            assert all(r[n].endswith(f".{n}") and r[n].split(".")[0] == r["digest"].split(".")[0] for n in NAMES), name
+    kept = quality.stage(spark, docs, SF)
+    assert kept.columns == docs.columns and kept.count() <= len(rows)
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert pieces.where("start = 0").count() == len(rows)
+
+
+def test_stages_take_empty_tables(spark):
+    docs = _odd(spark, [])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 0
