@@ -32,7 +32,7 @@ from .vectors import binary_rows, mix, shingle_sets, texts
 #: Frequent shingles that are told apart (8 bytes each), the smallest count of one, those that a task reports.
 FREQUENT, FREQUENT_COUNT, REPORTED = 1 << 18, 16, 1 << 14
 #: Candidates of a member in a tile, round by round; None: all.
-ROUNDS = (1, 4, 32, None)
+ROUNDS = (1, 16, None)
 #: Most members of a list without salt; members that one leader serves; members of a part of a tile; bytes of a bucket.
 LIST, BLOCK, PART, BUCKET = 8192, 256, 2048, 8 << 20
 _POSTING = np.dtype([("token", "u1", 5), ("cls", "<i8"), ("n", "<u4"), ("at", "u1")])
@@ -395,8 +395,8 @@ class Join:
         rest = store.write(rest.select("list_id", "i", "j", "group", "node", "at"), "mixed")
         for k, quota in enumerate(ROUNDS, 1):
             tiles = rest.join(part_of().select("node", "component", "n", "signature"), "node").groupBy("list_id", "i", "j").applyInArrow(of_tile(quota), "x binary, y binary, list_id long, i int, j int")
-            tiles = store.write(tiles.distinct(), f"tiles_{k}")
-            pairs = store.write(tiles.where("x is not null").select("x", "y").join(tried, ["x", "y"], "left_anti"), f"pairs_{k}")
+            tiles = store.write(tiles.distinct().join(tried, ["x", "y"], "left_anti"), f"tiles_{k}")
+            pairs = tiles.where("x is not null").select("x", "y")
             if not pairs.isEmpty():
                 found.append(verified(pairs, str(k)))
                 tried = tried.unionByName(pairs)
@@ -406,7 +406,7 @@ class Join:
             again = tiles.where("x is null").select("list_id", "i", "j")
             if again.isEmpty():
                 break
-            rest = rest.join(again, ["list_id", "i", "j"], "left_semi")
+            rest = store.write(rest.join(again, ["list_id", "i", "j"], "left_semi"), f"mixed_{k}")
         #: (x, y, similarity) between nodes: enough links for all components.
         self.links = reduce(DataFrame.unionByName, found)
         spark.sql(f"DROP TABLE IF EXISTS {self.table}")
