@@ -53,18 +53,18 @@ def _map_text(df: DataFrame, key: str, text: str, cut) -> DataFrame:
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’)]*\s|\n")
 
 
-def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float = 0.4, least: int = 50) -> list[str]:
-    """Pieces of up to `size` characters that end at a sentence's end in the last `look` of the window where there is one.
+def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float = 0.4, least: int = 50, boundaries: str | re.Pattern = _SENTENCE) -> list[str]:
+    """Pieces of up to `size` characters that end at a sentence's end (a match of boundaries) in the last `look` of the window where there is one.
 
     The next piece begins ratio * size before the cut. A piece under `least` characters joins the one before.
     """
-    text = text.strip()
+    text, boundary = text.strip(), re.compile(boundaries)
     out, start = [], 0
     while start < len(text):
         end = min(len(text), start + size)
         if end < len(text):
             floor = start + int(size * (1 - look))
-            ends = [m.end() for m in _SENTENCE.finditer(text, floor, end)]
+            ends = [m.end() for m in boundary.finditer(text, floor, end)]
             end = ends[-1] if ends else end
         piece = text[start:end].strip()
         if piece and len(piece) < least and out:
@@ -77,8 +77,8 @@ def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float =
     return out
 
 
-def chunk_sentences(df: DataFrame, key: str, text: str, size: int = 500, ratio: float = 0.2) -> DataFrame:
-    return _map_text(df, key, text, lambda t: sentence_cuts(t, size, ratio))
+def chunk_sentences(df: DataFrame, key: str, text: str, size: int = 500, ratio: float = 0.2, boundaries: str = _SENTENCE.pattern) -> DataFrame:
+    return _map_text(df, key, text, lambda t: sentence_cuts(t, size, ratio, boundaries=boundaries))
 
 
 def period_cuts(text: str, size: int = 500, ratio: float = 0.2, least: int = 50) -> list[str]:

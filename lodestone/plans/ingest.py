@@ -144,6 +144,11 @@ def inc_status_latest(s: SparkSession, d: str) -> DataFrame:
     return K.latest_status(T(s, d).events, "user_id", "ts", "event_id", kind)
 
 
+@query(f"WITH {I.STATUS} SELECT user_id, ts FROM status WHERE status = 'pending' ORDER BY ts DESC, user_id LIMIT 20")
+def inc_pending(s: SparkSession, d: str) -> DataFrame:
+    return K.pending(inc_status_latest(s, d), "ts", "user_id", 20).select("user_id", "ts")
+
+
 @query(f"WITH {I.STATUS} SELECT user_id FROM status WHERE status <> 'completed' AND ts < timestamp '{I.NOW}' - INTERVAL 2 HOUR")
 def inc_stale(s: SparkSession, d: str) -> DataFrame:
     return K.stale(I.status(T(s, d)), "ts", I.NOW).select("user_id")

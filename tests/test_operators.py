@@ -63,6 +63,7 @@ def test_sentence_cuts():
     assert all(p in text for p in pieces)
     assert C.sentence_cuts("") == [] and C.sentence_cuts("short") == ["short"]
     assert len(C.sentence_cuts("z" * 1200)) == 3
+    assert C.sentence_cuts("a" * 60 + "|" + "b" * 60, 100, 0, boundaries=r"\|") == ["a" * 60 + "|", "b" * 60]
 
 
 def test_period_cuts_drop_short_pieces():
