@@ -16,6 +16,9 @@ MODULES = {
     "op8_packing": "packing",
     "op9_benchmark_decontamination": "decontamination",
     "op10_pii": "pii",
+    "op11_merkle_manifest": "merkle",
+    "op12_vector_codes": "vector_codes",
+    "op13_sentencepiece": "piece_bpe",
 }
 
 
