@@ -1,4 +1,4 @@
-"""Vector search: exact top-k by blocks, thresholds, neighbours, and an inverted-file index."""
+"""Vector search: exact top-k by blocks, thresholds and neighbours; vector_index.py has the approximate search."""
 
 from __future__ import annotations
 
@@ -80,42 +80,3 @@ def neighbours_by_vector(df: DataFrame, items: DataFrame, t: float = 0.85, k: in
     """For each item (id, embedding) the k nearest other rows above t."""
     found = vector_topk_batch(df, items, k + 1, t)
     return topk_per(found.filter("query_id <> id"), ["query_id"], [F.desc("similarity"), F.asc("id")], k)
-
-
-def ivf_fit(df: DataFrame, lists: int, sample: int = 100_000, seed: int = 1, id: str = "id", vector: str = "embedding"):
-    """K-means centres of unit vectors; fitted on about `sample` rows, those whose hash of id lies under a bound."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    share = min(1.0, sample / max(1, df.count()))
-    chosen = F.xxhash64(id) <= F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * ((1 << 64) - 1))))
-    unit = df.filter(F.col(vector).isNotNull()).filter(chosen).select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(unit)
-    return np.array(model.clusterCenters())
-
-
-def ivf_assign(df: DataFrame, centres: np.ndarray, probes: int = 1, id: str = "id", vector: str = "embedding") -> DataFrame:
-    """A row for each of the `probes` nearest lists: id, embedding, list."""
-    c = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                near = np.argsort(-(_matrix(b.column(vector)) @ c.T), axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(b.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([b.column(id).take(at), b.column(vector).take(at), pa.array(near.ravel(), pa.int32())], [id, vector, "list"])
-
-    kind = df.schema
-    return df.select(id, vector).filter(F.col(vector).isNotNull()).mapInArrow(run, T.StructType([kind[id], kind[vector], T.StructField("list", T.IntegerType())]))
-
-
-def ivf_search(df: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, id: str = "id", vector: str = "embedding") -> DataFrame:
-    """Approximate top-k: each query is compared with the rows of its `probes` nearest lists only."""
-    rows = ivf_assign(df, centres, 1, id, vector)
-    q = ivf_assign(queries, centres, probes, id, vector).withColumnRenamed(id, "query_id").withColumnRenamed(vector, "_q")
-    pairs = q.join(rows, "list")
-    add = lambda arr: F.aggregate(arr, F.lit(0.0), lambda a, x: a + x)
-    dot = lambda a, b: add(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    sim = dot("_q", vector) / F.nullif(F.sqrt(dot("_q", "_q")) * F.sqrt(dot(vector, vector)), F.lit(0.0))
-    scored = pairs.select("query_id", F.col(id).alias("id"), sim.alias("similarity")).filter("similarity is not null")
-    return topk_per(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)

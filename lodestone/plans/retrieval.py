@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as H
 from ..operators import vector as V
+from ..operators.keyword_index import KeywordIndex
+from ..operators.vector_index import VectorIndex, index_path
+from ..sources.sinks import shared_dir
 from .registry import Tables as T
 from .registry import query
 
@@ -75,7 +80,7 @@ def vec_ivf(s: SparkSession, d: str) -> DataFrame:
     """All vectors are indexed; queries are the ids divisible by 50; recall against exact search is tested."""
     t = T(s, d)
     e = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
-    return _round(V.ivf_search(e, V.ivf_fit(e, 16), e.filter("id % 50 = 0"), 10, 12))
+    return _round(VectorIndex.build(e, index_path(shared_dir(s))).search(e.filter("id % 50 = 0"), 10))
 
 
 @query(f"WITH {_BASE}, e AS (SELECT s.query_id, s.id, s.similarity FROM s WHERE query_id <> id AND similarity > 0.25) SELECT query_id, id, round(similarity, 6) AS similarity FROM {_topk('e', 'similarity', 5)}")
@@ -105,14 +110,35 @@ def text_keyword_topk(s: SparkSession, d: str) -> DataFrame:
     return _round(H.keyword_topk_batch(corpus(t), queries_of(t), 10, substring=True))
 
 
-@query(f"""WITH {_BASE}, z AS (SELECT count(*) AS docs, avg(n_tokens) AS mean FROM n), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+_BM25 = f"""WITH {_BASE}, z AS (SELECT count(*) AS docs, avg(n_tokens) AS mean FROM n), g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 b AS (SELECT query_id, f.id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_tokens / mean))) AS rank FROM f JOIN w USING (term) JOIN g USING (term) JOIN n ON n.id = f.id, z GROUP BY ALL)
-SELECT query_id, id, round(rank, 6) AS rank FROM {_topk('b', 'rank', 10)}""")
+SELECT query_id, id, round(rank, 6) AS rank FROM {_topk('b', 'rank', 10)}"""
+
+
+@query(_BM25)
 def text_bm25_topk(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
     return _round(H.bm25_topk(corpus(t), queries_of(t), 10))
 
 
+def _index(t: T, s: SparkSession) -> KeywordIndex:
+    return KeywordIndex.build(corpus(t), f"{shared_dir(s)}/keyword-index-{uuid.uuid4().hex}")
+
+
+@query(f"WITH {_BASE} SELECT query_id, id, round(rank, 6) AS rank FROM {_topk('r', 'rank', 10, 'whole')}")
+def text_index_topk(s: SparkSession, d: str) -> DataFrame:
+    """Keyword search on a stored index."""
+    t = T(s, d)
+    return _round(_index(t, s).keyword_topk(queries_of(t), 10))
+
+
+@query(_BM25)
+def text_index_bm25(s: SparkSession, d: str) -> DataFrame:
+    t = T(s, d)
+    return _round(_index(t, s).bm25_topk(queries_of(t), 10))
+
+
+
 _SHOW = "SELECT query_id, id, round(similarity, 6) AS similarity, round(rank, 6) AS rank, round(score, 6) AS score FROM "
 
 

@@ -111,16 +111,6 @@ def vectors(spark):
     return spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
 
 
-def test_ivf_recall(spark, vectors):
-    queries = vectors.filter("id % 50 = 0")
-    centres = V.ivf_fit(vectors, 16)
-    exact = {tuple(r)[:2] for r in V.vector_topk_batch(vectors, queries, 10).collect()}
-    near = {tuple(r)[:2] for r in V.ivf_search(vectors, centres, queries, 10, 12).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-    every = {tuple(r)[:2] for r in V.ivf_search(vectors, centres, queries, 10, len(centres)).collect()}
-    assert len(exact & every) >= 0.99 * len(exact)
-
-
 def test_hybrid_without_keywords_is_vector_order(spark, vectors):
     df = vectors.withColumn("text", F.lit("the text"))
     q = vectors.filter("id < 3").select(F.col("id").alias("query_id"), F.lit("absent").alias("text"), "embedding")
