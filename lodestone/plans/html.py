@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import html as H
+from ..sources import html_tree
+from ..sources.sinks import shared_dir
 from .registry import Tables as T
 from .registry import query
 
@@ -19,6 +23,9 @@ _REWRITES = [
     ),
     (r"(?s)<ul>(.*?)</ul>", '<ol start="3">$1</ol><a href="mailto:info@mail.example.com">Mail</a><p>Tel +49 30 1234567 Fax +49 30 7654321</p>'),
     (r"(?s)<title>(.*?)</title>", '<title>$1</title><meta name="description" content="$1">'),
+    (r'(/board/view/[a-hA-H][^"]*\.html)">2024-01-15', '$1">2024-03-01'),
+    (r'(/board/view/[i-pI-P][^"]*\.html)">2024-01-15', '$1">2023-12-31'),
+    (r'(/board/view/[^"a-zA-Z][^"]*\.html)">2024-01-15', '$1">2024-02-31'),
 ]
 
 
@@ -31,6 +38,14 @@ def rich(t: T) -> DataFrame:
     return t.pages.select("page_id", "url", F.replace(html, F.lit("<h1>"), head).alias("html"))
 
 
+def nodes(pages: DataFrame) -> DataFrame:
+    """The node table of the pages; written once, so that a query with several looks at it parses no page twice."""
+    path = f"{shared_dir(pages.sparkSession)}/nodes-{uuid.uuid4().hex}"
+    found = html_tree.parse(pages)
+    found.write.parquet(path)
+    return pages.sparkSession.read.schema(found.schema).parquet(path)
+
+
 def _rich() -> str:
     html = "html"
     for pattern, to in _REWRITES:
@@ -42,6 +57,11 @@ _RICH = _rich()
 _ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
 
 
+def _text(raw: str) -> str:
+    """A text or attribute value with its character references resolved."""
+    return f"replace(replace({raw}, '&quot;', '\"'), '&amp;', '&')"
+
+
 def _strip(html: str) -> str:
     return rf"trim(regexp_replace(regexp_replace({html}, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -56,35 +76,38 @@ def _links(pattern: str) -> str:
 @query(rf"""WITH {_RICH}, l AS (SELECT page_id, regexp_extract_all(unnest(regexp_extract_all(html, '(?s)<ol start="3">(.*?)</ol>', 1)), '(?s)<li[^>]*>(.*?)</li>', 1) AS f FROM rich),
 i AS (SELECT page_id, unnest(range(0, len(f)))::int + 3 AS no, unnest(f) AS item FROM l) SELECT page_id, no, {_strip("item")} AS text FROM i""")
 def html_list_items(s: SparkSession, d: str) -> DataFrame:
-    return H.html_list_items(rich(T(s, d)))
+    return H.html_list_items(nodes(rich(T(s, d))))
 
 
-@query(rf"""WITH {_RICH} SELECT page_id, regexp_extract(html, '/view/([^"]+)\.html">2024-01-15<', 1) AS id, '2024-01-15' AS date FROM rich WHERE regexp_matches(html, '/view/([^"]+)\.html">2024-01-15<')""")
+@query(rf"""WITH {_RICH}, x AS (SELECT page_id, regexp_extract_all(html, '/view/([^"]+)\.html">\d{{4}}-\d{{2}}-\d{{2}}<', 1) AS f, regexp_extract_all(html, '/view/[^"]+\.html">(\d{{4}}-\d{{2}}-\d{{2}})<', 1) AS g FROM rich),
+y AS (SELECT page_id, unnest(range(0, len(f))) AS pos, unnest(f) AS id, unnest(g) AS date FROM x) SELECT page_id, id, date FROM y WHERE try_cast(date AS date) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY page_id, date ORDER BY pos) = 1""")
 def html_listing_records(s: SparkSession, d: str) -> DataFrame:
-    return H.html_listing(rich(T(s, d)), r"/view/([^\"]+)\.html\">(\d{4})-(\d{2})-(\d{2})<")
+    return H.html_listing(nodes(rich(T(s, d))), r"/view/(.+)\.html$")
 
 
 @query(f"""WITH {_RICH}, {_links('<img [^>]*src="([^"]+)"')} SELECT page_id, pos, link AS image FROM m""")
 def html_img_urls(s: SparkSession, d: str) -> DataFrame:
-    return H.html_images(rich(T(s, d)))
+    return H.html_images(nodes(rich(T(s, d))))
 
 
 @query(rf"""WITH {_RICH} SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="(/board/view/[^"]+)"', 1)) AS link FROM rich""")
 def html_detail_links(s: SparkSession, d: str) -> DataFrame:
-    return H.html_detail_links(rich(T(s, d)), [r'href="(/detail/[^"]+)"', r'href="(/board/view/[^"]+)"'])
+    return H.html_detail_links(nodes(rich(T(s, d))), ["^/detail/.", "^/board/view/."])
 
 
 @query(rf"""WITH {_RICH}, h AS (SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS h, list_filter(regexp_extract_all(html, '<img src="([^"]+)"', 1), lambda x: NOT contains(x, 'der')) AS f FROM rich)
 SELECT page_id, regexp_extract(h, '(\d{{4}})[-/.](\d{{1,2}})', 1)::int AS year, regexp_extract(h, '(\d{{4}})[-/.](\d{{1,2}})', 2)::int AS month, regexp_extract(h, '(?i)(?:no\.|issue)\s*(\d+)', 1)::int AS issue, CASE WHEN len(f) > 0 THEN array_to_string(f, ',') END AS images FROM h""")
 def html_detail_fields(s: SparkSession, d: str) -> DataFrame:
-    return H.html_detail_fields(rich(T(s, d)), [r'<image src="([^"]+)"', r'<img src="([^"]+)"'], "der")
+    pages = rich(T(s, d))
+    return H.html_detail_fields(pages, nodes(pages), [("image", "src"), ("img", "src")], "der")
 
 
-@query(rf"""WITH {_RICH} SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)), '') AS title, nullif(regexp_extract(html, '<meta name="description" content="([^"]*)"', 1), '') AS description,
+@query(rf'''WITH {_RICH} SELECT page_id, nullif(trim({_text("regexp_extract(html, '(?is)<title>(.*?)</title>', 1)")}), '') AS title, nullif({_text("""regexp_extract(html, '<meta name="description" content="([^"]*)"', 1)""")}, '') AS description,
 nullif(regexp_extract(html, '<meta name="keywords" content="([^"]*)"', 1), '') AS keywords, nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS og_image, nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset,
-nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, '<link rel="icon" href="([^"]*)"', 1), '') AS favicon, nullif(regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1), '') AS viewport FROM rich""")
+nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS lang, nullif(regexp_extract(html, '<link rel="icon" href="([^"]*)"', 1), '') AS favicon, nullif(regexp_extract(html, '<meta name="viewport" content="([^"]*)"', 1), '') AS viewport FROM rich''')
 def page_metadata(s: SparkSession, d: str) -> DataFrame:
-    return H.page_metadata(rich(T(s, d)))
+    pages = rich(T(s, d))
+    return H.page_metadata(pages, nodes(pages))
 
 
 _PHONE = r"\+?\d[\d() .-]{7,18}\d"
@@ -105,14 +128,14 @@ def page_contacts(s: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""WITH {_RICH} SELECT page_id, 'social' AS platform, regexp_extract(html, 'href="([^"]*//social\.example\.org/[^"]*)"', 1) AS link FROM rich WHERE regexp_matches(html, 'href="[^"]*//social\.example\.org/')""")
 def page_social(s: SparkSession, d: str) -> DataFrame:
-    return H.page_social(rich(T(s, d)), {"social": r"//social\.example\.org/", "video": r"//video\.example\.org/"})
+    return H.page_social(nodes(rich(T(s, d))), {"social": r"//social\.example\.org/", "video": r"//video\.example\.org/"})
 
 
 @query(rf"""WITH {_RICH}, {_links('(?:src|href)="([^"]*)"')}, k AS (SELECT page_id, pos, link, lower(link) AS u, regexp_matches(lower(link), '\.(png|jpe?g|gif|webp|svg)(\?|$)') AS image FROM m)
 SELECT page_id, pos, CASE WHEN image AND contains(u, 'logo') THEN 'logo' WHEN image AND contains(u, 'banner') THEN 'banner' WHEN image THEN 'gallery' WHEN regexp_matches(u, '\.(mp4|webm|mov)(\?|$)|/embed/') THEN 'video' ELSE 'document' END AS kind, link
 FROM k WHERE image OR regexp_matches(u, '\.(mp4|webm|mov|pdf|docx?|xlsx?|pptx?|hwp)(\?|$)|/embed/')""")
 def page_media(s: SparkSession, d: str) -> DataFrame:
-    return H.page_media(rich(T(s, d)))
+    return H.page_media(nodes(rich(T(s, d))))
 
 
 @query(rf"""WITH {_RICH}, x AS (SELECT page_id, regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1) AS f FROM rich), y AS (SELECT page_id, unnest(range(0, len(f)))::int AS pos, unnest(f) AS line FROM x),
@@ -120,13 +143,13 @@ c AS (SELECT page_id, pos, list_transform(regexp_extract_all(line, '(?s)<t[dh][^
 n AS (SELECT page_id, pos, coalesce(c[1], '') AS name, coalesce(c[2], '') AS day, coalesce(c[3], '') AS time, coalesce(c[4], '') AS place FROM c WHERE contains(lower(c[1]), 'meeting')),
 o AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY page_id, name, day ORDER BY pos) = 1) SELECT page_id, name, day, time, place FROM o QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 20""")
 def page_schedule(s: SparkSession, d: str) -> DataFrame:
-    return H.page_schedule(rich(T(s, d)), ["meeting"])
+    return H.page_schedule(nodes(rich(T(s, d))), ["meeting"])
 
 
 @query(rf"""WITH m AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS title FROM pages)
 SELECT page_id, {_ORIGIN} || href AS link, trim(title) AS title, CASE WHEN regexp_matches({_ORIGIN} || href, '/[A-Z]') THEN 'section' ELSE 'page' END AS kind FROM m WHERE starts_with(href, '/')""")
 def page_links(s: SparkSession, d: str) -> DataFrame:
-    return H.page_links(T(s, d).pages, [("/[A-Z]", "section")]).select("page_id", "link", "title", "kind")
+    return H.page_links(nodes(T(s, d).pages), [("/[A-Z]", "section")]).select("page_id", "link", "title", "kind")
 
 
 _ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
@@ -135,7 +158,7 @@ _ANCHOR = r'<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 @query(rf"""WITH {_RICH}, x AS (SELECT page_id, url, regexp_extract_all(html, '{_ANCHOR}', 1) AS f, regexp_extract_all(html, '{_ANCHOR}', 2) AS g FROM rich), y AS (SELECT page_id, url, unnest(range(0, len(f))) AS pos, unnest(f) AS raw, trim(unnest(g)) AS title FROM x),
 l AS (SELECT page_id, pos, {_ORIGIN} || regexp_replace(raw, '#.*$', '') AS link, title FROM y WHERE starts_with(raw, '/')) SELECT page_id, link, title FROM l WHERE regexp_matches(link, '/board/list|bo_table=') QUALIFY row_number() OVER (PARTITION BY page_id, link ORDER BY pos) = 1""")
 def page_boards(s: SparkSession, d: str) -> DataFrame:
-    return H.page_boards(rich(T(s, d)), [r"/board/list", r"bo_table="])
+    return H.page_boards(nodes(rich(T(s, d))), [r"/board/list", r"bo_table="])
 
 
 @query(rf"""WITH {_RICH}, x AS (SELECT page_id, url, regexp_extract_all(html, 'window\.open\(''([^'']+)''', 1) AS f FROM rich), y AS (SELECT page_id, url, unnest(range(0, len(f))) AS p, unnest(f) AS raw FROM x),
@@ -144,9 +167,11 @@ def page_popups(s: SparkSession, d: str) -> DataFrame:
     return H.page_popups(rich(T(s, d)))
 
 
-@query()
+@query(rf"""WITH u AS (SELECT page_id, regexp_extract(html, '(?s)<ul>(.*?)</ul>', 1) AS body FROM pages), x AS (SELECT page_id, regexp_extract_all(body, '{_ANCHOR}', 1) AS f, regexp_extract_all(body, '{_ANCHOR}', 2) AS g FROM u),
+y AS (SELECT page_id, unnest(range(0, len(f))) AS pos, unnest(f) AS href, trim(unnest(g)) AS title FROM x), z AS (SELECT * FROM y WHERE href <> '' QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::int AS no, href, title, 1 AS depth, NULL::varchar AS parent FROM z""")
 def page_navigation(s: SparkSession, d: str) -> DataFrame:
-    return H.page_navigation(T(s, d).pages)
+    return H.page_navigation(nodes(T(s, d).pages))
 
 
 _NO_CODE = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
@@ -176,8 +201,7 @@ def mine_organisation(s: SparkSession, d: str) -> DataFrame:
 
 @query(r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS title FROM pages) SELECT page_id, trim(title) AS title FROM m WHERE contains(lower(title), 'the') OR contains(lower(title), 'und')""")
 def find_pages_keyword(s: SparkSession, d: str) -> DataFrame:
-    links = H.matches(T(s, d).pages, ["page_id"], "html", H.LINK, ["href", "title"])
-    return H.find_pages(links, ["the", "und"]).select("page_id", F.trim("title").alias("title"))
+    return H.find_pages(html_tree.links(nodes(T(s, d).pages)), ["the", "und"]).select("page_id", "title")
 
 
 @query(rf"""WITH {_RICH}, x AS (SELECT page_id, regexp_extract_all(html, '<i>(\w+) \((\w+)\)</i>', 1) AS f, regexp_extract_all(html, '<i>(\w+) \((\w+)\)</i>', 2) AS g FROM rich),

@@ -1,20 +1,19 @@
-"""Jobs over stored pages (page_id, url, html), by patterns that run inside of Spark's own functions."""
+"""Jobs over stored pages (page_id, url, html): queries on node tables, and patterns that run inside of Spark's own functions.
+
+Functions that take `nodes` work on what html_tree.parse() gives, which is made once a page and serves all of them.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
-from html.parser import HTMLParser
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import resolve_url, same_host
-from ..operators.relational import first_per
-
-LINK = r"""<a\s[^>]*href="([^"]*)"[^>]*>([^<]*)</a>"""
-
+from ..operators.relational import first_per, topk_per
+from . import html_tree as tree
 
 def matches(df: DataFrame, keys: Sequence[str], column: str, pattern: str, names: Sequence[str]) -> DataFrame:
     """A row for each match of the pattern: keys, pos, and a column for each group."""
@@ -26,57 +25,77 @@ def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]*>", " "), r"\s+", " "))
 
 
-def html_list_items(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+def html_list_items(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Items of ordered lists, numbered from the list's start: key, no, text."""
-    lists = matches(pages, [key], column, r"""(?s)<ol(?:\s[^>]*?start="(\d+)")?[^>]*>(.*?)</ol>""", ["start", "body"])
-    items = lists.select(key, F.coalesce(F.nullif("start", F.lit("")).cast("int"), F.lit(1)).alias("start"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?s)<li[^>]*>(.*?)</li>"), F.lit(1))).alias("i", "item"))
-    return items.select(key, (F.col("start") + F.col("i")).alias("no"), strip_tags(F.col("item")).alias("text"))
+    return tree.list_items(nodes, key).drop("list")
 
 
-def html_listing(pages: DataFrame, pattern: str, key: str = "page_id", column: str = "html") -> DataFrame:
-    """Records (id, year, month, day) of a listing with their ISO date, one a date (the first on the page)."""
-    rows = matches(pages, [key], column, pattern, ["id", "y", "m", "d"])
-    dated = rows.select(key, "pos", "id", F.try_to_timestamp(F.concat_ws("-", "y", "m", "d"), F.lit("yyyy-M-d")).cast("date").cast("string").alias("date")).filter("date is not null")
+def html_listing(nodes: DataFrame, id_pattern: str, date_pattern: str = r"(\d{4})\D(\d{1,2})\D(\d{1,2})", key: str = "page_id") -> DataFrame:
+    """Records (id, ISO date) of a listing: links whose target gives an id and whose text a date that exists; one a date, the first on the page."""
+    rows = tree.links(nodes, [key]).withColumn("id", F.regexp_extract("href", id_pattern, 1)).filter("id <> ''")
+    date = F.try_to_timestamp(F.concat_ws("-", *(F.regexp_extract("title", date_pattern, k) for k in (1, 2, 3))), F.lit("yyyy-M-d")).cast("date").cast("string")
+    dated = rows.withColumn("date", date).filter("date is not null")
     return first_per(dated, [key, "date"], ["pos"]).select(key, "id", "date")
 
 
-def html_images(pages: DataFrame, pattern: str = r"""<img\s[^>]*src="([^"]+)\"""", key: str = "page_id", column: str = "html") -> DataFrame:
-    return matches(pages, [key, "url"], column, pattern, ["src"]).select(key, "pos", resolve_url("src", "url").alias("image"))
+def html_images(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Sources of images as absolute URLs: key, pos, image."""
+    rows = tree.attributes(nodes.filter("tag = 'img'"), ["src"], [key, "url"])
+    return rows.select(key, "pos", resolve_url("value", "url").alias("image"))
 
 
-def html_detail_links(pages: DataFrame, patterns: Sequence[str], key: str = "page_id", column: str = "html") -> DataFrame:
-    """Distinct links by the first pattern that has any on the page."""
-    found = [F.regexp_extract_all(F.col(column), F.lit(p), F.lit(1)) for p in patterns]
-    links = F.coalesce(*[F.when(F.size(f) > 0, f) for f in found], F.array().cast("array<string>"))
-    return pages.select(key, F.explode(F.array_distinct(links)).alias("link"))
+def html_detail_links(nodes: DataFrame, patterns: Sequence[str], key: str = "page_id") -> DataFrame:
+    """Distinct targets of links that match the first pattern that any on the page does."""
+    rows = tree.links(nodes, [key])
+    rule = F.coalesce(*[F.when(F.col("href").rlike(p), F.lit(k)) for k, p in enumerate(patterns)])
+    found = rows.withColumn("_rule", rule).filter("_rule is not null")
+    best = found.withColumn("_best", F.min("_rule").over(Window.partitionBy(key))).filter("_rule = _best")
+    return best.select(key, F.col("href").alias("link")).distinct()
 
 
-def html_detail_fields(pages: DataFrame, image_patterns: Sequence[str], exclude: str, key: str = "page_id", column: str = "html") -> DataFrame:
-    """Year and month (heading, else title, else body), issue number and image URLs, by ordered patterns."""
-    blocks = [F.regexp_extract(column, p, 1) for p in (r"(?s)<h1[^>]*>(.*?)</h1>", r"(?s)<title>(.*?)</title>", r"(?s)(.*)")]
-    part = lambda k: F.coalesce(*[F.nullif(F.regexp_extract(b, r"(\d{4})[-/.](\d{1,2})", k), F.lit("")) for b in blocks]).cast("int")
-    issue = F.coalesce(*[F.nullif(F.regexp_extract(b, r"(?i)(?:no\.|issue)\s*(\d+)", 1), F.lit("")) for b in blocks]).cast("int")
-    images = F.coalesce(*[F.when(F.size(f) > 0, f) for f in (F.filter(F.regexp_extract_all(F.col(column), F.lit(p), F.lit(1)), lambda x: ~F.contains(x, F.lit(exclude))) for p in image_patterns)])
-    return pages.select(key, part(1).alias("year"), part(2).alias("month"), issue.alias("issue"), F.array_join(images, ",").alias("images"))
+def html_detail_fields(pages: DataFrame, nodes: DataFrame, images: Sequence[tuple[str, str]], exclude: str, key: str = "page_id") -> DataFrame:
+    """Year and month, issue number (heading, else title, else all text) and image URLs: a row for every page.
 
+    images: (tag, attribute) in order; the first that any on the page has, without those that hold `exclude`.
+    """
+    inside = lambda t: F.exists("way", lambda x: x["tag"] == t)
+    own = nodes.filter("tag = '#text'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node", "text", inside("h1").alias("h1"), inside("title").alias("title")))).alias("t"))
+    block = lambda keep: F.array_join(F.transform(F.filter("t", keep), lambda x: x["text"]), " ")
+    blocks = [block(lambda x: x["h1"]), block(lambda x: x["title"]), block(lambda x: F.lit(True))]
+    part = lambda p, k: F.coalesce(*[F.nullif(F.regexp_extract(b, p, k), F.lit("")) for b in blocks]).cast("int")
+    date, issue = r"(\d{4})[-/.](\d{1,2})", r"(?i)(?:no\.|issue)\s*(\d+)"
+    fields = own.select(key, part(date, 1).alias("year"), part(date, 2).alias("month"), part(issue, 1).alias("issue"))
+    rule = F.coalesce(*[F.when((F.col("tag") == t) & (F.col("name") == a), F.lit(k)) for k, (t, a) in enumerate(images)])
+    found = tree.attributes(nodes, [a for _, a in images], [key]).withColumn("_rule", rule).filter(F.col("_rule").isNotNull() & ~F.contains("value", F.lit(exclude)))
+    best = found.withColumn("_best", F.min("_rule").over(Window.partitionBy(key))).filter("_rule = _best")
+    urls = best.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]), ",").alias("images"))
+    return pages.select(key).join(fields, key, "left").join(urls, key, "left")
 
-def page_links(pages: DataFrame, kinds: Sequence[tuple[str, str]] = (), key: str = "page_id") -> DataFrame:
+
+def page_links(nodes: DataFrame, kinds: Sequence[tuple[str, str]] = (), key: str = "page_id") -> DataFrame:
     """Outgoing links to the same host: key, pos, link, title, kind (the first rule whose pattern matches)."""
-    rows = matches(pages, [key, "url"], "html", LINK, ["href", "title"]).withColumn("link", resolve_url("href", "url"))
+    rows = tree.links(nodes, [key, "url"]).withColumn("link", resolve_url("href", "url"))
     kind = reduce(lambda acc, k: F.when(F.col("link").rlike(k[0]), k[1]).otherwise(acc), reversed(kinds), F.lit("page"))
-    return rows.filter(same_host("link", "url")).select(key, "pos", "link", F.trim("title").alias("title"), kind.alias("kind"))
+    return rows.filter(same_host("link", "url")).select(key, "pos", "link", "title", kind.alias("kind"))
 
 
-def page_boards(pages: DataFrame, patterns: Sequence[str], key: str = "page_id") -> DataFrame:
+def page_boards(nodes: DataFrame, patterns: Sequence[str], key: str = "page_id") -> DataFrame:
     """Distinct links that look like boards."""
     hit = reduce(lambda a, b: a | b, [F.col("link").rlike(p) for p in patterns])
-    return first_per(page_links(pages, (), key).filter(hit), [key, "link"], ["pos"]).select(key, "link", "title")
+    return first_per(page_links(nodes, (), key).filter(hit), [key, "link"], ["pos"]).select(key, "link", "title")
 
 
-def page_metadata(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    meta = lambda name: F.nullif(F.regexp_extract("html", rf"""(?i)<meta\s[^>]*(?:name|property)="{name}"[^>]*content="([^"]*)\"""", 1), F.lit(""))
-    one = lambda p: F.nullif(F.trim(F.regexp_extract("html", p, 1)), F.lit(""))
-    return pages.select(key, one(r"(?is)<title>(.*?)</title>").alias("title"), meta("description").alias("description"), meta("keywords").alias("keywords"), meta("og:image").alias("og_image"), one(r"""(?i)<meta\s[^>]*charset="?([\w-]+)""").alias("charset"), one(r"""(?i)<html\s[^>]*lang="([^"]*)\"""").alias("lang"), one(r"""(?i)<link\s[^>]*rel="icon"[^>]*href="([^"]*)\"""").alias("favicon"), meta("viewport").alias("viewport"))
+def page_metadata(pages: DataFrame, nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Title, description, keywords, image, charset, language, icon and viewport: a row for every page."""
+    a = F.col("attrs")
+    first = lambda c, when: F.min_by(c, F.when(when & (c != ""), F.col("node")))
+    named = lambda n: first(a["content"], (F.col("tag") == "meta") & (F.lower(F.coalesce(a["name"], a["property"])) == n))
+    found = nodes.groupBy(key).agg(
+        first(F.trim("text"), F.exists("way", lambda x: x["tag"] == "title")).alias("title"), named("description").alias("description"), named("keywords").alias("keywords"), named("og:image").alias("og_image"),
+        first(a["charset"], F.col("tag") == "meta").alias("charset"), first(a["lang"], F.col("tag") == "html").alias("lang"),
+        first(a["href"], (F.col("tag") == "link") & (F.lower(a["rel"]) == "icon")).alias("favicon"), named("viewport").alias("viewport"),
+    )
+    return pages.select(key).join(found, key, "left")
 
 
 PHONE = r"\+?\d[\d() .-]{7,18}\d"
@@ -86,41 +105,39 @@ def page_contacts(pages: DataFrame, key: str = "page_id", phones: int = 5, email
     """Phones (not those that 'fax' stands within ten characters before), faxes, e-mails, of the text and of tel: and mailto: links: at most 5, 5 and 3."""
     body = F.regexp_replace("html", r"""href="(?:tel|mailto):([^"?]*)[^"]*\"""", "> $1 <")
     texts = pages.select(key, F.regexp_replace(body, r"<[^>]*>", " ").alias("_body"))
-    # one struct a number: its digits, and whether 'fax' stands before it; each step is a column of its own, so that none is computed twice
-    whole = texts.select(key, "_body", F.regexp_extract_all("_body", F.lit(rf"(?is)(.{{0,10}}{PHONE})"), F.lit(1)).alias("_whole"))
-    part = F.transform("_whole", lambda x: F.struct(F.trim(F.regexp_extract(x, f"({PHONE})$", 1)).alias("n"), F.contains(F.lower(x), F.lit("fax")).alias("fax")))
+    # numbers are marked in one pass; what stands before one is the end of the piece before it
+    pieces = F.split(F.regexp_replace("_body", f"({PHONE})", "\u0001$1\u0002"), "\u0001")
+    whole = texts.select(key, "_body", pieces.alias("_p"))
+    after = lambda x: F.substring_index(x, "\u0002", -1)
+    part = F.zip_with(F.slice("_p", 2, F.size("_p")), F.slice("_p", 1, F.greatest(F.size("_p") - 1, F.lit(0))), lambda x, before: F.struct(F.trim(F.substring_index(x, "\u0002", 1)).alias("n"), F.contains(F.lower(F.right(after(before), F.lit(10))), F.lit("fax")).alias("fax")))
     found = whole.select(key, "_body", F.filter(part, lambda x: F.length(F.regexp_replace(x["n"], r"\D", "")).between(9, 15)).alias("_found"))
     some = lambda fax: F.array_join(F.slice(F.array_distinct(F.transform(F.filter("_found", lambda x: x["fax"] == fax), lambda x: x["n"])), 1, phones), ",")
     mail = F.slice(F.array_distinct(F.regexp_extract_all("_body", F.lit(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), F.lit(0))), 1, emails)
     return found.select(key, some(False).alias("phones"), some(True).alias("faxes"), F.array_join(mail, ",").alias("emails"))
 
 
-def page_social(pages: DataFrame, platforms: Mapping[str, str], key: str = "page_id") -> DataFrame:
+def page_social(nodes: DataFrame, platforms: Mapping[str, str], key: str = "page_id") -> DataFrame:
     """The first link to each platform."""
-    rows = matches(pages, [key], "html", r"""href="([^"]*)\"""", ["link"])
+    rows = tree.attributes(nodes, ["href"], [key]).withColumnRenamed("value", "link")
     name = reduce(lambda acc, p: F.when(F.col("link").rlike(p[1]), p[0]).otherwise(acc), reversed(platforms.items()), F.lit(None))
     return first_per(rows.withColumn("platform", name).filter("platform is not null"), [key, "platform"], ["pos"]).select(key, "platform", "link")
 
 
-def page_media(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def page_media(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Sources and links classified by name and extension: key, pos, kind, link."""
-    rows = matches(pages, [key, "url"], "html", r"""(?:src|href)="([^"]*)\"""", ["raw"]).withColumn("link", resolve_url("raw", "url"))
+    rows = tree.attributes(nodes, ["src", "href"], [key, "url"]).withColumn("link", resolve_url("value", "url"))
     low = F.lower("link")
     image = low.rlike(r"\.(png|jpe?g|gif|webp|svg)(\?|$)")
     kind = F.when(image & F.contains(low, F.lit("logo")), "logo").when(image & F.contains(low, F.lit("banner")), "banner").when(image, "gallery").when(low.rlike(r"\.(mp4|webm|mov)(\?|$)|/embed/"), "video").when(low.rlike(r"\.(pdf|docx?|xlsx?|pptx?|hwp)(\?|$)"), "document")
     return rows.withColumn("kind", kind).filter("kind is not null").select(key, "pos", "kind", "link")
 
 
-def page_schedule(pages: DataFrame, keywords: Sequence[str], key: str = "page_id", cap: int = 20) -> DataFrame:
+def page_schedule(nodes: DataFrame, keywords: Sequence[str], key: str = "page_id", cap: int = 20) -> DataFrame:
     """Table rows with a keyword in the first cell, as (name, day, time, place), one a name and day, at most `cap` a page."""
-    rows = matches(pages, [key], "html", r"(?s)<tr[^>]*>(.*?)</tr>", ["row"])
-    cells = F.transform(F.regexp_extract_all("row", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags)
-    cell = lambda i: F.coalesce(F.get(F.col("c"), i), F.lit(""))
-    named = rows.select(key, "pos", cells.alias("c")).select(key, "pos", *[cell(i).alias(n) for i, n in enumerate(("name", "day", "time", "place"))])
+    cell = lambda i: F.coalesce(F.get(F.col("cells"), i), F.lit(""))
+    named = tree.table_rows(nodes, key).select(key, "node", *[cell(i).alias(n) for i, n in enumerate(("name", "day", "time", "place"))])
     hit = reduce(lambda a, b: a | b, [F.contains(F.lower("name"), F.lit(k.lower())) for k in keywords])
-    from ..operators.relational import topk_per
-
-    return topk_per(first_per(named.filter(hit), [key, "name", "day"], ["pos"]), [key], ["pos"], cap).drop("pos")
+    return topk_per(first_per(named.filter(hit), [key, "name", "day"], ["node"]), [key], ["node"], cap).drop("node")
 
 
 def page_popups(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -129,53 +146,9 @@ def page_popups(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "url", F.posexplode(F.array_distinct(found)).alias("pos", "raw")).select(key, "pos", resolve_url("raw", "url").alias("link"))
 
 
-class _Menu(HTMLParser):
-    """Links of nested lists with their depth; parent is the last link one level up."""
-
-    def __init__(self):
-        super().__init__()
-        self.depth, self.rows, self.last, self.open = 0, [], {}, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "ul":
-            self.depth += 1
-        elif tag == "a" and self.depth and (href := dict(attrs).get("href")):
-            self.open = [href, "", min(self.depth, 3)]
-
-    def handle_endtag(self, tag):
-        if tag == "ul":
-            self.depth = max(0, self.depth - 1)
-        elif tag == "a" and self.open:
-            href, title, depth = self.open
-            self.rows.append((href, title.strip(), depth, self.last.get(depth - 1)))
-            self.last[depth] = href
-            self.open = None
-
-    def handle_data(self, data):
-        if self.open:
-            self.open[1] += data
-
-
-def page_navigation(pages: DataFrame, key: str = "page_id") -> DataFrame:
+def page_navigation(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     """Menu rows of up to three levels, one a link: key, no, href, title, depth, parent."""
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, rows = [], []
-            for i, html in enumerate(b.column("html").to_pylist()):
-                menu, seen = _Menu(), set()
-                menu.feed(html or "")
-                for r in menu.rows:
-                    if r[0] not in seen:
-                        at.append(i)
-                        rows.append((len(seen), *r))
-                        seen.add(r[0])
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], [key, "no", "href", "title", "depth", "parent"])
-
-    return pages.select(key, "html").mapInArrow(run, f"{key} {kind}, no int, href string, title string, depth int, parent string")
+    return tree.navigation(nodes, key)
 
 
 def page_flags(pages: DataFrame, technologies: Mapping[str, str], key: str = "page_id") -> DataFrame:

@@ -14,7 +14,7 @@ from lodestone.operators import graph as G
 from lodestone.operators import relational as R
 from lodestone.operators import retrieval as H
 from lodestone.operators import vector as V
-from lodestone.sources import html, nested, sinks
+from lodestone.sources import html, html_tree, nested, sinks
 from lodestone.streaming import ingest as K
 
 
@@ -193,7 +193,7 @@ def test_contacts_tell_fax_from_phone(spark):
 
 def test_navigation_depths(spark):
     menu = '<ul><li><a href="/a">A</a><ul><li><a href="/b">B</a></li><li><a href="/a">again</a></li></ul></li></ul><a href="/no">no</a>'
-    got = rows(html.page_navigation(spark.createDataFrame([(1, menu), (2, None)], "page_id long, html string")))
+    got = rows(html.page_navigation(html_tree.parse(spark.createDataFrame([(1, menu), (2, None)], "page_id long, html string"), ["page_id"])))
     assert got == [(1, 0, "/a", "A", 1, None), (1, 1, "/b", "B", 2, "/a")]
 
 
