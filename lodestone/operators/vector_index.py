@@ -53,7 +53,7 @@ class VectorIndex:
         self.directory = spark.read.parquet(f"{self.path}/directory")
         model = sorted(spark.read.parquet(f"{self.path}/model").collect(), key=lambda r: (r["kind"], r["no"]))  # LISTS * (1 + OVERFULL) + BITS rows at most
         self.centres, self.planes = (np.array([r["vector"] for r in model if r["kind"] == kind]) for kind in ("centre", "plane"))
-        self.probes, self.candidates = next((int(r["vector"][0]), int(r["vector"][1])) for r in model if r["kind"] == "chosen")
+        self.probes, self.candidates, self.radius = next(tuple(map(int, r["vector"])) for r in model if r["kind"] == "chosen")
 
     def _codes(self, x: np.ndarray) -> np.ndarray:
         return np.packbits(x @ self.planes.T > 0, axis=1)
@@ -88,7 +88,7 @@ class VectorIndex:
         files[0].unionByName(files[1]).coalesce(1).write.parquet(f"{path}/directory")  # a row for each list and file
         own.directory = spark.read.parquet(f"{path}/directory")
         own._choose(df, n, k, recall)
-        model = [("centre", j, c.tolist()) for j, c in enumerate(own.centres)] + [("plane", j, p.tolist()) for j, p in enumerate(own.planes)] + [("chosen", 0, [float(own.probes), float(own.candidates)])]
+        model = [("centre", j, c.tolist()) for j, c in enumerate(own.centres)] + [("plane", j, p.tolist()) for j, p in enumerate(own.planes)] + [("chosen", 0, [float(own.probes), float(own.candidates), float(own.radius)])]
         spark.createDataFrame(model, "kind string, no int, vector array<double>").coalesce(1).write.parquet(f"{path}/model")
         return cls(spark, path)
 
@@ -111,8 +111,8 @@ class VectorIndex:
         return df.mapInArrow(run, names)
 
     def _choose(self, df: DataFrame, n: int, k: int, recall: float) -> None:
-        """The fewest probes, and then candidates, that hold sqrt(recall) of the true neighbours of some rows each."""
-        self.probes, self.candidates = len(self.centres), max(k, 1)
+        """The fewest probes, and then the least distance of codes and the fewest candidates, that hold sqrt(recall) of the true neighbours of some rows each."""
+        self.probes, self.candidates, self.radius = len(self.centres), max(k, 1), BITS
         if not n:
             return
         some = df.orderBy(F.xxhash64("id"), "id").limit(PROBED)
@@ -128,6 +128,7 @@ class VectorIndex:
         self.probes = int(np.quantile(rank, share, method="higher"))
         # how many codes of the probed lists are as near as each true neighbour's
         apart = np.bitwise_count(self._codes(q) ^ self._codes(x)).sum(1)
+        self.radius = int(np.quantile(apart, share, method="higher"))
         as_near = self._histograms(some)
         of = [r.tobytes() for r in q]
         # a code like the query's own comes first, by id, however many rows share it
@@ -164,9 +165,9 @@ class VectorIndex:
         files = [r[0] for r in self.directory.filter((F.col("of") == table) & F.col("list").isin(wanted)).select("file").distinct().collect()]
         return self.spark.read.parquet(*files).filter(F.col("list").isin(wanted))
 
-    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
-        """query_id, id, similarity: the k nearest among the candidates of each query's nearest lists. Queries go in passes whose candidates together are at most CANDIDATES."""
-        probes, candidates = probes or self.probes, max(k, candidates or self.candidates)
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None, radius: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
+        """query_id, id, similarity: the k nearest among the candidates of each query's nearest lists, whose codes differ in at most `radius` bits. Queries go in passes whose candidates together are at most CANDIDATES."""
+        probes, candidates, radius = probes or self.probes, max(k, candidates or self.candidates), self.radius if radius is None else radius
         queries = queries.select(F.col(id).alias("query_id"), F.col(vector).alias("q")).filter(F.col("q").isNotNull())
         n, out = queries.count(), None
         passes = max(1, -(-n // max(1, min(QUERIES, CANDIDATES // candidates))))
@@ -175,14 +176,14 @@ class VectorIndex:
             own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
             part = own.toArrow().combine_chunks()
             if part.num_rows and len(self.centres):
-                found = self._pass(own, part, k, probes, candidates)
+                found = self._pass(own, part, k, probes, candidates, radius)
                 out = found if out is None else out.unionByName(found)
         if out is None:
             kind = {f.name: f.dataType.simpleString() for f in queries.schema}
             return self.spark.createDataFrame([], f"query_id {kind['query_id']}, id {kind['query_id']}, similarity double")
         return out
 
-    def _pass(self, own: DataFrame, part: pa.Table, k: int, probes: int, candidates: int) -> DataFrame:
+    def _pass(self, own: DataFrame, part: pa.Table, k: int, probes: int, candidates: int, radius: int) -> DataFrame:
         q = _rows(part.column("q").chunk(0))
         lists, ids = self._nearest(q, probes), part.column("query_id").chunk(0)
         of = {int(j): np.flatnonzero((lists == j).any(1)) for j in np.unique(lists)}
@@ -201,7 +202,7 @@ class VectorIndex:
                         some = mine[i : i + step]
                         d = np.bitwise_count(codes[some][:, None].view(np.uint64) ^ own[here][None].view(np.uint64)).sum(2, dtype=np.int32)
                         least = np.partition(d, candidates - 1, axis=1)[:, candidates - 1 : candidates] if d.shape[1] > candidates else BITS
-                        x, y = np.nonzero(d <= least)
+                        x, y = np.nonzero((d <= least) & (d <= radius))
                         who.append(some[x])
                         which.append(here[y])
                         apart.append(d[x, y])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import tagged_union
 from ..sources import nested as N
 from ..sources import sinks as S
+from ..sources.buckets import BucketTable
 from ..streaming import ingest as K
+from ..streaming.status import run_status
 from . import inputs as I
 from .registry import Tables as T
 from .registry import query
@@ -202,3 +206,32 @@ def inc_session_counts(s: SparkSession, d: str) -> DataFrame:
 def agg_union_counts(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
     return tagged_union("corpus", {"d": t.documents.groupBy(F.col("lang").alias("kind")).agg(F.count("*").alias("n")), "e": t.events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))}).drop("corpus")
+
+
+def _kind() -> Column:
+    return F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("pending")
+
+
+@query(f"WITH {I.STATUS} SELECT user_id, status, ts FROM status")
+def inc_bucket_upserts(s: SparkSession, d: str) -> DataFrame:
+    """All events in three batches, of which the second comes twice, into a table of buckets."""
+    events = T(s, d).events.select("user_id", _kind().alias("status"), "ts", "event_id")
+    table = BucketTable(s, f"{S.shared_dir(s)}/buckets-{uuid.uuid4().hex}", events.schema, ["user_id"], ["ts", "event_id"], 16)
+    for no in (0, 1, 1, 2):
+        table.apply(events.filter(F.col("event_id") % 3 == no), no)
+    return table.read().select("user_id", "status", "ts")
+
+
+@query(f"WITH {I.STATUS} SELECT user_id, status, ts, status <> 'completed' AND ts < timestamp '{I.NOW}' - INTERVAL 2 HOUR AS stale FROM status")
+def inc_status_stream(s: SparkSession, d: str) -> DataFrame:
+    """The stream's table after all events and the tick of a clock that brings the watermark to the reference time."""
+    root, late = f"{S.shared_dir(s)}/status-{uuid.uuid4().hex}", "60 days"
+    events = T(s, d).events.select("user_id", _kind().alias("status"), "ts", "event_id")
+    tick = s.createDataFrame([(-1, "completed", 0)], "user_id long, status string, event_id long").withColumn("ts", F.expr(f"timestamp '{I.NOW}' + INTERVAL {late}"))
+    tick.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.parquet(f"{root}/tick")
+    # a pattern, since a stream reads folders, and the table may be one file
+    stream = s.readStream.schema(T(s, d).events.schema).parquet(f"{d}/event[s].parquet").select("user_id", _kind().alias("status"), "ts", "event_id")
+    clock = s.readStream.schema(events.schema).parquet(f"{root}/tick")
+    query, table = run_status(stream.unionByName(clock), f"{root}/checkpoint", f"{root}/table", late=late, buckets=16)
+    query.awaitTermination()
+    return table.read().filter("user_id >= 0").select("user_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"), "stale")

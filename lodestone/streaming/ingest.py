@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.relational import first_per
+from ..sources.buckets import BucketTable
 
 
 def newer_than(df: DataFrame, target: DataFrame, column: str) -> DataFrame:
@@ -86,20 +87,8 @@ def run_to_table(stream: DataFrame, checkpoint: str, path: str, mode: str = "app
     return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path).outputMode(mode).trigger(availableNow=True).start()
 
 
-def run_upserts(stream: DataFrame, checkpoint: str, path: str, keys: Sequence[str], order: Sequence[str]) -> StreamingQuery:
-    """Keeps the last row of each key under path/version=<batch>; a batch that runs again writes the same folder, so retries don't count twice."""
-
-    def apply(batch: DataFrame, no: int) -> None:
-        spark = batch.sparkSession
-        now = first_per(batch, keys, [F.desc(o) for o in order])
-        hadoop = spark._jvm.org.apache.hadoop.fs
-        before = None
-        root = hadoop.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        done = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(root) if "=" in s.getPath().getName()] if fs.exists(root) else []
-        if earlier := [v for v in done if v < no]:
-            before = spark.read.schema(batch.schema).parquet(f"{path}/version={max(earlier)}")
-        rows = now if before is None else first_per(before.unionByName(now), keys, [F.desc(o) for o in order])
-        rows.write.mode("overwrite").parquet(f"{path}/version={no}")
-
-    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_upserts(stream: DataFrame, checkpoint: str, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> tuple[StreamingQuery, BucketTable]:
+    """Keeps the last row of each key in a table of buckets; a batch that runs again changes nothing, and buckets that it doesn't touch aren't written."""
+    table = BucketTable(stream.sparkSession, path, stream.schema, keys, order, buckets)
+    query = stream.writeStream.foreachBatch(lambda batch, no: table.apply(batch, no) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return query, table

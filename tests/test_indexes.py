@@ -87,7 +87,7 @@ def test_vector_index_on_given_vectors(spark, tmp_path):
     index = VectorIndex(spark, str(tmp_path / "i"))  # opened again
     assert recall(index.search(queries), V.vector_topk_batch(e, queries, 10)) >= 0.85  # 100 pairs; 0.92 is aimed at
     assert index.compared[0] < 0.25 * index.compared[1]
-    every = index.search(queries, probes=len(index.centres), candidates=500)
+    every = index.search(queries, probes=len(index.centres), candidates=500, radius=256)
     assert recall(every, V.vector_topk_batch(e, queries, 10)) == 1
 
 
