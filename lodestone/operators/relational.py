@@ -130,27 +130,58 @@ def latest_child(parents: DataFrame, children: DataFrame, key: str, ts: str, val
     return parents.join(last, key, "left").select(*parents.columns, F.col(f"_last.{value}").alias(value), F.col(f"_last.{ts}").alias(ts))
 
 
+#: Members of an event that are paired in one task, roughly; more are dealt over blocks, and pairs of blocks are joined.
+MEMBERS = 1024
+
+
 def coparticipants(bridge: DataFrame, member: str, event: str) -> DataFrame:
-    """Distinct pairs of members that share an event, in both directions."""
-    a = bridge.select(event, F.col(member).alias("a")).distinct()
-    b = bridge.select(event, F.col(member).alias("b")).distinct()
-    return a.join(b, event).filter("a <> b").select("a", "b").distinct()
+    """Distinct pairs of members that share an event, in both directions. Each event gives a pair once, and a hot event's pairs of blocks are keys of their own."""
+    rows = bridge.select(F.col(event).alias("event"), F.col(member).alias("m")).filter("event is not null and m is not null").distinct()
+    blocks = rows.groupBy("event").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "event").withColumn("block", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int"))
+    a = dealt.select("event", F.col("m").alias("a"), F.col("block").alias("low"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("high"))
+    b = dealt.select("event", F.col("m").alias("b"), F.explode(F.sequence(F.lit(0), "block")).alias("low"), F.col("block").alias("high"))
+    once = a.join(b, ["event", "low", "high"]).filter("low < high or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+#: Words up to this length are found by deletion variants, longer ones by segments.
+SHORT = 24
 
 
 def nearest_name(names: DataFrame, name: str, vocabulary: DataFrame, word: str, distance: int = 2) -> DataFrame:
     """The vocabulary's word with the smallest edit distance up to `distance`, exact ones first, then by word.
 
-    Candidates share a deletion variant: two strings within d edits have a common string under d deletions each. So
-    it is an equi-join on variants, not a product.
+    Candidates come from equi-joins, not from a product, and their number of rows a string doesn't grow with its length: see
+    close_pairs(). All candidates are compared exactly.
     """
     n = names.select(F.col(name).alias("name")).distinct()
     v = vocabulary.select(F.col(word).alias("word")).distinct()
-    variants = lambda df, c: df.select(c, F.explode(deletions(F.col(c), distance)).alias("variant"))
-    pairs = variants(n, "name").join(variants(v, "word"), "variant").select("name", "word").distinct()
-    pairs = pairs.withColumn("distance", F.levenshtein("name", "word", distance)).filter("distance >= 0")
+    pairs = close_pairs(n, v, distance).withColumn("distance", F.levenshtein("name", "word", distance)).filter("distance >= 0")
     return pairs.groupBy("name").agg(F.min(F.struct("distance", "word")).alias("m")).select("name", F.col("m.word").alias("word"), F.col("m.distance").alias("distance"))
 
 
+def close_pairs(names: DataFrame, words: DataFrame, distance: int) -> DataFrame:
+    """name, word: every pair within the edit distance, and some others.
+
+    Words up to SHORT: two strings within d edits have a common string under d deletions each. Longer words are cut into d + 1
+    segments, one of which d edits leave whole, at most d places away; names look for each segment of each length in question.
+    """
+    d, size = distance, lambda c: F.length(c)
+    variants = lambda df, c, most: df.filter(size(c) <= most).select(c, F.explode(deletions(F.col(c), d)).alias("variant"))
+    few = variants(names, "name", SHORT + d).join(variants(words, "word", SHORT), "variant").select("name", "word")
+    each = lambda df, **of: reduce(lambda x, kv: x.withColumn(kv[0], F.explode(F.array(*map(F.lit, kv[1])))), of.items(), df)
+    spread = range(-d, d + 1)
+    base, plain = F.floor(F.col("size") / (d + 1)).cast("int"), d + 1 - F.col("size") % (d + 1)  # the first `plain` segments have the base length, the others one more
+    start, length = F.col("i") * base + F.greatest(F.col("i") - plain, F.lit(0)), base + (F.col("i") >= plain).cast("int")
+    long = each(words.filter(size("word") > SHORT).withColumn("size", size("word")), i=range(d + 1))
+    long = long.select("word", "size", "i", F.xxhash64(F.substring("word", start + 1, length)).alias("segment"))
+    asked = each(names, more=spread, i=range(d + 1), shift=spread).withColumn("size", size("name") + F.col("more")).filter(F.col("size") > SHORT)
+    asked = asked.withColumn("at", start + F.col("shift")).filter((F.col("at") >= 0) & (F.col("at") + length <= size("name")))
+    asked = asked.select("name", "size", "i", F.xxhash64(F.substring("name", F.col("at") + 1, length)).alias("segment")).distinct()
+    return few.unionByName(asked.join(long, ["size", "i", "segment"]).select("name", "word")).distinct()
+
+
 def deletions(text: Column, distance: int) -> Column:
     """The text and all that is left of it after up to `distance` deletions."""
     drop = lambda t: F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))
@@ -169,10 +200,32 @@ def trigrams(text: Column) -> Column:
 
 def similar_by_trigram(names: DataFrame, name: str, queries: DataFrame, query: str, least: float = 0.5, k: int = 5) -> DataFrame:
     """For each query the k names with the greatest trigram similarity above `least`."""
-    n = names.select(F.col(name).alias("name")).distinct().withColumn("g", trigrams(F.col("name"))).select("name", F.size("g").alias("n"), F.explode("g").alias("g"))
-    q = queries.select(F.col(query).alias("query")).distinct().withColumn("g", trigrams(F.col("query"))).select("query", F.size("g").alias("m"), F.explode("g").alias("g"))
-    pairs = q.join(n, "g").groupBy("query", "name", "n", "m").count().withColumn("similarity", F.col("count") / (F.col("n") + F.col("m") - F.col("count"))).filter(F.col("similarity") > least)
-    return topk_per(pairs.select("query", "name", "similarity"), ["query"], [F.desc("similarity"), F.asc("name")], k)
+    pairs = trigram_candidates(names, name, queries, query, least)
+    shared = F.size(F.array_intersect("q", "g"))
+    found = pairs.withColumn("similarity", shared / (F.size("q") + F.size("g") - shared)).filter(F.col("similarity") > least)
+    return topk_per(found.select("query", "name", "similarity"), ["query"], [F.desc("similarity"), F.asc("name")], k)
+
+
+def trigram_candidates(names: DataFrame, name: str, queries: DataFrame, query: str, least: float) -> DataFrame:
+    """query, name and their trigrams q and g: all pairs above the similarity, and some others.
+
+    Such pairs share one of their rarest trigrams: those that are left when as many as the similarity asks for are taken from
+    the frequent end. So common trigrams join nothing, and texts of too different a size aren't paired.
+    """
+    n = names.select(F.col(name).alias("name")).filter("name is not null").distinct().withColumn("g", trigrams(F.col("name")))
+    q = queries.select(F.col(query).alias("query")).filter("query is not null").distinct().withColumn("q", trigrams(F.col("query")))
+    often = n.select(F.explode("g").alias("t")).groupBy("t").agg(F.count("*").alias("often"))
+
+    def rarest(df: DataFrame, own: str, grams: str) -> DataFrame:
+        each = df.select(own, F.size(grams).alias("n"), F.explode(grams).alias("t")).join(often, "t", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "t")))
+        kept = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+        rows = each.groupBy(own, "n").agg(order.alias("o")).select(own, "n", F.explode(F.slice("o", F.lit(1), F.least(kept, F.col("n")).cast("int"))).alias("o"))
+        return rows.select(own, F.col("n").alias(f"n_{own}"), F.col("o.t").alias("t"))
+
+    both = rarest(q, "query", "q").join(rarest(n, "name", "g"), "t")
+    sized = both.filter((F.col("n_name") >= F.col("n_query") * least) & (F.col("n_query") >= F.col("n_name") * least))
+    return sized.select("query", "name").distinct().join(q, "query").join(n, "name")
 
 
 # --- aggregates ---------------------------------------------------------------------------------------------------
