@@ -1,16 +1,19 @@
 """Graph operators over edge tables (src, dst, type, strength) and parent-child tables.
 
 Traversals go level by level: a frontier is joined with the edges, visited nodes are removed by an anti-join, and each level
-is checkpointed, so that the plan doesn't grow. Only the test for an empty frontier reaches the driver.
+is written to the shared folder, so that the plan doesn't grow. Trees are climbed by pointer doubling. Only tests for an empty
+frontier reach the driver.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .relational import both_ends_in, coparticipants, first_per, string_ordered, tagged_union, topk_per, undirected
 
 
@@ -52,8 +55,10 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int = 2, limit: int | None =
 
 
 def _cut(df: DataFrame, spark) -> DataFrame:
-    """A checkpoint where the cluster names a shared folder for them; else the plan goes on."""
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df
+    """Written to the shared folder and read again, so that plans don't grow by level and lost executors cost little."""
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def direct(edges: DataFrame, seeds: DataFrame, n: int = 15) -> DataFrame:
@@ -116,32 +121,34 @@ def explain(edges: DataFrame, key: str, text: str) -> DataFrame:
 LEVELS = 10_000
 
 
+def _climb(df: DataFrame, id: str, parent: str, name: str | None, max_depth: int) -> DataFrame:
+    """id, depth and path of all nodes that roots reach, by pointer doubling: each round, a node that points k levels up points 2k levels up.
+
+    So a tree of d levels takes log2(d) rounds, each a join of the open nodes with all. Nodes whose way up ends at a missing parent drop out. Ids are expected once each.
+    """
+    path = F.concat(F.lit("/"), F.col(name)) if name else F.lit("")
+    nodes = df.select(F.col(id).alias("id"), F.col(parent).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"), path.alias("path"))
+    for _ in range(max(1, max_depth).bit_length() + 1):
+        nodes = _cut(nodes, df.sparkSession)
+        rest = nodes.filter("up is not null")
+        if rest.isEmpty():
+            if nodes.filter(F.col("depth") > max_depth).limit(1).count():
+                break
+            return nodes.drop("up")
+        above = nodes.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+        step = rest.join(above, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.concat("_path", "path").alias("path"))
+        nodes = nodes.filter("up is null").unionByName(step)
+    raise ValueError(f"a path of more than {max_depth} levels")
+
+
 def tree_walk(df: DataFrame, id: str, parent: str, max_depth: int = LEVELS) -> DataFrame:
     """All nodes that roots (null parent) reach, with their depth. ValueError where a path has more than max_depth levels."""
-    level = df.filter(F.col(parent).isNull()).withColumn("depth", F.lit(0))
-    out = level
-    children = df.withColumnRenamed(parent, "_parent")
-    for d in range(1, max_depth + 1):
-        above = level.select(F.col(id).alias("_parent"))
-        level = _cut(children.join(above, "_parent", "left_semi").withColumnRenamed("_parent", parent).select(*df.columns).withColumn("depth", F.lit(d)), df.sparkSession)
-        if level.isEmpty():
-            return out
-        out = _cut(out.unionByName(level), df.sparkSession) if d % 32 == 0 else out.unionByName(level)
-    raise ValueError(f"a path of more than {max_depth} levels")
+    return df.join(_climb(df, id, parent, None, max_depth).select(F.col("id").alias(id), "depth"), id).select(*df.columns, "depth")
 
 
 def tree_paths(df: DataFrame, id: str, parent: str, name: str, max_depth: int = LEVELS) -> DataFrame:
     """id, path '/a/b/c' of the names, depth. ValueError where a path has more than max_depth levels."""
-    level = df.filter(F.col(parent).isNull()).select(id, F.concat(F.lit("/"), name).alias("path"), F.lit(0).alias("depth"))
-    out = level
-    children = df.select(F.col(id).alias("_id"), F.col(parent).alias(id), F.col(name).alias("_name"))
-    for d in range(1, max_depth + 1):
-        level = children.join(level, id).select(F.col("_id").alias(id), F.concat("path", F.lit("/"), "_name").alias("path"), F.lit(d).alias("depth"))
-        level = _cut(level, df.sparkSession)
-        if level.isEmpty():
-            return out
-        out = _cut(out.unionByName(level), df.sparkSession) if d % 32 == 0 else out.unionByName(level)
-    raise ValueError(f"a path of more than {max_depth} levels")
+    return _climb(df, id, parent, name, max_depth).select(F.col("id").alias(id), "path", "depth")
 
 
 def nest(df: DataFrame, id: str, parent: str, name: str, order: str) -> DataFrame:

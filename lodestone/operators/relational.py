@@ -5,12 +5,15 @@ All take DataFrames and column names and give a lazy DataFrame. Ties are always
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 # --- filters ------------------------------------------------------------------------------------------------------
 
 _COMPARE = {
@@ -285,11 +288,20 @@ def topk_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
 
 
 def ranked(df: DataFrame, score: str, key: str, name: str = "rank") -> DataFrame:
-    """Rows numbered from the greatest score on, ties by key: within each score, behind the number of rows with greater ones, so that no window holds the whole table. One row a distinct score is summed up in one task; round scores that are not."""
-    counts = df.groupBy(score).agg(F.count("*").alias("_rows"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    own = df.withColumn("_no", F.row_number().over(Window.partitionBy(score).orderBy(key)))
-    return own.join(before, score).withColumn(name, F.col("_before") + F.col("_no")).drop("_before", "_no")
+    """Rows numbered from the greatest score on, ties by key (nulls last, smallest key first).
+
+    Ranges of rows are sorted and numbered in tasks of their own, and each adds the rows of the ranges before it: no window
+    holds the table or a common score; the one over all ranges has a row for each task.
+    """
+    path = f"{shared_dir(df.sparkSession)}/ranked-{uuid.uuid4().hex}"
+    order = [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_last()]
+    sorted_ = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    sorted_.write.parquet(path)
+    rows = df.sparkSession.read.schema(sorted_.schema).parquet(path)
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = counts.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    own = rows.withColumn("_no", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return own.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_no")).drop("_before", "_no", "_range")
 
 
 def mark_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str = "keep") -> DataFrame:

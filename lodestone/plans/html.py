@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources import html as H
 from ..sources import html_tree
-from ..sources.sinks import shared_dir
+from ..session import shared_dir
 from .registry import Tables as T
 from .registry import query
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import tagged_union
+from ..session import shared_dir
 from ..sources import nested as N
 from ..sources import sinks as S
 from ..sources.buckets import BucketTable
@@ -118,7 +119,7 @@ def sink_json_summary(s: SparkSession, d: str) -> DataFrame:
     """Written as JSON lines to a folder of the session's checkpoint folder, and read again."""
     import uuid
 
-    path = f"{S.shared_dir(s)}/summary-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/summary-{uuid.uuid4().hex}"
     S.write_summary(T(s, d).documents.groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars")), path)
     return s.read.schema("source string, documents long, chars long").json(path)
 
@@ -216,7 +217,7 @@ def _kind() -> Column:
 def inc_bucket_upserts(s: SparkSession, d: str) -> DataFrame:
     """All events in three batches, of which the second comes twice, into a table of buckets."""
     events = T(s, d).events.select("user_id", _kind().alias("status"), "ts", "event_id")
-    table = BucketTable(s, f"{S.shared_dir(s)}/buckets-{uuid.uuid4().hex}", events.schema, ["user_id"], ["ts", "event_id"], 16)
+    table = BucketTable(s, f"{shared_dir(s)}/buckets-{uuid.uuid4().hex}", events.schema, ["user_id"], ["ts", "event_id"], 16)
     for no in (0, 1, 1, 2):
         table.apply(events.filter(F.col("event_id") % 3 == no), no)
     return table.read().select("user_id", "status", "ts")
@@ -225,7 +226,7 @@ def inc_bucket_upserts(s: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {I.STATUS} SELECT user_id, status, ts, status <> 'completed' AND ts < timestamp '{I.NOW}' - INTERVAL 2 HOUR AS stale FROM status")
 def inc_status_stream(s: SparkSession, d: str) -> DataFrame:
     """The stream's table after all events and the tick of a clock that brings the watermark to the reference time."""
-    root, late = f"{S.shared_dir(s)}/status-{uuid.uuid4().hex}", "60 days"
+    root, late = f"{shared_dir(s)}/status-{uuid.uuid4().hex}", "60 days"
     events = T(s, d).events.select("user_id", _kind().alias("status"), "ts", "event_id")
     tick = s.createDataFrame([(-1, "completed", 0)], "user_id long, status string, event_id long").withColumn("ts", F.expr(f"timestamp '{I.NOW}' + INTERVAL {late}"))
     tick.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.parquet(f"{root}/tick")

@@ -12,7 +12,7 @@ from ..operators import retrieval as H
 from ..operators import vector as V
 from ..operators.keyword_index import KeywordIndex
 from ..operators.vector_index import VectorIndex, index_path
-from ..sources.sinks import shared_dir
+from ..session import shared_dir
 from .registry import Tables as T
 from .registry import query
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -85,16 +82,3 @@ def backfill_embeddings(df: DataFrame, id: str, text: str, vector: str, embed: C
 def write_summary(df: DataFrame, path: str) -> None:
     """A JSON line a row."""
     df.write.mode("overwrite").json(path)
-
-
-@functools.cache
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-")
-
-
-def shared_dir(spark) -> str:
-    """The folder that all executors share (spark.checkpoint.dir). Where it is unset, a temporary one of this process in local mode, and an error on a cluster, whose executors would each write to a disk of their own."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no shared folder")
-    return (path or _own_dir()).rstrip("/")
