@@ -3,10 +3,10 @@
 Every document is a point in metadata space (size, language, source). All nodes of a level are split at once: the widest
 dimension of each node is found by one small aggregate, and the weighted median (or the quantile that the numbers of
 leaves on both sides ask for) by histograms of bytes that are refined until the cut is exact to a thousandth of a leaf.
-The driver sees at most LEAVES * BINS sums a pass, whatever the input. Equal texts are one weighted point, with the metadata
-of their smallest doc_id, and so stay in one shard, unless they hold more than TOGETHER of a shard's bytes: then they are
-points of their own. Ties in a dimension are cut by a hash of the text and then, for such texts, of the doc_id, so that a
-source or a text that holds a third of all rows is split like any other range.
+The driver sees at most LEAVES * BINS sums a pass, whatever the input. Equal texts are one range, with the metadata of their
+smallest doc_id, ordered among themselves by a hash of the doc_id: a cut that falls among them moves to the nearer of their
+ends if that is within SLACK of a shard, so that they stay in one shard; else it splits them. Texts are told apart within a
+dimension's value by a hash, so that a source or a text that holds a third of all rows is split like any other range.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from .shared import Store, table
 
-BINS, TOLERANCE, SLOTS, TOGETHER = 4096, 0.001, 10_000, 0.1
+BINS, TOLERANCE, SLOTS = 4096, 0.001, 10_000
+#: How far of a shard's bytes a cut may move so as not to split equal texts.
+SLACK = 0.03
+#: Bits of a key that order rows of equal texts.
+LOW = 20
 DIMENSIONS = ("k_size", "k_lang", "k_source")
 
 
@@ -39,15 +43,14 @@ def points(docs: DataFrame) -> DataFrame:
     )
 
 
-def keyed(rows: DataFrame, most: float) -> DataFrame:
-    """rows of points() with a 60-bit key per dimension: 20 bits of the code, 20 of the text's hash, and 20 more of this for equal texts of at most `most` bytes together, of the doc_id's for others."""
+def keyed(rows: DataFrame) -> DataFrame:
+    """rows of points() with a 60-bit key per dimension: 20 bits of the code, for equal texts of their first row's, 20 of the text's hash, LOW of the doc_id's."""
     text = ["th", "text_crc32", "size"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "c_lang", "c_source")).alias("first")
-    groups = rows.groupBy(*text).agg(F.count("*").alias("n"), first).where((F.col("n") > 1) & (F.col("n") * F.col("size") <= F.lit(most))).drop("n")
+    groups = rows.groupBy(*text).agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
     own = rows.join(groups, text, "left")
-    one = F.col("first").isNotNull()
-    tie = F.shiftleft(_low(F.col("th")), 20) + F.when(one, _low(F.xxhash64("th"))).otherwise(_low(F.xxhash64("doc_id")))
-    code = {"k_size": F.col("c_size"), **{f"k_{c}": F.when(one, F.col(f"first.c_{c}")).otherwise(F.col(f"c_{c}")) for c in ("lang", "source")}}
+    tie = F.shiftleft(_low(F.col("th")), LOW) + _low(F.xxhash64("doc_id"))
+    code = {"k_size": F.col("c_size"), **{f"k_{c}": F.coalesce(F.col(f"first.c_{c}"), F.col(f"c_{c}")) for c in ("lang", "source")}}
     return own.select("doc_id", "size", "text_crc32", *[(F.shiftleft(c, 40) + tie).alias(k) for k, c in code.items()])
 
 
@@ -99,13 +102,14 @@ def tree(rows: DataFrame, leaves: int) -> Node | None:
             r = found[n.first]
             d = max(DIMENSIONS, key=lambda d, r=r: width(r, d) / spread[d])
             half = n.leaves // 2
-            state[n.first] = {"n": n, "d": d, "lo": r[f"lo_{d}"], "hi": r[f"hi_{d}"] + 1, "target": r["size"] * half / n.leaves, "before": 0, "leaf": r["size"] / n.leaves}
+            state[n.first] = {"n": n, "d": d, "unit": LOW, "lo": r[f"lo_{d}"] >> LOW, "hi": (r[f"hi_{d}"] >> LOW) + 1, "target": r["size"] * half / n.leaves, "before": 0, "leaf": r["size"] / n.leaves}
         while state:
             for s in state.values():
                 s["step"] = -(-(s["hi"] - s["lo"]) // BINS)
             key = _per_node(state, lambda s: F.col(s["d"]))
-            lo, hi, step = (_per_node(state, lambda s, k=k: F.lit(s[k])) for k in ("lo", "hi", "step"))
-            part = here.where(F.col("node").isin([*state])).select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi"), step.alias("step")).where("key >= lo and key < hi")
+            lo, hi, step, unit = (_per_node(state, lambda s, k=k: F.lit(s[k])) for k in ("lo", "hi", "step", "unit"))
+            part = here.where(F.col("node").isin([*state])).select("node", "size", key.alias("key"), lo.alias("lo"), hi.alias("hi"), step.alias("step"), unit.alias("unit"))
+            part = part.withColumn("key", F.expr("shiftright(key, unit)")).where("key >= lo and key < hi")
             bins: dict[int, list[tuple[int, int, int]]] = {}
             for r in part.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
                 bins.setdefault(r["node"], []).append((r["bin"], r["size"], r["n"]))
@@ -116,9 +120,12 @@ def tree(rows: DataFrame, leaves: int) -> Node | None:
                         break
                     at += weight
                 left, right = s["lo"] + b * s["step"], s["lo"] + (b + 1) * s["step"]
-                if s["step"] == 1 or n == 1 or weight <= TOLERANCE * s["leaf"]:
-                    s["n"].split(s["d"], left if s["target"] - at < weight / 2 else right)
+                miss = min(s["target"] - at, at + weight - s["target"])
+                if n == 1 or s["step"] == 1 and (not s["unit"] or miss <= SLACK * s["leaf"]) or weight <= TOLERANCE * s["leaf"]:
+                    s["n"].split(s["d"], (left if s["target"] - at < weight / 2 else right) << s["unit"])
                     del state[k]
+                elif s["step"] == 1:  # equal texts that can't stay together
+                    s.update(lo=left << s["unit"], hi=right << s["unit"], unit=0, before=at)
                 else:
                     s.update(lo=left, hi=min(right, s["hi"]), before=at)
     return root
@@ -128,9 +135,9 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size is the text's UTF-8 bytes (null: none) plus 8. The law is `bytes`: shards hold near equal sizes. With target_bytes
-    the number of shards is the smallest that keeps them at it. Equal texts share a shard unless they hold more than a tenth
-    of one. slot counts from 0 within a shard without gaps; repeated
-    rows get slots of their own, and so do rows with a null doc_id. Null lang and source count as empty. An empty table
+    the number of shards is the smallest that keeps them at it. Equal texts share a shard unless a cut falls
+    among them and is farther than SLACK of a shard from both their ends; so groups of up to twice SLACK are never split, and each
+    cut splits one group at most. slot counts from 0 within a shard without gaps; repeated rows get slots of their own, and so do rows with a null doc_id. Null lang and source count as empty. An empty table
     gives an empty result; other columns of docs are ignored.
     """
     store = Store(docs.sparkSession, "kd_shards")
@@ -138,7 +145,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, target_bytes: int | None = None
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("size")).first()
     if target_bytes:
         shards = max(1, -(-(total["size"] or 0) // target_bytes))
-    rows = store.write(keyed(rows, TOGETHER * (total["size"] or 0) / shards), "keyed")
+    rows = store.write(keyed(rows), "keyed")
     root = tree(rows, shards) if total["n"] else None
     groups = max(1, total["n"] // shards // SLOTS)
     placed = rows.withColumn("shard", (root.column() if root else F.lit(0)).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", "size"), F.lit(groups)))
