@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines.
 
 Texts are wrapped anew, whatever their line breaks: a line begins where the hash of two words that follow one another
-chooses (two in five), after LINE words at the latest, so that equal passages are wrapped alike wherever they stand and however
-they were wrapped. A rolling polynomial hash over the hashes of the last WIDTH lines chooses chunk boundaries: a chunk ends
+chooses (two in five), and where that leaves more than LINE words together, at least hashes of GRAM words, so that equal
+passages are wrapped alike wherever they stand and however they were wrapped. Only words that repeat with a short period have
+neither; they are cut each LINE words. A rolling polynomial hash over the hashes of the last WIDTH lines chooses chunk boundaries: a chunk ends
 where its value exceeds those of the lines beside it, so that boundaries move with the text; chunks have two lines at
 least and LINES at most. Of equal chunks the first (doc_id, text, position) stays: a task matches its own chunks first, and
 the first of each is dealt by hash to meet those of other tasks, so that a common chunk is one posting a task. Matches that
@@ -27,8 +28,10 @@ from .vectors import NOT_SPACE, binary_rows, flat, hash_spans, mix, slices, word
 #: Words of a run that is cut out at least; words of runs that touch at least, without those around; bytes of a bucket; chunks that a task holds.
 MIN_WORDS, ANCHOR, BUCKET, HELD = 40, 8, 8 << 20, 1 << 21
 #: Most words of a line, lines of a rolling hash, most lines of a chunk.
-LINE, WIDTH, LINES = 16, 3, 16
-#: Words around a run that are compared: more than stand between a run's end and the next boundary. What is fetched begins and ends at multiples of SNAP words, so that many matches share it.
+LINE, WIDTH, LINES = 16, 3, 8
+#: Words whose hash breaks lines without a chosen pair; words beside that it is compared with.
+GRAM, BESIDE = 6, 4
+#: Words around a run that are compared: as many as a chunk holds at most, so that the next boundary is among them. What is fetched begins and ends at multiples of SNAP words, so that many matches share it.
 AROUND, SNAP = 128, 256
 _POSTING = np.dtype([("chunk", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("pos", "<u4"), ("n", "<u2")])
 _MATCH = np.dtype([("doc", "<i8"), ("th", "<i8"), ("kdoc", "<i8"), ("kth", "<i8"), ("pos", "<u4"), ("kpos", "<u4"), ("n", "<u2")])
@@ -37,6 +40,19 @@ _NULL = np.iinfo(np.int64).max
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _least(h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of long lines, the words at which the hash of GRAM words is less than at the BESIDE words before and not more than at those behind: breaks that hang on the words alone."""
+    gram = h.copy()
+    for k in range(1, GRAM):
+        gram[k:] += mix(h[:-k] + np.uint64(k))
+    gram = mix(gram)
+    at = np.repeat(begin + 1 - (np.cumsum(size - 1) - (size - 1)), size - 1) + np.arange((size - 1).sum())
+    here, low = gram[at], np.ones(len(at), bool)
+    for k in range(1, BESIDE + 1):
+        low &= (here < gram[np.maximum(at - k, 0)]) & (here <= gram[np.minimum(at + k, len(h) - 1)])
+    return at[low]
+
+
 class Lines:
     """Lines of a slice of texts: the first word of each line, and the end; each line's hash; first: where each text's lines begin, and the end."""
 
@@ -56,6 +72,9 @@ class Lines:
         begin = np.flatnonzero(cut)
         size = np.diff(np.append(begin, n))
         if (size > LINE).any():
+            begin = np.sort(np.concatenate([begin, _least(h, begin[size > LINE], size[size > LINE])]))
+            size = np.diff(np.append(begin, n))
+        if (size > LINE).any():  # words that repeat with a short period: any cut is like any other
             more = (size - 1) // LINE
             k = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
             begin = np.sort(np.concatenate([begin, np.repeat(begin, more) + (k + 1) * LINE]))

@@ -85,6 +85,30 @@ def test_kd_shards(spark, odd):
     assert kd_shards.kd_shards(docs_of(spark, rows), target_bytes=sum(sizes)).select("shard").distinct().count() == 1
 
 
+@pytest.mark.parametrize("share", [0.05, 0.3])
+def test_equal_texts_share_a_shard(spark, share):
+    """Groups of up to twice the slack are never split, others only where a cut needs it; and a table of equal texts alone is split evenly."""
+    import random
+
+    rnd = random.Random(2)
+    rows = [(i, f"{i} " + "x" * rnd.randrange(50, 800)) for i in range(3000)]
+    shard = sum(len(t) + 8 for _, t in rows) / 24
+    for g in range(12):
+        text = f"group {g} " + "y" * (100 + 60 * g)
+        rows += [(10_000 * (g + 1) + k, text) for k in range(int(share * shard / (len(text) + 8)))]
+    rows += [(200_000 + k, t) for k, t in enumerate([None, "", ""] * 20)]
+    rnd.shuffle(rows)
+    got = kd_shards.kd_shards(docs_of(spark, rows)).collect()
+    of, sizes = {}, Counter()
+    for r in got:
+        of.setdefault(r["text_crc32"], set()).add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    assert sum(len(s) > 1 for s in of.values()) <= (0 if share <= 2 * kd_shards.SLACK else 6)
+    assert len(sizes) == 24 and max(sizes.values()) - min(sizes.values()) <= 2 * kd_shards.SLACK * sum(sizes.values()) / 24 + 4 * 1000
+    equal = kd_shards.kd_shards(docs_of(spark, [(i, "same text") for i in range(480)])).groupBy("shard").count().collect()
+    assert len(equal) == 24 and max(r["count"] for r in equal) <= 21
+
+
 def jaccard(a, b):
     return len(a & b) / len(a | b)
 
@@ -295,6 +319,25 @@ def test_line_dedup_keeps_columns_of_any_name(spark):
     assert sorted(map(tuple, bare.collect()), key=str) == [(1, "a b"), (None, None)]
 
 
+def test_passages_of_two_words_go(spark):
+    """One passage of 640 words of a two-word vocabulary behind different heads, for twelve vocabularies, of which some have no chosen pair."""
+    import random
+
+    rnd = random.Random(11)
+    rows, passages = [], {}
+    for v, (a, b) in enumerate([("-", "x"), ("true", "null"), ("a", "t"), ("0", "1"), ("yes", "no"), ("|", "."), ("on", "off"), ("A", "C"), ("up", "down"), ("x", "y"), ("0.0", "1.0"), ("le", "la")]):
+        passages[v] = [rnd.choice([a, b]) for _ in range(640)]
+        for k in range(2):
+            rows.append((10 * v + k, " ".join([f"head{v}{k}{i}" for i in range(3 + 11 * k)] + [rnd.choice([a, b]) for _ in range(7 * k)] + passages[v] + [f"tail{v}{k}"])))
+    got = {r["doc_id"]: r["text"].split() for r in line_dedup.line_dedup(docs_of(spark, rows)).collect()}
+    assert all(got[10 * v] == rows[2 * v][1].split() for v in passages)
+    assert all(len(got[10 * v + 1]) < 60 for v in passages)
+
+
+def test_chunks_hold_no_more_words_than_are_compared_around():
+    assert line_dedup.LINE * line_dedup.LINES <= line_dedup.AROUND
+
+
 def test_rolling_hash_of_lines():
     """Boundaries depend on the last WIDTH lines and those beside them, and move with the text."""
     import numpy as np
