@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -48,13 +49,31 @@ def tag(text: Column | str, tags: Mapping[str, Sequence[str]], n: int = 3) -> Co
     return F.slice(F.array_compact(F.array(*each)), 1, n)
 
 
+#: Delimiters that pair up around a span in one line; underscores only at the edges of words.
+PAIRED = ("***", "**", "*", "___", "__", "_", "~~", "`")
+
+
+def paired(delimiters: Sequence[str] = PAIRED) -> tuple[str, int]:
+    """One pattern for a span between equal delimiters that doesn't hold their character, and its number of groups, of which one is the span."""
+    edge = lambda d: r"\b" if d[0] == "_" else ""
+    return "|".join(f"{edge(d)}{re.escape(d)}([^{d[0]}\\n]+){re.escape(d)}{edge(d)}" for d in delimiters), len(delimiters)
+
+
+#: What a line can begin with: quote marks, then a heading, a rule over the whole line, or a list mark.
+QUOTE, HEADING, RULE, ITEM = r"^(?:>[ \t]?)+", r"^#{1,6}[ \t]+", r"^(?:-{3,}|\*{3,}|_{3,})[ \t]*$", r"^[ \t]*[-*+][ \t]+"
+
+
 def strip_markdown(c: Column | str) -> Column:
-    """Without headings, emphasis (* and _), strike-through, code marks, rules and quotes; list marks become "- "; more than two line breaks become two."""
-    out = _c(c)
-    emphasis = ((r"\*{1,3}([^*\n]+)\*{1,3}", "$1"), (r"\b_{1,3}([^_\n]+)_{1,3}\b", "$1"), (r"~~([^~\n]+)~~", "$1"), (r"`([^`\n]+)`", "$1"))
-    for pattern, to in ((r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", "- "), *emphasis, (r"(?m)^>[ \t]?", ""), (r"\n{3,}", "\n\n")):
-        out = F.regexp_replace(out, pattern, to)
-    return F.trim(out)
+    """The text without quote marks, headings' marks, rules and paired delimiters (also one pair within another); list marks become "- ", more than one empty line becomes one."""
+    pattern, groups = paired()
+    span = "".join(f"${k + 1}" for k in range(groups))
+
+    def line(x: Column) -> Column:
+        own = F.regexp_replace(x, QUOTE, "")
+        return F.when(own.rlike(RULE), "").when(own.rlike(HEADING), F.regexp_replace(own, HEADING, "")).otherwise(F.regexp_replace(own, ITEM, "- "))
+
+    lines = F.array_join(F.transform(F.split(_c(c), "\n"), line), "\n")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(lines, pattern, span), pattern, span), r"\n{3,}", "\n\n"))
 
 
 REFERENCE = r"^\s*(.+?)\s+(\d+):(\d+)(?:-(\d+))?\s*$"

@@ -102,17 +102,17 @@ def split_headers(s: SparkSession, d: str) -> DataFrame:
 
 
 _MD = "'# ' || source || chr(10) || '**' || lang || '** and _' || source || '_ ~~' || lang || '~~ `' || source || '`' || chr(10) || '* ' || text || chr(10) || '> quote'"
-#: The marks, as pattern and what stays.
-_MARKS = [
-    (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"(?m)^[ \t]*[-*+][ \t]+", "- "), (r"\*{1,3}([^*\n]+)\*{1,3}", r"\1"), (r"\b_{1,3}([^_\n]+)_{1,3}\b", r"\1"),
-    (r"~~([^~\n]+)~~", r"\1"), (r"`([^`\n]+)`", r"\1"), (r"(?m)^>[ \t]?", ""), (r"\n{3,}", "\n\n"),
-]
 
 
 def _bare(text: str) -> str:
-    for pattern, to in _MARKS:
-        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
-    return f"trim({text})"
+    """Line by line what it begins with, then spans between paired delimiters, twice."""
+    own = f"regexp_replace(l, '{X.QUOTE}', '')"
+    line = f"CASE WHEN regexp_matches({own}, '{X.RULE}') THEN '' WHEN regexp_matches({own}, '{X.HEADING}') THEN regexp_replace({own}, '{X.HEADING}', '') ELSE regexp_replace({own}, '{X.ITEM}', '- ') END"
+    pattern, groups = X.paired()
+    out = f"array_to_string(list_transform(string_split({text}, chr(10)), lambda l: {line}), chr(10))"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '{pattern}', '{''.join(chr(92) + str(k + 1) for k in range(groups))}', 'g')"
+    return rf"trim(regexp_replace({out}, '\n{{3,}}', chr(10) || chr(10), 'g'))"
 
 
 @query(rf"""WITH x AS (SELECT doc_id, source, text, list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'), lambda w: regexp_matches(w, '^[A-Z][a-z]{{4,}}$')) AS n FROM documents)

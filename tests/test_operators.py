@@ -298,6 +298,7 @@ def test_trees_deeper_than_any_limit(spark):
 
 def test_marks_and_speech(spark):
     assert one(spark, X.strip_markdown("t"), t="## Head\n***a*** and _b_ ~~c~~ `d` e_f_g\n* x\n+ y\n> z\n---\n\n\n\nend") == "Head\na and b c d e_f_g\n- x\n- y\nz\n\nend"
+    assert one(spark, X.strip_markdown("t"), t="> > # Quoted\n> - item **one _two_**\n***\n*a* `x` __init__ a__b__c\n1. kept\n#no heading") == "Quoted\n- item one two\n\na x init a__b__c\n1. kept\n#no heading"
     assert one(spark, X.spoken("t", pause=True), t="Ann Lee - Prayer. Next 3:4.") == "Ann Lee in the book Prayer.\nNext chapter 3 verse 4."
     assert one(spark, X.with_page("u", F.lit(2)), u="http://h/a#top") == "http://h/a?page=2#top"
     assert one(spark, X.with_page("u", F.lit(2)), u="http://h/a?page=7&x=1#p") == "http://h/a?page=2&x=1#p"
