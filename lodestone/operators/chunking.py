@@ -53,19 +53,19 @@ def _map_text(df: DataFrame, key: str, text: str, cut) -> DataFrame:
 _SENTENCE = re.compile(r"[.!?。！？][\"'”’)]*\s|\n")
 
 
-def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float = 0.4, least: int = 50, boundaries: str | re.Pattern = _SENTENCE) -> list[str]:
+def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float = 0.4, least: int = 50, boundaries: str | re.Pattern | Sequence[str] = _SENTENCE) -> list[str]:
     """Pieces of up to `size` characters that end at a sentence's end (a match of boundaries) in the last `look` of the window where there is one.
 
-    The next piece begins ratio * size before the cut. A piece under `least` characters joins the one before.
+    Of several patterns, an earlier one wins over a later one wherever it matches; of one pattern the last match counts. The next piece
+    begins ratio * size before the cut. A piece under `least` characters joins the one before.
     """
-    text, boundary = text.strip(), re.compile(boundaries)
+    text, ranks = text.strip(), [re.compile(b) for b in ([boundaries] if isinstance(boundaries, str | re.Pattern) else boundaries)]
     out, start = [], 0
     while start < len(text):
         end = min(len(text), start + size)
         if end < len(text):
             floor = start + int(size * (1 - look))
-            ends = [m.end() for m in boundary.finditer(text, floor, end)]
-            end = ends[-1] if ends else end
+            end = next((ends[-1] for rank in ranks if (ends := [m.end() for m in rank.finditer(text, floor, end)])), end)
         piece = text[start:end].strip()
         if piece and len(piece) < least and out:
             out[-1] = f"{out[-1]} {piece}"
@@ -77,7 +77,8 @@ def sentence_cuts(text: str, size: int = 500, ratio: float = 0.2, look: float =
     return out
 
 
-def chunk_sentences(df: DataFrame, key: str, text: str, size: int = 500, ratio: float = 0.2, boundaries: str = _SENTENCE.pattern) -> DataFrame:
+def chunk_sentences(df: DataFrame, key: str, text: str, size: int = 500, ratio: float = 0.2, boundaries: str | Sequence[str] = _SENTENCE.pattern) -> DataFrame:
+    """sentence_cuts() of each row: key, chunk_index, text."""
     return _map_text(df, key, text, lambda t: sentence_cuts(t, size, ratio, boundaries=boundaries))
 
 

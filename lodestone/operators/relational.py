@@ -340,10 +340,14 @@ def merge_short(df: DataFrame, key: str, order: str, text: str, n: int = 200, se
     return islands(df, [key], order, F.length(text) >= n).groupBy(key, "island").agg(F.min(order).alias(order), string_ordered(text, [order], sep).alias(text), F.count("*").alias("parts"))
 
 
-def merge_continued(df: DataFrame, keys: Sequence[str], order: str, begins: Column, text: str, sep: str = "\n\n") -> DataFrame:
-    """Pages that go on where the one before ends, as one row: keys, island, first and last page, pages, text."""
+def merge_continued(df: DataFrame, keys: Sequence[str], order: str, begins: Column, text: str, sep: str = "\n\n", mark: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """Pages that go on where the one before ends, as one row: keys, island, first and last page, pages, text, and the last page's columns of `carry`.
+
+    A mark stands between pages, with `sep` on both sides: where it goes on can be seen in the text.
+    """
     runs = islands(df, keys, order, begins).groupBy(*keys, "island")
-    return runs.agg(F.min(order).alias(f"first_{order}"), F.max(order).alias(f"last_{order}"), F.count("*").alias("pages"), string_ordered(text, [order], sep).alias(text))
+    sep = f"{sep}{mark}{sep}" if mark else sep
+    return runs.agg(*[F.max_by(c, order).alias(c) for c in carry], F.min(order).alias(f"first_{order}"), F.max(order).alias(f"last_{order}"), F.count("*").alias("pages"), string_ordered(text, [order], sep).alias(text))
 
 
 def detect_boundary(df: DataFrame, key: str, idx: str, a: Column, b: Column, c: Column, low: float = 0.2, high: float = 0.8) -> DataFrame:

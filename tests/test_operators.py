@@ -274,6 +274,19 @@ def test_rebase_numbers_anew_and_sums_up(spark):
     assert rows(R.merge_transcripts(seg, "g", "piece", "idx", "e", "t", 60.0)) == [("a", "x y z", 3, 65.0), ("b", "w", 1, 2.0)]
 
 
+def test_a_better_ending_wins_over_a_later_one():
+    text = "a" * 55 + " ends well. " + "b" * 12 + "\n" + "c" * 60
+    one, two = ([p[-5:] for p in C.sentence_cuts(text, 90, 0, boundaries=b)][0] for b in ([r"[.]\s", r"\n"], [r"\n", r"[.]\s"]))
+    assert (one, two) == ("well.", "bbbbb")
+    assert C.sentence_cuts(text, 90, 0, boundaries=r"\n") == C.sentence_cuts(text, 90, 0, boundaries=[r"none", r"\n"])
+
+
+def test_merged_pages_carry_the_last_flags(spark):
+    pages = spark.createDataFrame([("a", 1, "one", False, True), ("a", 2, "two", True, True), ("a", 3, "three", True, False), ("a", 4, "new", False, True)], "issue string, page int, text string, goes_on boolean, more boolean")
+    got = R.merge_continued(pages, ["issue"], "page", ~F.col("goes_on"), "text", mark="[continued]", carry=["more"]).orderBy("first_page").select("text", "more", "pages")
+    assert [tuple(r) for r in got.collect()] == [("one\n\n[continued]\n\ntwo\n\n[continued]\n\nthree", False, 3), ("new", True, 1)]
+
+
 def test_continued_pages_join(spark):
     pages = spark.createDataFrame([("a", 1, "one", False), ("a", 2, "goes on", True), ("a", 3, "new", False)], "issue string, page int, text string, goes_on boolean")
     got = R.merge_continued(pages, ["issue"], "page", ~F.col("goes_on"), "text").select("first_page", "last_page", "pages", "text")
