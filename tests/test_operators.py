@@ -350,3 +350,11 @@ def test_the_library_stands_without_its_training_part(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "lodestone.llm", None)
     assert not any(n.startswith("op") or n == "pipeline" for n in __spark_entry__.queries()) and __spark_entry__.oracle_sql()
+
+
+def test_expand_search_counts_a_repeated_term_each_time(spark):
+    """Two equal words have ceil(10 / 2) rows each by a list that holds every row twice: three rows, as in SQL."""
+    df = spark.createDataFrame([(i, "aa bb") for i in range(8)], "id long, text string")
+    queries = spark.createDataFrame([(1, "aa aa"), (2, "bb"), (3, "the the")], "query_id long, text string")
+    got = {(r["query_id"], r["id"]) for r in H.expand_search(df, queries, {"the": ["aa", "zz"]}).collect()}
+    assert got == {(1, i) for i in range(3)} | {(2, i) for i in range(8)} | {(3, 0), (3, 1)}
