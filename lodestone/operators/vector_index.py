@@ -1,8 +1,8 @@
 """A stored index for approximate vector search: lists around centres, sign codes in each list, exact similarity of candidates.
 
 build() fits about sqrt(n) centres on a sample, splits lists that hold too many rows, deals every row to its nearest centre, and
-writes codes and vectors apart, both sorted by list over files. A search reads the codes of each query's nearest lists only,
-keeps the rows whose codes differ least, and reads the vectors of these. How many lists are probed and how many candidates are
+writes codes and vectors, both sorted by list over files. A search reads each query's nearest lists only, and compares in full the
+rows whose codes differ least, in the task that reads them: no candidates are shuffled or broadcast. How many lists are probed and how many candidates are
 kept is chosen at build time by the recall that it measures on some of the rows.
 """
 
@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best import Best
 from .relational import topk_per
 from .vector import QUERIES, vector_topk_batch
 
 #: Bits of a code; lists at most; rows of the sample that centres are fitted on at most; rows that recall is measured on.
 BITS, LISTS, SAMPLE, PROBED = 256, 4096, 65_536, 64
-#: A list is split beyond so many times the mean; candidates of all queries of one pass, which are broadcast; comparisons of codes at once.
-OVERFULL, CANDIDATES, AT_ONCE = 4, 1 << 20, 1 << 21
+#: A list is split beyond so many times the mean; queries of a pass times their probes, which are broadcast; numbers of the sample; comparisons at once.
+OVERFULL, PROBES, NUMBERS, AT_ONCE = 4, 1 << 22, 1 << 22, 1 << 19
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -34,11 +35,17 @@ def _rows(column: pa.Array) -> np.ndarray:
     return _unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
+def _home(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each row, by blocks."""
+    step = max(1, AT_ONCE // max(1, len(centres)))
+    return np.concatenate([(x[i : i + step] @ centres.T).argmax(1).astype(np.int32) for i in range(0, len(x), step)] or [np.zeros(0, np.int32)])
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Centres of unit vectors by cosine; begins with rows spread over x. Empty centres stay."""
     c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
     for _ in range(rounds):
-        near = (x @ c.T).argmax(1)
+        near = _home(x, c)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         c = np.where((np.bincount(near, minlength=len(c)) > 0)[:, None], _unit(sums), c)
@@ -65,12 +72,13 @@ class VectorIndex:
         df = df.select(F.col(id).alias("id"), F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
         n = df.count()
         lists = min(LISTS, lists or max(1, round(n**0.5)), n)
-        sample = _rows(df.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow().column(0).combine_chunks()) if n else np.zeros((0, 1))
+        most = min(SAMPLE, NUMBERS // max(1, len(df.first()["vector"]) if n else 1))
+        sample = _rows(df.orderBy(F.xxhash64("id"), "id").limit(most).select("vector").toArrow().column(0).combine_chunks()) if n else np.zeros((0, 1))
         own = cls.__new__(cls)
         own.spark, own.path, own.centres = spark, path, _kmeans(sample, lists) if n else sample
         own.planes = np.random.default_rng(1).standard_normal((BITS, sample.shape[1]))
         sizes = {r["list"]: r["count"] for r in own._dealt(df).groupBy("list").count().collect()}  # a row for each list
-        near, parts = (sample @ own.centres.T).argmax(1) if n else None, []
+        near, parts = _home(sample, own.centres) if n else None, []
         for j, c in enumerate(own.centres):
             times = sizes.get(j, 0) * len(own.centres) / n
             mine = sample[near == j] if times > OVERFULL else None
@@ -100,7 +108,7 @@ class VectorIndex:
             for b in batches:
                 if b.num_rows:
                     x = _rows(b.column("vector"))
-                    near = pa.array((x @ centres.T).argmax(1).astype(np.int32))
+                    near = pa.array(_home(x, centres))
                     more = [b.column("vector"), pa.array([c.tobytes() for c in self._codes(x)], pa.binary())] if codes else []
                     yield pa.RecordBatch.from_arrays([near, b.column("id"), *more], ["list", "id", "vector", "code"][: 2 + len(more)])
 
@@ -157,7 +165,8 @@ class VectorIndex:
         return {r.tobytes(): t for r, t in zip(q, total, strict=True)}
 
     def _nearest(self, q: np.ndarray, probes: int | None = None) -> np.ndarray:
-        return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : probes or self.probes]
+        step = max(1, AT_ONCE // max(1, len(self.centres)))
+        return np.concatenate([np.argsort(-(q[i : i + step] @ self.centres.T), axis=1, kind="stable")[:, : probes or self.probes].astype(np.int32) for i in range(0, max(1, len(q)), step)])
 
     def _read(self, table: str, lists: np.ndarray) -> DataFrame:
         """The rows of some lists, from the files that hold these."""
@@ -166,11 +175,14 @@ class VectorIndex:
         return self.spark.read.parquet(*files).filter(F.col("list").isin(wanted))
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, candidates: int | None = None, radius: int | None = None, id: str = "id", vector: str = "embedding") -> DataFrame:
-        """query_id, id, similarity: the k nearest among the candidates of each query's nearest lists, whose codes differ in at most `radius` bits. Queries go in passes whose candidates together are at most CANDIDATES."""
+        """query_id, id, similarity: the k nearest among the candidates of each query's nearest lists, whose codes differ in at most `radius` bits.
+
+        A query's candidates are at least `candidates` of those; each list adds so many at most. Queries go in passes of QUERIES, or fewer by PROBES.
+        """
         probes, candidates, radius = probes or self.probes, max(k, candidates or self.candidates), self.radius if radius is None else radius
         queries = queries.select(F.col(id).alias("query_id"), F.col(vector).alias("q")).filter(F.col("q").isNotNull())
         n, out = queries.count(), None
-        passes = max(1, -(-n // max(1, min(QUERIES, CANDIDATES // candidates))))
+        passes = max(1, -(-n // max(1, min(QUERIES, PROBES // max(1, probes)))))
         self.compared = (n * candidates, n * self.directory.filter("of = 'codes'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         for p in range(passes):
             own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
@@ -186,48 +198,36 @@ class VectorIndex:
     def _pass(self, own: DataFrame, part: pa.Table, k: int, probes: int, candidates: int, radius: int) -> DataFrame:
         q = _rows(part.column("q").chunk(0))
         lists, ids = self._nearest(q, probes), part.column("query_id").chunk(0)
-        of = {int(j): np.flatnonzero((lists == j).any(1)) for j in np.unique(lists)}
-        shared = self.spark.sparkContext.broadcast((ids.to_pylist(), self._codes(q), of))
-        kind, rows = ids.type, self._read("codes", lists).select("list", "block", "id", "code")
+        order, wanted = np.argsort(lists, axis=None, kind="stable"), np.unique(lists)
+        cuts = np.searchsorted(lists.ravel()[order], wanted)[1:]
+        of = {int(j): (x // lists.shape[1]).astype(np.int32) for j, x in zip(wanted, np.split(order, cuts), strict=True)}
+        shared = self.spark.sparkContext.broadcast((ids.to_pylist(), q, self._codes(q), of))
+        kind, rows = ids.type, self._read("vectors", lists).select("list", "id", "code", "vector")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, codes, of = shared.value
+            names, q, codes, of = shared.value
+            best = Best(len(names), k)
             for b in batches:
-                own, at = _bytes(b.column("code")), b.column("list").to_numpy()
-                who, which, apart = [], [], []
+                own, at, x = _bytes(b.column("code")), b.column("list").to_numpy(), _rows(b.column("vector"))
                 for j in np.unique(at):
                     here, mine = np.flatnonzero(at == j), of.get(int(j), [])
-                    step = max(1, AT_ONCE // max(1, len(here)))
+                    step, pairs = max(1, AT_ONCE // len(here)), max(1, AT_ONCE // max(1, q.shape[1]))
                     for i in range(0, len(mine), step):
                         some = mine[i : i + step]
                         d = np.bitwise_count(codes[some][:, None].view(np.uint64) ^ own[here][None].view(np.uint64)).sum(2, dtype=np.int32)
                         least = np.partition(d, candidates - 1, axis=1)[:, candidates - 1 : candidates] if d.shape[1] > candidates else BITS
-                        x, y = np.nonzero((d <= least) & (d <= radius))
-                        who.append(some[x])
-                        which.append(here[y])
-                        apart.append(d[x, y])
-                who, which, apart = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (who, which, apart))
-                order = np.lexsort((apart, who))
-                who, which, apart = who[order], which[order], apart[order]
-                # of each query, those as near as its last candidate in this batch
-                first = np.searchsorted(who, who)
-                last = np.minimum(first + candidates, np.searchsorted(who, who, "right")) - 1
-                keep = apart <= apart[last] if len(who) else np.zeros(0, bool)
-                at = pa.array(which[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(names, kind).take(pa.array(who[keep])), *(b.column(c).take(at) for c in ("list", "block", "id")), pa.array(apart[keep].astype(np.int32), pa.int32())], ["query_id", "list", "block", "id", "apart"])
+                        who, which = np.nonzero((d <= least) & (d <= radius))
+                        who, which = some[who], here[which]
+                        for p in range(0, len(who), pairs):
+                            a, c = who[p : p + pairs], which[p : p + pairs]
+                            s = np.round((q[a] * x[c]).sum(1), 12)
+                            good = s >= best.least[a]
+                            best.add(a[good], s[good], b.column("id").take(pa.array(c[good])))
+            yield from best.rows(pa.array(names, kind), "similarity")
 
         kinds = {f.name: f.dataType.simpleString() for f in [*rows.schema, *own.schema]}
-        near = rows.mapInArrow(run, f"query_id {kinds['query_id']}, list int, block int, id {kinds['id']}, apart int")
-        near = F.broadcast(topk_per(near, ["query_id"], ["apart", "id"], candidates).join(F.broadcast(own), "query_id"))  # CANDIDATES rows at most
-        pairs = self._read("vectors", lists).select("list", "block", "id", "vector").join(near, ["list", "block", "id"]).select("query_id", "id", "q", "vector")
-
-        def similarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                s = (_rows(b.column("q")) * _rows(b.column("vector"))).sum(1)
-                yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("id"), pa.array(s, pa.float64())], ["query_id", "id", "similarity"])
-
-        scored = pairs.mapInArrow(similarity, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
-        return topk_per(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+        near = rows.mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+        return topk_per(near, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
