@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relational import tagged_union
+from ..operators.relational import parts_of, tagged_union
 from ..session import shared_dir
 from ..sources import nested as N
 from ..sources import sinks as S
@@ -127,9 +127,11 @@ def sink_json_summary(s: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey AS parent, l_linenumber AS no, 'line ' || l_linenumber AS text FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 0, 'kept' FROM (SELECT DISTINCT l_orderkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F')")
 def sink_rebuild_children(s: SparkSession, d: str) -> DataFrame:
     t = T(s, d)
-    lines = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("int").alias("no"))
+    # rows are dealt once by parent and by their number; what follows needs no other shuffle
+    parts = parts_of(t.lineitem.count() + t.orders.count())
+    lines = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("int").alias("no")).repartition(parts, "parent")
     old = lines.select("parent").distinct().select("parent", F.lit(0).alias("no"), F.lit("kept").alias("text"))
-    done = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("parent"))
+    done = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("parent")).repartition(parts, "parent")
     new = lines.join(done, "parent", "left_semi").withColumn("text", F.concat(F.lit("line "), F.col("no").cast("string")))
     return S.replace_parents(old, new, "parent")
 
