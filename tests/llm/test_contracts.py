@@ -307,6 +307,22 @@ def test_line_dedup_against_brute_force(spark):
         seen |= {tuple(left[i : i + 60]) for i in range(len(left) - 59)}
 
 
+def test_line_dedup_shuffles_texts_once(spark, monkeypatch, capsys):
+    names, write = [], line_dedup.Store.write
+    monkeypatch.setattr(line_dedup.Store, "write", lambda self, df, name: names.append(name) or write(self, df, name))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = line_dedup.query(spark, SF)
+        got.collect()
+        got.explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and len(re.findall(r"- Exchange hashpartitioning\(_doc#", plan)) == 1
+    # what is brought to the documents is shuffled to them, and not stored beside that
+    assert names == ["pairs"]
+
+
 def test_line_dedup_keeps_columns_of_any_name(spark):
     names = ["doc", "th", "spans", "_z", "_null", "found", "c0", "_text", "_id", "_th", "_doc", "kdoc", "removed_bytes"]
     rows = [(k, f"b{k} " + PASSAGE + f" e{k}", *[f"{k}.{n}" for n in names]) for k in range(3)]
