@@ -5,8 +5,10 @@ from __future__ import annotations
 import itertools
 
 import corpus_pipeline
+import pyarrow as pa
 from lodestone.llm import decontamination, jaccard_join, quality, tokens
 from lodestone.llm.shared import Store, table
+from pyspark.sql import functions as F
 
 from .test_contracts import jaccard, shingles
 
@@ -117,3 +119,17 @@ def test_stages_take_empty_tables(spark):
         out = stage(spark, docs, SF)
         assert out.columns == docs.columns and out.count() == 0, name
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).count() == 0
+
+
+def test_stages_take_texts_in_small_batches(spark):
+    conf, sizes = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    docs = spark.range(3000).select("id", F.lit("a").alias("text")).coalesce(1)
+    try:
+        for rows in (10_000, 0, 500):
+            spark.conf.set(conf, rows)
+            corpus_pipeline.STAGES[0][1](spark, table(spark, SF, "documents"), SF)
+            found = docs.mapInArrow(lambda it: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in it), "n long")
+            sizes.append(found.agg(F.max("n")).first()[0])
+    finally:
+        spark.conf.unset(conf)
+    assert sizes == [1000, 1000, 500]
