@@ -125,3 +125,52 @@ def test_ids(text):
     ids, begin = tokens.encode(data, at)
     want = tokens._tokenizer(None).encode(text, add_special_tokens=False).ids
     assert ids[begin[0] : begin[1]].tolist() == want and ids[begin[2] : begin[3]].tolist() == want
+
+
+def _random_texts(seed, n=300):
+    """Texts of the cases that the pre-tokenizer tells apart, with white space alone, in runs and at the ends."""
+    rng = np.random.default_rng(seed)
+    parts = ["word", "the", " ", " ", " ", "  ", "\n", "\t", "\r\n", "'s", "don't", "'", "12", ",", ".", "\n\n ", "é", "ß日", "<|endoftext|>", "\u00a0", "\x1c", "a" * 40]
+    weight = np.array([*[6.0] * 19, 0.1, 0.1, 1])
+    return ["".join(rng.choice(parts, rng.integers(0, 40), p=weight / weight.sum())) for _ in range(n)]
+
+
+@pytest.mark.parametrize("memory", [1 << 20, 50])
+def test_ids_of_later_batches(monkeypatch, memory):
+    monkeypatch.setattr(tokens, "MEMORY", memory)
+    known = tokens.Known()
+    for seed in (1, 2, 1):
+        texts = _random_texts(seed)
+        ids, begin = tokens.encode(*vectors.flat(pa.array(texts)), known=known)
+        for t, a, b in zip(texts, begin[:-1], begin[1:], strict=True):
+            assert ids[a:b].tolist() == tokens._tokenizer(None).encode(t, add_special_tokens=False).ids, t
+
+
+def test_cuts_are_encoded_once_a_task(monkeypatch):
+    import tiktoken
+
+    given = []
+    for name in ("encode_to_numpy", "encode_ordinary"):
+        f = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, f=f, **kw: given.append(text) or f(self, text, **kw))
+    batch, known = vectors.flat(pa.array(["some words: one two", "three and  more of them"])), tokens.Known()
+    first = tokens.encode(*batch, known=known)
+    assert given
+    given.clear()
+    again = tokens.encode(*batch, known=known)
+    assert not given and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+
+
+def test_postings_of_used_remainders_are_dropped():
+    """The windows are those of scores over all postings, which shrink with the remainders left."""
+    rng = np.random.default_rng(3)
+    ids = [np.minimum(rng.zipf(1.3, size), 5000) for size in rng.integers(1, 500, 400)]
+    df = np.zeros(5001, np.int64)
+    for x in ids:
+        df[np.unique(x)] += 1
+    mean, length = np.mean([len(x) for x in ids]), np.array([len(x) for x in ids])
+    whole, index = (packing.Index(ids, df, len(ids), mean) for _ in range(2))
+    want = list(packing.fill(length, lambda k, used: whole.scores(k), 2048))
+    n = len(index.doc)
+    assert list(packing.fill(length, index.scores, 2048)) == want and sum(size for w in want for _, _, size in w) == length.sum()
+    assert len(index.doc) < n / 4 and len(whole.doc) == n
