@@ -358,3 +358,31 @@ def test_expand_search_counts_a_repeated_term_each_time(spark):
     queries = spark.createDataFrame([(1, "aa aa"), (2, "bb"), (3, "the the")], "query_id long, text string")
     got = {(r["query_id"], r["id"]) for r in H.expand_search(df, queries, {"the": ["aa", "zz"]}).collect()}
     assert got == {(1, i) for i in range(3)} | {(2, i) for i in range(8)} | {(3, 0), (3, 1)}
+
+
+def test_first_rows_of_phrases(spark, monkeypatch):
+    """Against brute force: rows out of order, repeated and null ids, null texts, several passes, and looks within a batch."""
+    from lodestone.operators import phrases
+
+    rnd = random.Random(5)
+    words = ["ab", "bc", "abc", "q", "é", "zz"]
+    data = [(rnd.choice([None, *range(60)]), rnd.choice([None, "".join(rnd.choice("abcé") for _ in range(rnd.randrange(9))) + rnd.choice(["", "", "q"])])) for _ in range(300)]
+    df = spark.createDataFrame(data, "key long, body string").repartition(3)
+    asked = spark.createDataFrame([(w,) for w in [*words, "", None, "ab"]], "p string")
+    order = lambda i: (i is not None, i)
+    want = sorted(((i, w) for w in words for i in sorted((i for i, t in data if t and w in t), key=order)[:4]), key=repr)
+    for first, look in ((1 << 16, 256), (2, 7), (1, 1)):
+        monkeypatch.setattr(phrases, "FIRST", first)
+        monkeypatch.setattr(phrases, "LOOK", look)
+        assert rows(phrases.first_holding(df, asked, 4, "key", "body", "p")) == want
+    assert rows(phrases.first_holding(df.limit(0), asked, 4, "key", "body", "p")) == [] == rows(phrases.first_holding(df, asked.limit(0), 4, "key", "body", "p"))
+
+
+def test_expand_search_brings_k_rows_a_term_to_the_queries(spark, monkeypatch):
+    """Not each row that holds the term, of which there would be one for each query."""
+    seen = []
+    monkeypatch.setattr(H, "first_holding", lambda *a, f=H.first_holding: seen.append(f(*a)) or seen[-1])
+    df = spark.createDataFrame([(i, f"aa {'bb' if i % 2 else ''}") for i in range(500)], "id long, text string")
+    queries = spark.createDataFrame([(i, "aa bb") for i in range(100)], "query_id long, text string")
+    assert sorted(map(tuple, H.expand_search(df, queries, {"x": ["y"]}).select("query_id", "id").collect())) == [(q, i) for q in range(100) for i in (0, 1, 2, 3, 4, 5, 7, 9)]
+    assert seen[0].count() == 20
