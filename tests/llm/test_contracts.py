@@ -5,12 +5,14 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm import decontamination, exact_dedup, jaccard_join, kd_shards, license_scan, line_dedup, pii, quality, warc
 
@@ -426,6 +428,58 @@ def test_quality_odd(spark, odd):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def plain_fit(x, y, times, l2=1e-3):
+    """Mean, scale, weights, threshold and spread by Newton's steps over every pair; row i counts times[i] times."""
+    import numpy as np
+
+    mean = np.average(x, axis=0, weights=times)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=times)), 1e-9)
+    z = np.clip((x - mean) / scale, -8, 8)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    d = (z[good][:, None] - z[bad]).reshape(-1, z.shape[1])
+    n = np.outer(times[good], times[bad]).ravel() / (times[good].sum() * times[bad].sum())
+    w = np.zeros(z.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-d @ w))
+        w = w + np.linalg.solve((d * (n * p * (1 - p))[:, None]).T @ d + l2 * np.eye(len(w)), d.T @ (n * (1 - p)) - l2 * w)
+    raw = np.sort(np.repeat(z @ w, times))
+    k = int(times[bad].sum())
+    return mean, scale, w, (raw[k - 1] + raw[k]) / 2, raw.std() / 4
+
+
+def test_quality_is_fitted_on_every_pair(spark):
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = {r["doc_id"]: np.array(r["x"]) for r in quality.document_features(docs).collect()}
+    known = [(x[r["doc_id"]], r["quality"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    model = quality.Model(*plain_fit(np.array([f for f, _ in known]), np.array([y for _, y in known]), np.ones(len(known), int)))
+    want = dict(zip(x, model.scores(np.array(list(x.values()))), strict=True))
+    assert all(abs(r["score"] - want[r["doc_id"]]) < 1e-8 for r in quality.quality_scores(docs, labels).collect())
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """More labelled rows than one sample would hold, in many tasks: each counts, however often it is repeated."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    y = np.arange(60) % 3 // 2
+    x, times = rng.normal(size=(60, len(quality.NAMES))) + 0.3 * y[:, None], rng.integers(1, 2000, 60)
+    kinds = spark.createDataFrame([(int(b), a.tolist(), int(n)) for a, b, n in zip(x, y, times, strict=True)], "quality int, x array<double>, n int")
+    rows = kinds.withColumn("i", F.explode(F.sequence(F.lit(1), "n"))).select("quality", "x").repartition(7)
+    assert rows.count() == times.sum() > 40_000
+    got = quality.fit(rows)
+    for a, b in zip((got.mean, got.scale, got.weights, got.threshold, got.spread), plain_fit(x, y, times), strict=True):
+        assert np.abs(a - b).max() < 1e-8
+
+
+def test_kth(spark):
+    rnd = random.Random(2)
+    values = sorted([0.25] * 400 + [rnd.gauss(0, 1e-9) for _ in range(300)] + [rnd.gauss(0, 1e3) for _ in range(300)])
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(quality.kth(df, k) == values[k] for k in (0, 1, 333, 500, 700, 998, 999))
+
+
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u\r\nv", None), (4, "u", ""), (5, "u", "é" * 9000), (5, "u", "é" * 9000), (None, "u", "solo"), (None, "u", "<p>x</p>")]
 
 
